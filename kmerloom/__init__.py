@@ -1,3 +1,10 @@
 """kmerloom: k-mer counting and sequence-data processing on Spark DataFrames."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Python functions travel to the executors with their code: workers need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
