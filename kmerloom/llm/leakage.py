@@ -2,8 +2,9 @@
 
 Words are the longest runs of ``[A-Za-z0-9_]`` without case. Every window of ``run`` words of an item holds
 ``run - n + 1`` seeds (n-grams); the one found in the fewest documents is its rare seed. A document with
-the whole window has this seed, so candidates are complete. The corpus is read once: each batch is hashed
-with array operations, and only passages around seed hits leave it. Passages are aligned to their items.
+the whole window has this seed, so candidates are complete. Seeds of few documents are rare too: they lead
+to edited copies. The corpus is read once: each batch is hashed with array operations, and only passages
+around seed hits leave it. Passages are aligned to their items.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from kmerloom.session import materialize
 RUN = 15
 SEED = 6
 SLACK = 20
+RARE_DOCS, RARE_SHARE = 20, 0.001
 CHUNK_BYTES = 4 << 20
 ITEM_BLOCK_CHARS = 16 << 20
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -111,10 +113,10 @@ class SeedIndex:
         pick = lambda x: (np.concatenate(x) if x else np.zeros(0, np.int64))[order]
         return cls(n, [i for i, _ in items], words, distinct, np.append(at, len(h)), pick(owner), pick(position))
 
-    def rare(self, df: dict[int, int], run: int) -> np.ndarray:
-        """Mask of the seeds that are the rarest of some window of ``run`` words; ties go to the first."""
+    def rare(self, df: dict[int, int], run: int, few: float) -> np.ndarray:
+        """Mask of the seeds that are in at most ``few`` documents or the rarest of some window of ``run`` words."""
         count = np.array([df.get(int(h), 0) for h in self.hashes.view(np.int64)], np.int64)
-        rare = np.zeros(len(self.hashes), bool)
+        rare = count <= few
         line = np.empty(len(self.owner), np.int64)  # seed number of every (item, position)
         line[:] = np.repeat(np.arange(len(self.hashes)), np.diff(self.offsets))
         for i, w in enumerate(self.words):
@@ -282,6 +284,7 @@ def leaked_passages(docs: DataFrame, items: DataFrame, run: int = RUN, n: int =
     items = items.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select("item_id", "text").distinct()
     chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-chars // ITEM_BLOCK_CHARS))
+    few = max(RARE_DOCS, RARE_SHARE * docs.count())
     parts = []
     for b in range(blocks):
         mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()
@@ -290,7 +293,7 @@ def leaked_passages(docs: DataFrame, items: DataFrame, run: int = RUN, n: int =
         seen = rows.where(F.col("item") == -1).select(F.explode(F.arrays_zip("seeds", "counts")).alias("c"))
         df = seen.groupBy(F.col("c.seeds").alias("seed")).agg(F.sum("c.counts").alias("n")).toArrow()  # a row for each seed of the block at most
         counts = dict(zip(df["seed"].to_pylist(), df["n"].to_pylist(), strict=True))
-        rare = index.hashes[index.rare(counts, run)].view(np.int64).tolist()
+        rare = index.hashes[index.rare(counts, run, few)].view(np.int64).tolist()
         chosen = spark.createDataFrame([(rare,)], "rare array<bigint>")  # one row
         hits = rows.where(F.col("item") >= 0).join(F.broadcast(chosen), F.arrays_overlap("seeds", "rare"), "left_semi") if rare else rows.where("false")
         parts.append(materialize(align_passages(hits, index), "aligned"))
