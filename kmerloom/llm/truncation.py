@@ -4,8 +4,8 @@ A vocabulary of the corpus is counted over all texts; its trie is a table of nod
 most frequent word below). A text whose final word is unknown, or far rarer than a word it is a proper
 prefix of, was cut in a word. Length evidence is a length that many texts of one source share exactly (a
 field limit, in characters or bytes, before an ellipsis mark), or a source whose texts end at multiples
-of a transfer block. Texts without a final newline are then judged by word, length and open structure;
-texts with one only if a limit or block ends them and their structure is open, or a block was just opened.
+of a transfer block. Texts without a final newline are then judged by word, length and open structure; texts
+with one are cut if a block was just opened, or if they have exactly the length of a limit and no end mark.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kmerloom.session import materialize, require_columns
@@ -28,16 +28,21 @@ LIMIT_SHARE = 0.5
 NEIGHBOURS = 32
 RARITY = 0.01
 LEAST_KNOWN = 5
+MOST_PARTS = 6
 
 _WORD = re.compile(r"[^\W\d_]+")
 _CAMEL = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[^\WA-Z\d_]+")
-_FINAL = re.compile(r"\w+\Z")
-_FINAL_LETTERS = re.compile(r"[^\W\d_]+\Z")
+_NO_LETTER = re.compile(r"[\W\d_]")
 _OPERATOR = re.compile(r"(?:[,(\[=]|\S\s+(?:[-+*/<>&|?:]|:=|[-=]>|&&|\|\||[=!<>]=))\Z")
 _OPENER = re.compile(r"[({\[]\Z|\A\s*(?:def|class|if|elif|else|for|while|with|try|except)\b.*:\Z")
 _HEADER = re.compile(r"\A\s*(?:def|class|if|elif|for|while|with)\b[^:]*\Z")
-_PYTHON = re.compile(r"^\s*(?:def|class) .*:\s*$", re.M)
-_BRACES = re.compile(r"\{\s*$|\)\s?\{", re.M)
+_PYTHON = re.compile(r"^[ \t]*(?:def|class) .*:[ \t\r]*$", re.M)
+_BRACES = re.compile(r"\{[ \t\r]*$|\)\s?\{", re.M)
+_STATEMENT = re.compile(r"[;{}][ \t\r]*$", re.M)
+_PROPERTY = re.compile(r"\A\s*\"[^\"]*\":\s*\"[^\"]*\",\Z")
+_END_MARK = re.compile(r"(?:([-=*#_~])\1{2,}|\bEOF)\s*\Z")
+_LETTERS = re.compile(r"[^\W\d_]+")
+_DIGITS = re.compile(r"\d+")
 _LISTED = re.compile(r"\A\s*(?:- |[\w-]+: )")
 _LONE_NAME = re.compile(r"\A\s+[A-Za-z_]\w*\Z")
 _LONE_WORDS = {"pass", "return", "break", "continue", "else", "done", "fi", "end", "esac", "fallthrough", "yield", "raise"}
@@ -61,13 +66,26 @@ def strip_ellipsis(text: str) -> tuple[str, bool]:
     return text, False
 
 
+def final_token(text: str) -> str:
+    """The letters, digits and underscores that end the text, read from its end."""
+    at = len(text)
+    while at and (text[at - 1] == "_" or text[at - 1].isalnum()):
+        at -= 1
+    return text[at:]
+
+
 def final_word(text: str) -> str | None:
-    """Last part of the word that ends the text; None if no word does, or a number."""
-    token = _FINAL.search(text)
-    if not token or token[0][0].isdigit():
+    """Last part of the word that ends the text; None if no word does, or a number.
+
+    A single capital that ends a word in camel case is told from the letter by a leading dot.
+    """
+    token = final_token(text)
+    if not token or token[0].isdigit():
         return None
-    letters = _FINAL_LETTERS.search(token[0])
-    return subwords(letters[0])[-1] if letters and subwords(letters[0]) else None
+    parts = subwords(_NO_LETTER.split(token)[-1])
+    if not parts:
+        return None
+    return "." + parts[-1] if len(parts) > 1 and len(parts[-1]) == 1 else parts[-1]
 
 
 def open_braces(text: str) -> bool:
@@ -75,6 +93,14 @@ def open_braces(text: str) -> bool:
     return text.count("{") > text.count("}") and bool(_BRACES.search(text)) and not _PYTHON.search(text)
 
 
+def broken_row(lines: list[str]) -> bool:
+    """True if the last line has the shape of a part of the three before, which are rows of one shape with numbers."""
+    if len(lines) < 4:
+        return False
+    *before, last = (_DIGITS.sub("9", _LETTERS.sub("a", x.strip())) for x in lines[-4:])
+    return len(set(before)) == 1 and "9" in before[0] and len(last) < len(before[0]) and before[0].startswith(last)
+
+
 def open_structure(text: str) -> bool:
     """True if the text can't end here: an open bracket, string, comment, statement or row."""
     body = text.rstrip("\r\n")
@@ -83,18 +109,21 @@ def open_structure(text: str) -> bool:
     ended = len(body) < len(text)
     bare = last.rstrip()
     if ended:
-        return bool(_OPENER.search(bare))
+        return bool(_OPENER.search(bare)) or bare.endswith(",") and open_select(text)
     if last != bare:  # blanks at the very end
         return True
     if not bare:
         return False
-    if _OPERATOR.search(bare) or _OPENER.search(bare):
+    if (_OPERATOR.search(bare) or _OPENER.search(bare)) and not _PROPERTY.search(bare):
         return True
     if last.count("(") > last.count(")") or last.count("[") > last.count("]"):
         return True
     if last.count('"') % 2 or last.count("`") % 2:
         return True
-    if text.count("/*") > text.count("*/") or text.count('"""') % 2:
+    comment = text.rfind("/*")
+    if comment > text.rfind("*/") and not _STATEMENT.search(text, comment):
+        return True
+    if text.count('"""') % 2 and not _STATEMENT.search(text, text.rfind('"""')):
         return True
     if open_braces(text) and (last[0] in " \t" or last[-1] not in "};)") and not _LISTED.search(last):
         return True
@@ -108,12 +137,20 @@ def open_structure(text: str) -> bool:
         widths = {len(x[1]) if x else 0 for x in before}
         if len(before) == 2 and len(widths) == 1 and 0 < len(hexed[1]) < widths.pop():
             return True
+    return broken_row(body.rsplit("\n", 4)[-4:]) or open_select(text)
+
+
+def open_select(text: str) -> bool:
+    """True if the text ends within a SQL statement."""
     at = text.rfind(";")
     return at >= 0 and bool(_SQL.search(text[at + 1 :])) or at < 0 and bool(_SQL.search(text)) and "\nFROM " in text
 
 
 def vocabulary(docs: DataFrame, column: str = "text") -> DataFrame:
-    """word, n: in about how many texts each word occurs before the final word. Null texts have none."""
+    """word, n: in about how many texts each word occurs before the final word. Null texts have none.
+
+    Tokens of more than ``MOST_PARTS`` parts are encoded data, no words.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter[str] = Counter()
@@ -121,8 +158,7 @@ def vocabulary(docs: DataFrame, column: str = "text") -> DataFrame:
             for text in batch.column(0).to_pylist():
                 if text:
                     text = strip_ellipsis(text)[0]
-                    end = _FINAL.search(text)
-                    total.update(set(_WORD.findall(text[: end.start()] if end else text)))
+                    total.update(set(_WORD.findall(text[: len(text) - len(final_token(text))])))
             if len(total) > 200_000:
                 yield spell(total)
                 total = Counter()
@@ -132,8 +168,11 @@ def vocabulary(docs: DataFrame, column: str = "text") -> DataFrame:
     def spell(total: Counter[str]) -> pa.RecordBatch:
         words: Counter[str] = Counter()
         for token, n in total.items():
-            for w in subwords(token):
-                words[w] += n
+            parts = subwords(token)
+            if len(parts) > MOST_PARTS:  # encoded data, no word
+                continue
+            for w in parts:
+                words["." + w if len(w) == 1 and len(parts) > 1 else w] += n
         return pa.RecordBatch.from_pydict({"word": list(words), "n": list(words.values())}, schema=pa.schema({"word": pa.string(), "n": pa.int64()}))
 
     counts = docs.select(column).mapInArrow(count, "word string, n bigint")
@@ -148,29 +187,30 @@ def trie_nodes(words: DataFrame) -> DataFrame:
 
 
 def text_features(docs: DataFrame) -> DataFrame:
-    """doc_id, source, chars and bytes (without an ellipsis mark), marked, ended, open, deep, final, digest of every text."""
+    """doc_id, source, chars and bytes (without an ellipsis mark), marked, ended, shut, open, deep, final, digest of every text."""
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("chars", "bytes", "marked", "ended", "open", "deep", "final")}
+            out: dict[str, list] = {k: [] for k in ("chars", "bytes", "marked", "ended", "shut", "open", "deep", "final")}
             for text in batch.column("text").to_pylist():
                 body, marked = strip_ellipsis(text)
                 out["chars"].append(len(body))
                 out["bytes"].append(len(body.encode("utf-8", "surrogatepass")))
                 out["marked"].append(marked)
                 out["ended"].append(not text or text[-1] in "\r\n")
+                out["shut"].append(bool(_END_MARK.search(text[-64:])))
                 out["open"].append(open_structure(text))
                 out["deep"].append(open_braces(text))
                 out["final"].append(final_word(body))
             cols = [batch.column(c) for c in ("doc_id", "source", "digest")]
-            types = (pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.bool_(), pa.bool_(), pa.string())
+            types = (pa.int64(), pa.int64(), *[pa.bool_()] * 5, pa.string())
             cols += [pa.array(v, t) for v, t in zip(out.values(), types, strict=True)]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "source", "digest", *out])
 
     rows = docs.where(F.col("text").isNotNull()).select(
         F.col("doc_id").cast("bigint").alias("doc_id"), source_label().alias("source"), F.xxhash64("text").alias("digest"), "text"
     )
-    schema = "doc_id bigint, source string, digest bigint, chars bigint, bytes bigint, marked boolean, ended boolean, open boolean, deep boolean, final string"
+    schema = "doc_id bigint, source string, digest bigint, chars bigint, bytes bigint, marked boolean, ended boolean, shut boolean, open boolean, deep boolean, final string"
     return rows.mapInArrow(features, schema)
 
 
@@ -203,10 +243,14 @@ def length_limits(features: DataFrame) -> DataFrame:
     )
 
 
-def block_sources(features: DataFrame) -> DataFrame:
+def full_blocks() -> Column:
+    """Whether a text ends at a multiple of the transfer block, in characters or bytes."""
+    return (F.col("chars") > 0) & ((F.col("chars") % BLOCK == 0) | (F.col("bytes") % BLOCK == 0))
+
+
+def block_sources(rows: DataFrame) -> DataFrame:
     """Sources whose texts without final newline end at multiples of a transfer block far more often than by chance."""
-    full = (F.col("chars") > 0) & ((F.col("chars") % BLOCK == 0) | (F.col("bytes") % BLOCK == 0))
-    counts = features.where(~F.col("ended")).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(full, 1)).alias("k"))
+    counts = rows.where(~F.col("ended")).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("full"), 1)).alias("k"))
     return counts.where((F.col("k") >= LEAST_AT_LIMIT) & (F.col("k") > F.col("n") * (8.0 / BLOCK))).select("source")
 
 
@@ -218,31 +262,33 @@ def judged_texts(docs: DataFrame) -> DataFrame:
     require_columns(docs, ("doc_id", "text", "source"))
     features = materialize(text_features(docs), "features")
     words = materialize(vocabulary(docs), "vocabulary")
-    finals = features.where(F.col("final").isNotNull() & ~F.col("ended")).select(F.col("final").alias("prefix")).distinct()
+    finals = features.where(F.col("final").isNotNull() & ~F.col("ended")).select("final", F.regexp_replace("final", "^[.]", "").alias("prefix")).distinct()
     partial = (
         finals.join(trie_nodes(words), "prefix")
-        .join(words.select(F.col("word").alias("prefix"), "n"), "prefix", "left")
+        .join(words.select(F.col("word").alias("final"), "n"), "final", "left")
         .where(F.coalesce("n", F.lit(0)) < F.col("below") * RARITY)
-        .select(F.col("prefix").alias("final"), F.lit(True).alias("partial"))
+        .select("final", F.lit(True).alias("partial"))
     )
     limits = materialize(length_limits(features), "limits")
     chars = limits.where(F.col("unit") == "chars").select("source", F.col("length").alias("chars"), F.lit(True).alias("at_chars"))
     # a cut in the middle of a character leaves up to 3 bytes less
     short = F.explode(F.sequence(F.lit(0), F.lit(3)))
-    size = limits.where(F.col("unit") == "bytes").select("source", "length", short.alias("s")).select("source", (F.col("length") - F.col("s")).alias("bytes")).distinct().withColumn("at_bytes", F.lit(True))
-    blocks = block_sources(features).withColumn("blocked", F.lit(True))
-    rows = (
-        features.join(partial, "final", "left").join(chars, ["source", "chars"], "left").join(size, ["source", "bytes"], "left").join(blocks, "source", "left")
-    )
-    full = (F.col("chars") > 0) & ((F.col("chars") % BLOCK == 0) | (F.col("bytes") % BLOCK == 0))
+    size = limits.where(F.col("unit") == "bytes").select("source", "length", short.alias("less"))
+    size = size.groupBy("source", (F.col("length") - F.col("less")).alias("bytes")).agg(F.min("less").alias("less"))
+    rows = features.join(partial, "final", "left").join(chars, ["source", "chars"], "left").join(size, ["source", "bytes"], "left")
+    no = F.lit(False)
+    at_chars, plain = F.coalesce("at_chars", no), ~F.col("marked")
     rows = rows.select(
-        "doc_id", "source", "ended", "open", "deep",
-        (F.coalesce("partial", F.lit(False)) & ~F.col("ended") & ~F.col("marked")).alias("partial"),
-        (F.coalesce("at_chars", F.lit(False)) | (F.coalesce("at_bytes", F.lit(False)) & ~F.col("marked"))).alias("limit"),
-        (F.coalesce("blocked", F.lit(False)) & full).alias("block"),
+        "doc_id", "source", "ended", "shut", "open", "deep", full_blocks().alias("full"),
+        (F.coalesce("partial", no) & ~F.col("ended") & plain).alias("partial"),
+        (at_chars | (F.col("less").isNotNull() & plain)).alias("limit"),
+        (at_chars | (F.coalesce(F.col("less") == 0, no) & plain)).alias("exact"),
     )
-    cut = F.when(F.col("ended"), F.col("open") | ((F.col("limit") | F.col("block")) & F.col("deep"))).otherwise(F.col("limit") | F.col("block") | F.col("partial") | F.col("open"))
-    return rows.withColumn("truncated", cut)
+    rows = materialize(rows, "rows")
+    blocks = block_sources(rows.where(~F.col("limit"))).withColumn("blocked", F.lit(True))
+    rows = rows.join(blocks, "source", "left").withColumn("block", F.coalesce("blocked", no) & F.col("full")).drop("blocked", "full")
+    whole = F.col("open") | (F.col("exact") & ~F.col("shut")) | ((F.col("limit") | F.col("block")) & F.col("deep"))
+    return rows.withColumn("truncated", F.when(F.col("ended"), whole).otherwise(F.col("limit") | F.col("block") | F.col("partial") | F.col("open")))
 
 
 def truncated_documents(docs: DataFrame) -> DataFrame:
