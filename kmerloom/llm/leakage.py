@@ -25,7 +25,7 @@ SEED = 6
 SLACK = 20
 RARE_DOCS, RARE_SHARE = 20, 0.001
 CHUNK_BYTES = 4 << 20
-ITEM_BLOCK_CHARS = 16 << 20
+ITEM_BLOCK_CHARS = 4 << 20
 MATCH, MISMATCH, GAP = 2, -1, -1
 
 _WORD = re.compile(r"[A-Za-z0-9_]+")

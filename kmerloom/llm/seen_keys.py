@@ -26,6 +26,7 @@ SHARD_KEYS = 100_000
 BATCH = 4096
 RUNS = 4
 MOST_BITS = 12
+RECENT_KEYS = 200_000
 DEFAULT_WORDS = 32_768
 
 _BLOCKS = "root int, shard int, r int, modulus bigint, block int, first bigint, cnt int, payload binary"
@@ -46,17 +47,29 @@ def low_key_set(low_keys: DataFrame) -> DataFrame:
 
 
 def collapse_batches(arrivals: DataFrame) -> DataFrame:
-    """arrival_id, key, sure. Within an Arrow batch only the first arrival of a key goes on; the others are
-    certain to be seen (sure). A key that holds a third of all rows leaves one row a batch."""
+    """arrival_id, key, sure. Only the first arrival of a key goes on; the others are certain to be seen (sure).
+
+    That holds within an Arrow batch, and across the batches of a partition for the last ``RECENT_KEYS`` keys:
+    a key that holds a third of all rows leaves a few rows a partition.
+    """
 
     def collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        recent: dict[int, int] = {}
         for b in batches:
             ids, keys = b.column("arrival_id").to_numpy(), b.column("key").to_numpy()
             order = np.lexsort((ids, keys))
             ids, keys = ids[order], keys[order]
             new = np.ones(len(keys), bool)
             new[1:] = keys[1:] != keys[:-1]
-            first = ids[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(ids) else ids
+            heads = np.flatnonzero(new)
+            if len(recent) > RECENT_KEYS:
+                recent.clear()
+            known = []
+            for k, i in zip(keys[heads].tolist(), ids[heads].tolist(), strict=True):
+                known.append(recent.get(k, i))
+                if known[-1] >= i:
+                    recent[k] = i
+            first = np.minimum(ids[heads], known)[np.cumsum(new) - 1] if len(ids) else ids
             again = np.zeros(len(keys), bool)
             again[1:] = ~new[1:] & (ids[1:] == ids[:-1])
             keep = ~again

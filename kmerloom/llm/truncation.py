@@ -29,6 +29,7 @@ NEIGHBOURS = 32
 RARITY = 0.01
 LEAST_KNOWN = 5
 MOST_PARTS = 6
+LONGEST_WORD = 64
 
 _WORD = re.compile(r"[^\W\d_]+")
 _CAMEL = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[^\WA-Z\d_]+")
@@ -149,7 +150,7 @@ def open_select(text: str) -> bool:
 def vocabulary(docs: DataFrame, column: str = "text") -> DataFrame:
     """word, n: in about how many texts each word occurs before the final word. Null texts have none.
 
-    Tokens of more than ``MOST_PARTS`` parts are encoded data, no words.
+    Tokens of more than ``MOST_PARTS`` parts, and parts of more than ``LONGEST_WORD`` letters, are encoded data, no words.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,6 +173,8 @@ def vocabulary(docs: DataFrame, column: str = "text") -> DataFrame:
             if len(parts) > MOST_PARTS:  # encoded data, no word
                 continue
             for w in parts:
+                if len(w) > LONGEST_WORD:
+                    continue
                 words["." + w if len(w) == 1 and len(parts) > 1 else w] += n
         return pa.RecordBatch.from_pydict({"word": list(words), "n": list(words.values())}, schema=pa.schema({"word": pa.string(), "n": pa.int64()}))
 
@@ -275,6 +278,9 @@ def judged_texts(docs: DataFrame) -> DataFrame:
     short = F.explode(F.sequence(F.lit(0), F.lit(3)))
     size = limits.where(F.col("unit") == "bytes").select("source", "length", short.alias("less"))
     size = size.groupBy("source", (F.col("length") - F.col("less")).alias("bytes")).agg(F.min("less").alias("less"))
+    # texts that end in no word get keys of their own: one null key for all would fill one task
+    own = F.concat(F.lit("#"), F.col("digest").cast("string"))
+    features = features.withColumn("final", F.when(F.col("ended"), own).otherwise(F.coalesce("final", own)))
     rows = features.join(partial, "final", "left").join(chars, ["source", "chars"], "left").join(size, ["source", "bytes"], "left")
     no = F.lit(False)
     at_chars, plain = F.coalesce("at_chars", no), ~F.col("marked")

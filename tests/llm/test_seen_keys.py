@@ -98,6 +98,17 @@ def test_small_batches_and_runs(spark, monkeypatch):
     assert {r.arrival_id for r in got.collect()} == brute(low, rows)
 
 
+def test_hot_key_leaves_few_rows(spark, monkeypatch):
+    rows = spark.range(0, 30_000, 1, 1).selectExpr("30000 - id AS arrival_id", "IF(id % 3 = 0, 7, id) AS key")
+    for recent in (200_000, 5):
+        monkeypatch.setattr(seen_keys, "RECENT_KEYS", recent)
+        out = seen_keys.collapse_batches(rows)
+        assert out.count() == 30_000 and out.where("key = 7 AND NOT sure").count() <= 3 and out.where("key <> 7 AND sure").count() == 0
+    up = spark.range(0, 30_000, 1, 1).selectExpr("id AS arrival_id", "IF(id % 3 = 0, 7L, id) AS key")
+    monkeypatch.setattr(seen_keys, "RECENT_KEYS", 200_000)
+    assert seen_keys.collapse_batches(up).where("key = 7 AND NOT sure").count() == 1
+
+
 def test_shards(spark, monkeypatch):
     monkeypatch.setattr(seen_keys, "SHARD_KEYS", 2)
     low, rows = make(random.Random(10), 300)
