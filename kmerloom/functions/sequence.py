@@ -6,6 +6,8 @@ it has 2 bits a base (A=0, C=1, G=2, T=3), left-aligned in 64 bits, so a packed
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -58,12 +60,21 @@ def pack_key(key: Column, k: int) -> Column:
     return F.shiftleft(base_code(key), 64 - 2 * k)
 
 
+def left_aligned_text(packed: Column, k: int) -> Column:
+    """Text of the k bases in the high bits of a number, four bases a look-up in the table of all such texts."""
+    table = F.expr("split('" + ",".join(map("".join, product(BASES, repeat=4))) + "', ',')")  # folded to a constant
+    parts = []
+    for at in range(0, k, 4):
+        text = F.get(table, F.shiftrightunsigned(packed, 56 - 2 * at).bitwiseAND(255).cast("int"))
+        parts.append(text if at + 4 <= k else F.substring(text, 1, k - at))
+    return F.concat(*parts)
+
+
 def unpack_key(packed: Column, k: int) -> Column:
     """Key text of a packed stored key; bits below the k bases are ignored."""
     if not 1 <= k <= MAX_PACKED_K:
         raise ValueError(f"k must be 1..{MAX_PACKED_K} for packed keys")
-    digits = F.conv(F.shiftrightunsigned(packed, 64 - 2 * k).cast("string"), 10, 4)
-    return F.translate(F.lpad(digits, k, "0"), "0123", BASES)
+    return left_aligned_text(packed, k)
 
 
 def packed_root(packed: Column) -> Column:

@@ -19,6 +19,13 @@ def in_count_range(df: DataFrame, col: str, min_count: int = 1, max_count: int |
     return out.where(F.col(col) <= max_count) if max_count is not None else out
 
 
+def count_chunks(reads: DataFrame, k: int, seq: str = "seq") -> DataFrame:
+    """c0, c1, ..., cnt: counts of keys as numbers of 31 bases each, which sort like their texts."""
+    chunks = kmers.chunk_counts(reads, k, seq)
+    names = [c for c in chunks.columns if c != "n"]
+    return chunks.groupBy(*names).agg(F.sum("n").alias("cnt"))
+
+
 def count_kmers(
     reads: DataFrame,
     k: int,
@@ -36,10 +43,8 @@ def count_kmers(
     short reads add nothing.
     """
     if method == "arrays":
-        chunks = kmers.chunk_counts(reads, k, seq)
-        names = [c for c in chunks.columns if c != "n"]
-        counts = chunks.groupBy(*names).agg(F.sum("n").alias("cnt")).select(*names, "cnt")
-        counts = _in_range(counts, min_count, max_count, compat).select(kmers.chunk_text(k).alias("kmer"), "cnt")
+        chunks = _in_range(count_chunks(reads, k, seq), min_count, max_count, compat)
+        counts = chunks.select(kmers.chunk_text(k).alias("kmer"), "cnt")
     elif method == "sql":
         keys = kmers.key_rows(reads.select(seq), k, seq)
         counts = _in_range(keys.groupBy("kmer").agg(F.count(F.lit(1)).alias("cnt")), min_count, max_count, compat)

@@ -97,14 +97,23 @@ def canonical_chunks(codes: np.ndarray, k: int) -> list[np.ndarray]:
 
 
 def _counts(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-    order = np.argsort(columns[0], kind="stable") if len(columns) == 1 else np.lexsort(columns[::-1])
-    columns = [c[order] for c in columns]
-    new = np.zeros(len(order), bool)
+    """Keys and their numbers. Keys of several columns are brought together by a hash of them: should two keys
+    share it, a key may come out in several rows, which are summed later."""
+    if len(columns) == 1:
+        columns = [np.sort(columns[0])]
+    else:
+        mixed = np.zeros(len(columns[0]), np.uint64)
+        for c in columns:
+            mixed = (mixed ^ c.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            mixed ^= mixed >> np.uint64(32)
+        order = np.argsort(mixed)
+        columns = [c[order] for c in columns]
+    new = np.zeros(len(columns[0]), bool)
     new[:1] = True
     for c in columns:
         new[1:] |= c[1:] != c[:-1]
     at = np.flatnonzero(new)
-    return [c[at] for c in columns], np.diff(np.append(at, len(order)))
+    return [c[at] for c in columns], np.diff(np.append(at, len(new)))
 
 
 def chunk_counts(reads: DataFrame, k: int, seq: str = "seq") -> DataFrame:
@@ -139,7 +148,5 @@ def chunk_counts(reads: DataFrame, k: int, seq: str = "seq") -> DataFrame:
 
 def chunk_text(k: int) -> Column:
     """Key text of the columns c0, c1, ... of chunk_counts."""
-    parts = [
-        F.translate(F.lpad(F.conv(F.col(f"c{i}").cast("string"), 10, 4), w, "0"), "0123", S.BASES) for i, w in enumerate(chunk_widths(k))
-    ]
+    parts = [S.left_aligned_text(F.shiftleft(F.col(f"c{i}"), 64 - 2 * w), w) for i, w in enumerate(chunk_widths(k))]
     return parts[0] if len(parts) == 1 else F.concat(*parts)

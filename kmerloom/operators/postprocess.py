@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kmerloom.operators.counting import low_minus_root
+from kmerloom.operators.counting import count_chunks, low_minus_root
+from kmerloom.operators.kmers import chunk_text
 from kmerloom.operators.spectrum import legacy
 from kmerloom.session import materialize
 
@@ -47,6 +48,13 @@ def ranked(df: DataFrame, *by: str) -> DataFrame:
     return out.select(*df.columns, (F.col("_shift") + F.col("_at") + 1).alias("rank"))
 
 
+def ranked_counts(reads: DataFrame, k: int, seq: str = "seq") -> DataFrame:
+    """kmer, cnt, rank in key order; keys are sorted as numbers and spelled last."""
+    chunks = count_chunks(reads, k, seq)
+    out = ranked(chunks, *[c for c in chunks.columns if c != "cnt"])
+    return out.select(chunk_text(k).alias("kmer"), "cnt", "rank")
+
+
 def postprocess(low: DataFrame, root: DataFrame) -> PostProcessed:
     """final_low: sorted keys that never repeat; final_root: repeats by root and key; histogram: freq, n."""
     return PostProcessed(

@@ -201,7 +201,7 @@ def top_kmers(spark: SparkSession, d: str) -> DataFrame:
 
 def sorted_export(spark: SparkSession, d: str) -> DataFrame:
     """rank, kmer, cnt in key order."""
-    return postprocess.ranked(counts(spark, d), "kmer")
+    return postprocess.ranked_counts(reads(spark, d), K)
 
 
 def postprocess_final_root(spark: SparkSession, d: str) -> DataFrame:
