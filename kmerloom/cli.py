@@ -55,6 +55,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         # both pieces come from one written table: reads are counted once
         counts.write.mode("overwrite").parquet(f"{a.output}/counts")
         counts = spark.read.schema(counts.schema).parquet(f"{a.output}/counts")
+        report = counting.totals(counts).first()
+        print(f"k-mers read: {report['total']}, distinct: {report['distinct_keys']}, repeated: {report['repeated_keys']}")
         low, root = counting.first_sightings(counts), counting.repeats(counts, a.min_count, a.max_count)
         if a.format == "parquet":
             tables.write_counts(low, root, a.output)

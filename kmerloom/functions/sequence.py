@@ -77,6 +77,16 @@ def unpack_key(packed: Column, k: int) -> Column:
     return left_aligned_text(packed, k)
 
 
+def shift_bases_left(packed: Column, bases: int) -> Column:
+    """Packed number without its first bases, zeros (A) coming in at the end."""
+    return F.shiftleft(packed, 2 * bases)
+
+
+def shift_bases_right(packed: Column, bases: int) -> Column:
+    """Packed number with zeros (A) before its first base."""
+    return F.shiftrightunsigned(packed, 2 * bases)
+
+
 def packed_root(packed: Column) -> Column:
     """Root number (0..255) of a packed key: its first 4 bases."""
     return F.shiftrightunsigned(packed, 56).cast("int")

@@ -88,10 +88,13 @@ def merge_low_root(low: DataFrame, root: DataFrame) -> DataFrame:
 
 
 def lookup_counts(counts: DataFrame, wanted: DataFrame, key: str = "kmer") -> DataFrame:
-    """wanted with the column cnt: the count of its key, 0 for keys that do not occur; a null key has a null count."""
-    found = counts.select(F.col("kmer").alias("_k"), "cnt")
-    out = wanted.join(found, F.col(key) == F.col("_k"), "left").drop("_k")
-    return out.withColumn("cnt", F.when(F.col(key).isNotNull(), F.coalesce("cnt", F.lit(0))))
+    """wanted with the column cnt: the count of its key, 0 for keys that do not occur; a null key has a null count.
+
+    A column cnt of wanted gives way; repeated rows stay.
+    """
+    found = counts.select(F.col("kmer").alias("_k"), F.col("cnt").alias("_n"))
+    out = wanted.drop("cnt").join(found, F.col(key) == F.col("_k"), "left")
+    return out.withColumn("cnt", F.when(F.col(key).isNotNull(), F.coalesce("_n", F.lit(0)))).drop("_k", "_n")
 
 
 def members(wanted: DataFrame, counts: DataFrame, key: str = "kmer") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kmerloom.functions import sequence as S
@@ -53,6 +53,12 @@ def bloom_capacity(roots: DataFrame, raw_bytes: int) -> DataFrame:
     return sized.select("root", "n", F.greatest(fit, F.lit(LEAST_WORDS)).cast("bigint").alias("capacity"))
 
 
+def by_load(roots: DataFrame) -> DataFrame:
+    """root, n, turn: roots in descending order of n, equal ones in order of root; a window over 256 rows."""
+    order = Window.orderBy(F.desc("n"), F.asc("root"))
+    return roots.select("root", "n", F.row_number().over(order).alias("turn"))
+
+
 def prefix_owners(roots: DataFrame, owners: int) -> DataFrame:
     """root, n, owner: longest-processing-time assignment of the 256 roots; equal counts in order of root."""
     rows = roots.select("root", "n").orderBy("root").collect()  # 256 rows

@@ -126,6 +126,11 @@ UNION ALL SELECT 1 FROM low WHERE kmer NOT IN (SELECT kmer FROM root)) GROUP BY
     "prefix_owner_totals": _with(
         f"{counts()},\n{ROOTS}", "SELECT CAST(12 AS BIGINT) AS owners, count(*) AS prefixes, CAST(sum(n) AS BIGINT) AS load FROM roots"
     ),
+    "prefix_load_order": _with(
+        f"{counts()},\n{ROOTS}", "SELECT root, CAST(n AS BIGINT) AS n, CAST(row_number() OVER (ORDER BY n DESC, root) AS INTEGER) AS turn FROM roots"
+    ),
+    "packed_shifts": _with(PIECES, "SELECT kmer, substring(kmer, 2) || 'A' AS shorter, 'A' || kmer AS longer FROM low"),
+    "observed_totals": _with(counts(), "SELECT CAST(sum(cnt) AS BIGINT) AS total, count(*) AS distinct_keys FROM counts"),
     "sampled_prefix_counts": _with(
         counts(f"SELECT * FROM ({READS}) WHERE read_id % 3 = 0"), "SELECT left(kmer, 4) AS prefix, CAST(sum(cnt) AS BIGINT) AS n FROM counts GROUP BY 1"
     ),

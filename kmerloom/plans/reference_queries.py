@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from kmerloom.functions import sequence as S
@@ -257,6 +257,25 @@ def prefix_owner_totals(spark: SparkSession, d: str) -> DataFrame:
     return loads.agg(F.count(F.lit(1)).alias("owners"), F.sum("prefixes").cast("bigint").alias("prefixes"), F.sum("load").cast("bigint").alias("load"))
 
 
+def prefix_load_order(spark: SparkSession, d: str) -> DataFrame:
+    return prefix_stats.by_load(prefix_stats.all_roots(counts(spark, d)))
+
+
+def packed_shifts(spark: SparkSession, d: str) -> DataFrame:
+    """kmer, and its packed word without the first base and with one more before it, spelled again."""
+    packed = S.pack_key(F.col("kmer"), K)
+    left, right = S.shift_bases_left(packed, 1), S.shift_bases_right(packed, 1)
+    return low_root(spark, d)[0].distinct().select("kmer", S.unpack_key(left, K).alias("shorter"), S.unpack_key(right, K + 1).alias("longer"))
+
+
+def observed_totals(spark: SparkSession, d: str) -> DataFrame:
+    """total, distinct_keys: metrics observed while the counts are written, without another pass."""
+    seen = Observation("kmers")
+    c = counts(spark, d).observe(seen, F.sum("cnt").alias("total"), F.count(F.lit(1)).alias("distinct_keys"))
+    materialize(c, "observed")
+    return spark.createDataFrame([(seen.get["total"], seen.get["distinct_keys"])], "total bigint, distinct_keys bigint")
+
+
 def sampled_prefix_counts(spark: SparkSession, d: str) -> DataFrame:
     """Prefix counts of a third of the reads, the sampling scan that precedes a run."""
     part = reads(spark, d).where(F.col("read_id") % 3 == 0)
@@ -302,7 +321,7 @@ _PLAIN = (
     sql_kmers_table_function, packed_key_hex, kmer_counts_min_max, kmer_counts_compat, low_first_sightings, root_repeats, low_root_full_outer_merge,
     low_minus_root, distinct_root_keys, count_lookup, kmer_membership, kmer_totals, top_kmers, sorted_export, postprocess_final_root,
     spectrum_reads_k21, spectrum_precise, spectrum_ranged_dense, spectrum_approximate, spectrum_legacy, root_prefix_counts, prefix_floor_avg,
-    bloom_capacity, prefix_owner_lpt, prefix_owner_totals, sampled_prefix_counts, low_bin_round_trip, root_bin_round_trip, parquet_round_trip,
+    bloom_capacity, prefix_owner_lpt, prefix_owner_totals, prefix_load_order, packed_shifts, observed_totals, sampled_prefix_counts, low_bin_round_trip, root_bin_round_trip, parquet_round_trip,
     streaming_kmer_counts,
 )
 

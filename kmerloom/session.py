@@ -11,6 +11,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_SCRATCH: list[str] = []
+_WRITTEN: list[str] = []
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -56,7 +57,19 @@ def _drop_local_scratch() -> None:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/kmerloom/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/kmerloom/{label}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
+def drop_written(spark: SparkSession) -> int:
+    """Delete all intermediate tables that this process wrote; results that still read them must be saved first."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    dropped = 0
+    while _WRITTEN:
+        p = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        dropped += bool(p.getFileSystem(conf).delete(p, True))
+    return dropped
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

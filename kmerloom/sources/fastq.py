@@ -6,6 +6,9 @@ first two bytes, not by its name, and read as one partition. Plain files are cut
 ``+`` line, quality of the sequence's length), so quality lines that begin with ``@`` do no harm. A cut
 that can't be told stays out, at worst the file is one partition. Files must lie on a file system that
 every executor sees under the same path.
+
+With ``sampleBytes`` only about so many bytes of each file are read: a third each at its start, middle and end,
+or the head of a compressed file.
 """
 
 from __future__ import annotations
@@ -64,21 +67,43 @@ def split_offsets(path: str, split_bytes: int) -> list[int]:
     return [*cuts, size]
 
 
+def sample_offsets(path: str, most: int) -> list[tuple[int, int]]:
+    """Record-aligned byte ranges of a sampling scan, without overlap; a range that can't be aligned stays out."""
+    out: list[tuple[int, int]] = []
+    size = os.path.getsize(path)
+    with open(path, "rb") as f:
+        for a, b in sampled_bytes(path, most):
+            if a:
+                f.seek(a)
+                probe = f.read(PROBE_BYTES)
+                start = record_start(probe, a + len(probe) >= size)
+                if start is None:
+                    continue
+                a += start
+            a = max(a, out[-1][1] if out else 0)
+            if a < b:
+                out.append((a, b))
+    return out
+
+
 class FastqPart(InputPartition):
-    def __init__(self, path: str, start: int, end: int | None):
-        self.path, self.start, self.end = path, start, end
+    def __init__(self, path: str, start: int, end: int | None, most: int | None = None):
+        self.path, self.start, self.end, self.most = path, start, end, most
 
 
 class FastqReader(DataSourceReader):
     def __init__(self, options: dict):
         self.paths = data_files(options["path"])
         self.split_bytes = int(options.get("splitBytes", SPLIT_BYTES))
+        self.sample = int(options["sampleBytes"]) if "sampleBytes" in options else None
 
     def partitions(self) -> list[InputPartition]:
         parts: list[InputPartition] = []
         for path in self.paths:
             if is_gzip(path):
-                parts.append(FastqPart(path, 0, None))
+                parts.append(FastqPart(path, 0, None, self.sample))
+            elif self.sample:
+                parts += [FastqPart(path, a, b) for a, b in sample_offsets(path, self.sample)]
             else:
                 cuts = split_offsets(path, self.split_bytes)
                 parts += [FastqPart(path, a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
@@ -90,7 +115,7 @@ class FastqReader(DataSourceReader):
         opened = gzip.open(part.path, "rb") if part.end is None else open(part.path, "rb")  # noqa: SIM115
         with opened as f:
             f.seek(part.start)
-            yield from record_batches(f, part.path, part.start, part.end)
+            yield from record_batches(f, part.path, part.start, part.most if part.end is None else part.end)
 
 
 def record_batches(f, path: str, at: int, end: int | None) -> Iterator[pa.RecordBatch]:

@@ -61,6 +61,21 @@ def test_fastq_ambiguous_and_short(spark, tmp_path):
     assert len(spans) == 3 and all(b - a == 10 for a, b in spans)
 
 
+def test_fastq_sample(spark, tmp_path):
+    import random
+
+    rng = random.Random(11)
+    reads = [bases(rng, 50) for _ in range(2000)]
+    (tmp_path / "r.fastq").write_text(fastq_text(reads))
+    rows = load(spark, tmp_path / "r.fastq", sampleBytes=30_000).orderBy("read_id").collect()
+    assert 200 < len(rows) < 320 and rows[0].seq == reads[0] and rows[-1].seq == reads[-1]
+    assert len({r.read_id for r in rows}) == len(rows) and {r.seq for r in rows} <= set(reads)
+    assert load(spark, tmp_path / "r.fastq", sampleBytes=10_000_000).count() == 2000
+    (tmp_path / "r.gz").write_bytes(gzip.compress(fastq_text(reads).encode()))
+    head = load(spark, tmp_path / "r.gz", sampleBytes=10_000).orderBy("read_id").collect()
+    assert 60 < len(head) < 110 and [r.seq for r in head] == reads[: len(head)]
+
+
 WORDS33 = [(0x0123456789ABCDEF, 0xC0000000000000FF), (0xFEDCBA9876543210, 0x8000000000001234), (0x1111222233334444, 0x40000000FFFFFFFF)]
 
 
@@ -132,6 +147,17 @@ def test_empty_binary_output(spark, tmp_path):
     assert binary.read_root(spark, str(tmp_path / "roots"), 21).count() == 0
 
 
+def test_drop_written(spark):
+    from kmerloom import session
+
+    df = session.materialize(spark.range(5), "x")
+    path = session._WRITTEN[-1].removeprefix("file://")
+    assert df.count() == 5 and os.path.isdir(path)
+    kept, session._WRITTEN[:] = session._WRITTEN[:-1], session._WRITTEN[-1:]
+    assert session.drop_written(spark) == 1 and not os.path.isdir(path)
+    session._WRITTEN[:] = kept
+
+
 def test_text_sinks(spark, tmp_path):
     s = spark.createDataFrame([(2, 0), (1, 5), (3, 7)], "freq long, n long")
     tables.write_spectrum(s, str(tmp_path / "s"))
