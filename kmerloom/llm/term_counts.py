@@ -28,7 +28,8 @@ def signed_deltas(images: DataFrame) -> DataFrame:
 
     All items of a touched record must be there, the unchanged ones too. Equal images cancel out.
     """
-    signed = images.select("record", F.explode(F.array(F.struct(F.col("old").alias("term"), F.lit(-1).alias("sign")), F.struct(F.col("new").alias("term"), F.lit(1).alias("sign")))).alias("s")).select("record", "s.*")
+    sides = [F.struct(F.col(c).alias("term"), F.lit(sign).alias("sign")) for c, sign in (("old", -1), ("new", 1))]
+    signed = images.select("record", F.explode(F.array(*sides)).alias("s")).select("record", "s.*")
     pairs = (
         signed.where(F.col("term").isNotNull())
         .groupBy("record", "term")
@@ -155,24 +156,32 @@ class TermCountStore:
         return deltas
 
     def _images(self, new: DataFrame) -> DataFrame:
-        """Old and new images of all items of every record that the changed items are or were in."""
+        """Old and new images of all items of every record that the changed items are or were in.
+
+        The ledger is read twice: two columns for the records that changed items were in, then the touched
+        records. Items without a record are touched one by one.
+        """
         new = materialize(new, "changes")
         log = self.ledger()
-        current = log.join(new.select("item"), "item", "left_semi").select("record").where(F.col("record").isNotNull())
-        touched = current.unionByName(new.select("record").where(F.col("record").isNotNull())).distinct()
-        whole = log.join(touched, "record", "left_semi")
-        loose = log.where(F.col("record").isNull()).join(new.select("item"), "item", "left_semi")
-        last = whole.unionByName(loose).groupBy("item").agg(F.max_by(F.struct("record", "term"), "version").alias("l"))
+        alone = F.when(F.col("record").isNull(), F.col("item"))
+        was_in = log.join(new.select("item"), "item", "left_semi").select("record", "item")
+        touched = was_in.unionByName(new.select("record", "item")).select("record", alone.alias("alone")).distinct().alias("t")
+        keyed = log.withColumn("alone", alone).alias("l")
+        same = F.col("l.record").eqNullSafe(F.col("t.record")) & F.col("l.alone").eqNullSafe(F.col("t.alone"))
+        whole = keyed.join(touched, same, "left_semi")
+        last = whole.groupBy("item").agg(F.max_by(F.struct("record", "term"), F.struct("version", F.col("term").isNotNull())).alias("l"))
         old = last.where(F.col("l.term").isNotNull()).select("item", F.col("l.record").alias("old_record"), F.col("l.term").alias("old"))
-        both = old.join(new.withColumn("given", F.lit(True)), "item", "full_outer")
-        given = F.coalesce("given", F.lit(False))
-        was = both.select("item", F.col("old_record").alias("record"), "old", F.when(~given, F.col("old")).alias("new"), F.lit(False).alias("changed"), given.alias("given"))
-        moved = both.where(given).select("item", "record", F.lit(None).cast(self.manifest["types"][2]).alias("old"), "new", ~(F.col("new").eqNullSafe(F.col("old")) & F.col("record").eqNullSafe(F.col("old_record"))))
-        return (
-            was.where(F.col("old").isNotNull())
-            .select("record", "item", "old", "new", "changed")
-            .unionByName(moved.toDF("item", "record", "old", "new", "changed").select("record", "item", "old", "new", "changed"))
+        both = old.join(new.withColumn("given", F.lit(True)), "item", "full_outer").withColumn("given", F.coalesce("given", F.lit(False)))
+        none = F.lit(None).cast(self.manifest["types"][2])
+        moved = ~F.col("record").eqNullSafe(F.col("old_record"))
+        changed = moved | ~F.col("new").eqNullSafe(F.col("old"))
+        # an item that moves leaves a deletion in the record it was in
+        before = F.struct(
+            F.col("old_record").alias("record"), "old", F.when(~F.col("given"), F.col("old")).alias("new"), (F.col("given") & moved).alias("changed")
         )
+        after = F.when(F.col("given"), F.struct("record", none.alias("old"), "new", changed.alias("changed")))
+        images = both.select("item", F.explode(F.array(F.when(F.col("old").isNotNull(), before), after)).alias("i"))
+        return images.where(F.col("i").isNotNull()).select("i.record", "item", "i.old", "i.new", "i.changed")
 
 
 def mark_terms(counts: DataFrame, min_count: int | None, max_count: int | None) -> DataFrame:

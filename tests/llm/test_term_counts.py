@@ -67,6 +67,15 @@ def test_persistence_and_untouched_buckets(spark):
         again.apply(spark.range(1))
 
 
+def test_item_that_moved_away_is_gone(spark):
+    """Its old record must not count it when that record changes later."""
+    store, items = TermCountStore(spark, buckets=2), {}
+    for load in ([(1, 1, "x"), (2, 5, "y")], [(2, 1, "x")], [(1, 2, "x")], [(1, 1, "x")], [(2, 3, "x"), (1, 1, None)], [(1, 2, None)]):
+        items.update({i: (r, t) for r, i, t in load})
+        store.apply(spark.createDataFrame(load, TYPES))
+        assert stored(store) == state(items)
+
+
 def test_first_load_edge_cases(spark):
     store = TermCountStore(spark)
     rows = [(1, None, "x"), (None, 1, "x"), (1, 2, "x"), (1, 2, "x"), (1, 3, None), (2, 4, ""), (2, 5, "y" * 50_000)]
