@@ -24,7 +24,7 @@ RUN = 15
 SEED = 6
 SLACK = 20
 RARE_DOCS, RARE_SHARE = 20, 0.001
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 ITEM_BLOCK_CHARS = 4 << 20
 MATCH, MISMATCH, GAP = 2, -1, -1
 
