@@ -17,7 +17,7 @@ from kmerloom.functions import sequence as S
 
 MAX_K = 128
 CHUNK_BASES = 31  # bases in one signed 64-bit column
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 2 << 20
 
 
 def check_k(k: int) -> None:
