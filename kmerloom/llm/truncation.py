@@ -30,6 +30,7 @@ RARITY = 0.01
 LEAST_KNOWN = 5
 MOST_PARTS = 6
 LONGEST_WORD = 64
+DOCSTRING_LINES = 2
 
 _WORD = re.compile(r"[^\W\d_]+")
 _CAMEL = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[^\WA-Z\d_]+")
@@ -40,7 +41,8 @@ _HEADER = re.compile(r"\A\s*(?:def|class|if|elif|for|while|with)\b[^:]*\Z")
 _PYTHON = re.compile(r"^[ \t]*(?:def|class) .*:[ \t\r]*$", re.M)
 _BRACES = re.compile(r"\{[ \t\r]*$|\)\s?\{", re.M)
 _STATEMENT = re.compile(r"[;{}][ \t\r]*$", re.M)
-_PROPERTY = re.compile(r"\A\s*\"[^\"]*\":\s*\"[^\"]*\",\Z")
+_PROPERTY = re.compile(r"\"[^\"]*\":\s*\"[^\"]*\",\Z")
+_TOP_COMMENT = re.compile(r"\A(?://|#|--)")
 _END_MARK = re.compile(r"(?:([-=*#_~])\1{2,}|\bEOF)\s*\Z")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _DIGITS = re.compile(r"\d+")
@@ -115,7 +117,8 @@ def open_structure(text: str) -> bool:
         return True
     if not bare:
         return False
-    if (_OPERATOR.search(bare) or _OPENER.search(bare)) and not _PROPERTY.search(bare):
+    braces = open_braces(text)
+    if (_OPERATOR.search(bare) or _OPENER.search(bare)) and (braces or not _PROPERTY.search(bare)):
         return True
     if last.count("(") > last.count(")") or last.count("[") > last.count("]"):
         return True
@@ -124,9 +127,10 @@ def open_structure(text: str) -> bool:
     comment = text.rfind("/*")
     if comment > text.rfind("*/") and not _STATEMENT.search(text, comment):
         return True
-    if text.count('"""') % 2 and not _STATEMENT.search(text, text.rfind('"""')):
+    quoted = text.rfind('"""')
+    if text.count('"""') % 2 and not _STATEMENT.search(text, quoted) and text.count("\n", quoted) <= DOCSTRING_LINES:
         return True
-    if open_braces(text) and (last[0] in " \t" or last[-1] not in "};)") and not _LISTED.search(last):
+    if braces and (last[0] in " \t" or last[-1] not in "};)" and not _TOP_COMMENT.search(last)) and not _LISTED.search(last):
         return True
     if _LONE_NAME.search(last) and " = " in text and last.strip() not in _LONE_WORDS:
         return True

@@ -60,7 +60,8 @@ def test_corpus(spark):
         ("/* note", True), ("/* note */", False), ("class Fleet:\n    ...", False), ("def f(x):\n    return 1\n\ndef g(y):\n", True), ("def f(x):\n    return 1\n\ndef g", True),
         ("int f()\n{\n\treturn 1;\n}", False), ("int f()\n{\n\treturn x", True), ("int f() {\n", True), ("if (x) {y = 2;}", False), ("a 0x12345678\nb 0x12345678\nc 0x123", True),
         ("a 0x12345678\nb 0x12345678\nc 0x12345678", False), ("SELECT a\nFROM b;\nSELECT c", True), ("SELECT a\nFROM b;", False), ("- harbor notch", False), ("text, then", False),
-        ("x = 1\n    lantern", True), ("while x:\n    pass", False),
+        ("x = 1\n    lantern", True), ("f() {\n\tif (a) {\n\t}\n// end of f", False), ('b}"key": "value",', False), ('{\n  "key": "value",', True),
+        ('def f():\n    """Note', True), ('def f():\n    """Note\n\n    a = 1\n    return 2\n\nx = 3', False), ("while x:\n    pass", False),
     ],
 )
 def test_open_structure(text, expected):
