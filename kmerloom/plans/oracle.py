@@ -1,6 +1,6 @@
 """Oracle SQL (DuckDB) of the core queries."""
 
-from kmerloom.plans.reference_oracle import ORACLE as REFERENCE
+from kmerloom.plans.counter_oracle import ORACLE as COUNTER
 from kmerloom.plans.sighting_sql import USABLE
 
 _OWNED = f"""WITH {USABLE},
@@ -16,5 +16,5 @@ ORACLE = {
 SELECT left(kmer, 4) AS prefix FROM usable GROUP BY 1 HAVING count(*) >= 0.04 * (SELECT count(*) FROM usable)""",
     "p1_prefix_load": f"{_OWNED} SELECT prefix, owner, {_LOAD} GROUP BY prefix, owner",
     "p1_owner_load": f"{_OWNED} SELECT owner, {_LOAD} GROUP BY owner",
-    **REFERENCE,
+    **COUNTER,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from kmerloom.operators import prefixes
-from kmerloom.plans.reference_queries import QUERIES as REFERENCE
+from kmerloom.plans.counter_queries import QUERIES as COUNTER
 from kmerloom.session import table
 
 
@@ -21,4 +21,4 @@ def p1_owner_load(spark: SparkSession, d: str) -> DataFrame:
     return prefixes.owner_load(table(spark, d, "kmer_sightings"), table(spark, d, "prefix_plan"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_prefix_load, p1_owner_load)} | REFERENCE
+QUERIES = {f.__name__: f for f in (p1_found, p1_prefix_load, p1_owner_load)} | COUNTER
