@@ -2,9 +2,9 @@
 
 Words are the longest runs of ``[A-Za-z0-9_]`` without case. Every window of ``run`` words of an item holds
 ``run - n + 1`` seeds (n-grams); the one found in the fewest documents is its rare seed. A document with
-the whole window has this seed, so candidates are complete. Seeds of few documents are rare too: they lead
-to edited copies. The corpus is read once: each batch is hashed with array operations, and only passages
-around seed hits leave it. Passages are aligned to their items.
+the whole window has this seed, so candidates are complete. An edited copy may hold none of the rare seeds,
+so the report aligns the passages of all seeds. The corpus is read once: each batch is hashed with array
+operations, and only passages around seed hits leave it. Passages are aligned to their items.
 """
 
 from __future__ import annotations
@@ -271,9 +271,11 @@ def align_passages(passages: DataFrame, index: SeedIndex) -> DataFrame:
     return passages.select("doc_id", "item", "at", "words").mapInArrow(score, "doc_id bigint, item_id bigint, at bigint, run int, score int, share double")
 
 
-def leaked_passages(docs: DataFrame, items: DataFrame, run: int = RUN, n: int = SEED) -> DataFrame:
+def leaked_passages(docs: DataFrame, items: DataFrame, run: int = RUN, n: int = SEED, every: bool = False) -> DataFrame:
     """doc_id, item_id, at, run, score, share of every passage of docs that holds a rare seed of an item.
 
+    Rare seeds find all passages with ``run`` words of an item. ``every`` takes the passages of all seeds: an edited
+    copy is then found however many documents hold its seeds.
     Items are a stated query set: they are taken in blocks of at most ``ITEM_BLOCK_CHARS`` characters (or one
     item), each set against all documents. Items shorter than ``run`` words, null texts and null ids have no
     result; repeated items count once; empty tables give no rows.
@@ -284,12 +286,15 @@ def leaked_passages(docs: DataFrame, items: DataFrame, run: int = RUN, n: int =
     items = items.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select("item_id", "text").distinct()
     chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-chars // ITEM_BLOCK_CHARS))
-    few = max(RARE_DOCS, RARE_SHARE * docs.count())
+    few = 0 if every else max(RARE_DOCS, RARE_SHARE * docs.count())
     parts = []
     for b in range(blocks):
         mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()
         index = SeedIndex.build([(r["item_id"], r["text"]) for r in mine], n)
         rows = materialize(find_passages(docs, index), "passages")
+        if every:
+            parts.append(materialize(align_passages(rows.where(F.col("item") >= 0), index), "aligned"))
+            continue
         seen = rows.where(F.col("item") == -1).select(F.explode(F.arrays_zip("seeds", "counts")).alias("c"))
         df = seen.groupBy(F.col("c.seeds").alias("seed")).agg(F.sum("c.counts").alias("n")).toArrow()  # a row for each seed of the block at most
         counts = dict(zip(df["seed"].to_pylist(), df["n"].to_pylist(), strict=True))
@@ -313,7 +318,7 @@ def leak_report(docs: DataFrame, items: DataFrame, run: int = RUN, share: float
 
     exact_docs hold ``run`` consecutive words; edited_docs do not, but align with at least ``share`` of the item.
     """
-    by_doc = leaked_passages(docs, items, run).groupBy("item_id", "doc_id").agg(F.max("run").alias("run"), F.max("share").alias("share"))
+    by_doc = leaked_passages(docs, items, run, every=True).groupBy("item_id", "doc_id").agg(F.max("run").alias("run"), F.max("share").alias("share"))
     found = by_doc.groupBy("item_id").agg(
         F.count(F.when(F.col("run") >= run, 1)).alias("exact_docs"),
         F.count(F.when((F.col("run") < run) & (F.col("share") >= share), 1)).alias("edited_docs"),

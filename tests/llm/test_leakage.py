@@ -69,6 +69,17 @@ def test_edited_copy_is_reported(spark):
     assert (rows[8].exact_docs, rows[8].edited_docs, rows[8].best_share) == (0, 0, 0.0)
 
 
+def test_edited_copy_is_reported_however_often_its_item_leaked(spark):
+    """More exact copies than RARE_DOCS; the seeds that the edited copy holds are also those of a second item."""
+    words = [f"u{i}" for i in range(80)]
+    edited = " ".join(x for i, w in enumerate(words) for x in ([] if i % 11 == 5 else ["new", w] if i % 13 == 7 else [w]))
+    copies = 3 * leakage.RARE_DOCS
+    docs = spark.createDataFrame([(d, " ".join(words)) for d in range(copies)] + [(1000, edited)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "set", " ".join(words)), (8, "set", " ".join(words) + " tail")], "item_id int, suite string, text string")
+    rows = {r.item_id: r for r in leakage.leak_report(docs, items).collect()}
+    assert {i: (r.exact_docs, r.edited_docs) for i, r in rows.items()} == {7: (copies, 1), 8: (copies, 1)}
+
+
 def plain_smith_waterman(a, b):
     h = np.zeros((len(a) + 1, len(b) + 1), int)
     for i in range(1, len(a) + 1):
