@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +14,7 @@ from kmerloom.operators.sightings import usable_sightings
 from kmerloom.session import materialize
 
 SIGMAS = 4.0
+DIMENSIONS = ("seen_day", "sample_id", "lane", "prefix")
 
 
 def sample_label(sample: Column) -> Column:
@@ -28,45 +32,44 @@ def dated_sightings(sightings: DataFrame) -> DataFrame:
 
 
 def sighting_sketches(sightings: DataFrame, m: int = pcsa.ROWS) -> DataFrame:
-    """Sketches of the finest groups: day, sample, lane and prefix. All coarser ones are unions of these."""
+    """Sketches of the finest groups: day, sample, lane and prefix, ``?`` if unknown. All coarser ones are unions of these."""
     base = dated_sightings(sightings).withColumn("prefix", S.root_text(S.packed_root(F.col("key"))))
-    return pcsa.sketch(base, ["seen_day", "sample_id", "lane", "prefix"], "key", m)
-
-
-#: The combinations that distinct_cube reports.
-GROUPINGS = (
-    (),
-    ("seen_day",),
-    ("sample_id",),
-    ("lane",),
-    ("prefix",),
-    ("seen_day", "sample_id"),
-    ("sample_id", "lane"),
-    ("seen_day", "prefix"),
-)
-DIMENSIONS = ("seen_day", "sample_id", "lane", "prefix")
+    known = [F.coalesce(F.col(d).cast("string"), F.lit("?")).alias(d) for d in DIMENSIONS]
+    return pcsa.sketch(base.select("key", *known), DIMENSIONS, "key", m)
+
+
+#: All combinations of the dimensions, finest first: distinct_cube reports each of them.
+GROUPINGS = tuple(g for size in range(len(DIMENSIONS), -1, -1) for g in combinations(DIMENSIONS, size))
+
+
+def parent_of(grouping: tuple[str, ...]) -> tuple[str, ...]:
+    """The grouping of one dimension more from which the sketches of grouping are united."""
+    more = next(d for d in ("lane", "sample_id", "seen_day", "prefix") if d not in grouping)  # few values first
+    return tuple(d for d in DIMENSIONS if d in grouping or d == more)
 
 
 def distinct_cube(sightings: DataFrame, m: int = pcsa.ROWS) -> DataFrame:
     """grouping, seen_day, sample_id, lane, prefix, n, estimate, std_error, low, high for every grouping.
 
     Dimensions outside the grouping are ``*``, unknown values ``?``. low and high are 4 standard errors off.
-    Expand copies sketch rows, never sightings. An empty table gives no rows.
+    Sketches are rolled up step by step, each grouping from one of one dimension more; sightings are sketched
+    once. An empty table gives no rows.
     """
-    fine = materialize(sighting_sketches(sightings, m), "sketches")
-    known = {d: F.coalesce(F.col(d).cast("string"), F.lit("?")) for d in DIMENSIONS}
-    views = F.array(
-        *[
-            F.struct(
-                F.lit("+".join(g) or "all").alias("grouping"),
-                *[(known[d] if d in g else F.lit("*")).alias(d) for d in DIMENSIONS],
-            )
-            for g in GROUPINGS
-        ]
-    )
-    rows = fine.select(F.explode(views).alias("g"), "row", "bits", "n").select("g.*", "row", "bits", "n")
+    name = "+".join
     by = ["grouping", *DIMENSIONS]
-    out = pcsa.estimate(pcsa.merge(rows, by), by, m)
+    fine = sighting_sketches(sightings, m).withColumn("grouping", F.lit(name(DIMENSIONS)))
+    level = materialize(fine.select(*by, "row", "bits", "n"), "sketches")
+    levels = [level]
+    for size in range(len(DIMENSIONS) - 1, -1, -1):
+        views: dict[str, list] = {}
+        for g in (x for x in GROUPINGS if len(x) == size):
+            view = F.struct(F.lit(name(g) or "all").alias("grouping"), *[(F.col(d) if d in g else F.lit("*")).alias(d) for d in DIMENSIONS])
+            views.setdefault(name(parent_of(g)), []).append(view)
+        children = F.coalesce(*[F.when(F.col("grouping") == p, F.array(*v)) for p, v in views.items()])  # null without any
+        rows = level.select(F.explode(children).alias("g"), "row", "bits", "n").select(*[f"g.{c}" for c in by], "row", "bits", "n")
+        level = materialize(pcsa.merge(rows, by), "sketches")
+        levels.append(level)
+    out = pcsa.estimate(reduce(DataFrame.unionByName, levels), by, m)
     error = F.col("std_error") * SIGMAS
     return out.withColumns({"low": F.greatest(F.col("estimate") - error, F.lit(0.0)), "high": F.col("estimate") + error})
 

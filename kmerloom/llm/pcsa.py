@@ -84,8 +84,11 @@ def estimate(sketches: DataFrame, by: Sequence[str], m: int = ROWS) -> DataFrame
 
     @F.pandas_udf("estimate double, std_error double")
     def solve(rows: pd.Series) -> pd.DataFrame:
-        est, se = likelihood_estimate(np.stack(rows.to_numpy()), m) if len(rows) else (np.zeros(0), np.zeros(0))
-        return pd.DataFrame({"estimate": est, "std_error": se})
+        if not len(rows):
+            return pd.DataFrame({"estimate": np.zeros(0), "std_error": np.zeros(0)})
+        lines, line = np.unique(np.stack(rows.to_numpy()), axis=0, return_inverse=True)  # small groups are often alike
+        est, se = likelihood_estimate(lines, m)
+        return pd.DataFrame({"estimate": est[line], "std_error": se[line]})
 
     out = grouped.select(*by, "n", solve(F.array(*[f"s{r}" for r in range(RANKS)])).alias("e"))
     return out.select(*by, "n", F.col("e.estimate").alias("estimate"), F.col("e.std_error").alias("std_error"))

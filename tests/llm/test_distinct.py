@@ -1,11 +1,13 @@
 import random
 from collections import defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
 from brute import SIGHTINGS, bases, pack, stored_key
 from pyspark.sql import functions as F
 
+from kmerloom.functions import sequence as S
 from kmerloom.llm import distinct, pcsa
 
 
@@ -85,6 +87,34 @@ def test_groups_equal_brute_force(spark):
     assert ("sample_id", "*", "?", "*", "*") in cube
 
 
+def test_cube_has_every_combination(spark):
+    """All 16 groupings, each with its groups, rows and distinct keys; a sample named ? is one with the unknown."""
+    rng = random.Random(4)
+    pool = [stored_key(bases(rng, 21)) for _ in range(40)]
+    rows = [
+        (i, i, 0, None, pack(key), rng.choice(["S1", " s2", "?", None]), rng.choice([1, 2, None]), rng.choice(["2026-03-01 10:00:00", "2026-03-02 10:00:00", None]), None)
+        for i, key in enumerate(rng.choices(pool, k=400))
+    ]
+    df = spark.createDataFrame(rows + rows[::9], SIGHTINGS.replace("timestamp", "string")).withColumn("seen_at", F.to_timestamp("seen_at"))
+    names = ("seen_day", "sample_id", "lane", "prefix")
+    usable = distinct.dated_sightings(df).withColumn("prefix", S.root_text(S.packed_root(F.col("key")))).collect()
+    assert len(usable) == 400
+    want = defaultdict(list)
+    for r in usable:
+        for size in range(5):
+            for g in combinations(names, size):
+                want["+".join(g) or "all", *["*" if d not in g else "?" if r[d] is None else str(r[d]) for d in names]].append(r.key)
+    got = {(r.grouping, *[r[d] for d in names]): r for r in distinct.distinct_cube(df).collect()}
+    assert len({x[0] for x in want}) == 16 and set(got) == set(want)
+    for g, keys in want.items():
+        assert got[g].n == len(keys) and got[g].low - 1 <= len(set(keys)) <= got[g].high + 1
+
+
+def test_groupings_roll_up():
+    assert len(set(distinct.GROUPINGS)) == 16
+    assert all(set(g) < set(distinct.parent_of(g)) and len(distinct.parent_of(g)) == len(g) + 1 for g in distinct.GROUPINGS[1:])
+
+
 def test_nothing(spark):
     df = spark.createDataFrame([], SIGHTINGS)
     assert distinct.diverse_groups(df).count() == 0
