@@ -89,6 +89,7 @@ SELECT DISTINCT read_id, run, reverse(translate(run, 'ACGT', 'TGCA')) AS revcomp
     "root_repeats": _with(counts(), f"SELECT CAST({ROOT} AS INTEGER) AS root, kmer, cnt - 1 AS cnt FROM counts WHERE cnt >= 2"),
     "root_bin_round_trip": _with(counts(), f"SELECT CAST({ROOT} AS INTEGER) AS root, kmer, cnt - 1 AS cnt FROM counts WHERE cnt >= 2"),
     "parquet_round_trip": _with(counts(), "SELECT kmer, cnt - 1 AS cnt FROM counts WHERE cnt >= 2 AND kmer[1] = 'A'"),
+    "parquet_merge_round_trip": _with(counts(), "SELECT kmer, cnt FROM counts"),
     "low_root_full_outer_merge": _with(PIECES, "SELECT kmer, cnt FROM merged"),
     "low_minus_root": _with(PIECES, "SELECT kmer FROM low WHERE kmer NOT IN (SELECT kmer FROM root)"),
     "distinct_root_keys": f"SELECT DISTINCT {CLEAN.format('kmer')} AS kmer FROM root_counts WHERE kmer IS NOT NULL",

@@ -296,12 +296,19 @@ def root_bin_round_trip(spark: SparkSession, d: str) -> DataFrame:
 
 
 def parquet_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    """kmer, cnt of one root, pruned to its partition, of the written pieces."""
+    """kmer, cnt of the repeats of roots 0 to 63, pruned to their partitions, as its SQL asks; not the whole of what is written."""
     path, c = new_path(spark, "pieces"), materialize(counts(spark, d), "counts")
     tables.write_counts(counting.first_sightings(c), counting.repeats(c), path)
     return tables.read_counts(spark, path)[1].where(F.col("root").between(0, 63)).select("kmer", "cnt")
 
 
+def parquet_merge_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """kmer, cnt: low and all roots as written and read again, merged to the true counts."""
+    path, c = new_path(spark, "pieces"), materialize(counts(spark, d), "counts")
+    tables.write_counts(counting.first_sightings(c), counting.repeats(c), path)
+    return counting.merge_low_root(*tables.read_counts(spark, path))
+
+
 def streaming_kmer_counts(spark: SparkSession, d: str) -> DataFrame:
     """kmer, cnt of a stream over all rows of the reads table, in complete mode until its input ends."""
     schema = table(spark, d, "fastq_reads").schema
@@ -322,7 +329,7 @@ _PLAIN = (
     low_minus_root, distinct_root_keys, count_lookup, kmer_membership, kmer_totals, top_kmers, sorted_export, postprocess_final_root,
     spectrum_reads_k21, spectrum_precise, spectrum_ranged_dense, spectrum_approximate, spectrum_legacy, root_prefix_counts, prefix_floor_avg,
     bloom_capacity, prefix_owner_lpt, prefix_owner_totals, prefix_load_order, packed_shifts, observed_totals, sampled_prefix_counts, low_bin_round_trip, root_bin_round_trip, parquet_round_trip,
-    streaming_kmer_counts,
+    parquet_merge_round_trip, streaming_kmer_counts,
 )
 
 QUERIES: dict[str, Query] = {

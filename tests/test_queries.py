@@ -3,8 +3,10 @@ import os
 import pytest
 from oracle_check import SMALL, no_product, same_as_oracle
 
+from kmerloom.plans import counter_queries
 from kmerloom.plans.oracle import ORACLE
 from kmerloom.plans.queries import QUERIES
+from kmerloom.sources import tables
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SMALL), reason="needs the driver's tables")
 
@@ -29,3 +31,19 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).columns == ["freq", "n"]
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("lost", ["kmer", "root = 200", "root between 64 and 255"])
+def test_round_trip_shows_what_is_lost(spark, monkeypatch, lost):
+    """A loss in the low piece, or in roots that do not begin with A, is seen."""
+    want = {(r.kmer, r.cnt) for r in counter_queries.counts(spark, SMALL).collect()}
+    query = QUERIES["parquet_merge_round_trip"]
+    assert {(r.kmer, r.cnt) for r in query(spark, SMALL).collect()} == want
+    read = tables.read_counts
+
+    def damaged(spark, path):
+        low, root = read(spark, path)
+        return (low.where("kmer >= 'C'"), root) if lost == "kmer" else (low, root.where(f"not ({lost})"))
+
+    monkeypatch.setattr(tables, "read_counts", damaged)
+    assert {(r.kmer, r.cnt) for r in query(spark, SMALL).collect()} != want

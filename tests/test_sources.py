@@ -195,3 +195,13 @@ def test_streams(spark, tmp_path):
     run.awaitTermination()
     final = spark.table("kmers_by_day").groupBy("window", "kmer").agg(F.max("cnt").alias("c"))
     assert final.agg(F.sum("c")).first()[0] <= 27 and final.count() >= 3
+
+
+def test_partition_pruning(spark, tmp_path):
+    counts = counting.count_kmers(spark.createDataFrame([(r,) for r in FIXTURE * 2], "seq string"), 4)
+    tables.write_counts(counting.first_sightings(counts), counting.repeats(counts), str(tmp_path))
+    roots = counting.repeats(counts).collect()
+    for root in {r.root for r in roots}:
+        one = tables.read_counts(spark, str(tmp_path))[1].where(F.col("root") == root)
+        assert {(r.kmer, r.cnt) for r in one.collect()} == {(r.kmer, r.cnt) for r in roots if r.root == root}
+        assert "root#" in one._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: ")[1].split("]")[0]
