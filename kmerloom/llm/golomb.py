@@ -7,6 +7,7 @@ from dataclasses import dataclass
 import numpy as np
 
 BLOCK = 128
+INDEX_BITS = 104  # of a block: 8 bytes first value, 1 byte count, 4 bytes offset
 
 
 def reduce_hashes(h: np.ndarray, modulus: int) -> np.ndarray:
@@ -30,8 +31,8 @@ class GolombSet:
 
     @property
     def bits(self) -> int:
-        """Bits of the gaps and of the block index (8 bytes first value, 1 byte count, 4 bytes offset)."""
-        return 8 * len(self.payload) + 8 * 13 * len(self.first)
+        """Bits of the gaps and of the block index."""
+        return 8 * len(self.payload) + INDEX_BITS * len(self.first)
 
     @classmethod
     def encode(cls, values: np.ndarray, r: int) -> GolombSet:
@@ -94,6 +95,89 @@ class GolombSet:
         return some & (there[at] == values)
 
 
-def fitting_bits(granted_bits: float, keys: int, most: int) -> int:
-    """Largest r, at most ``most``, whose set of that many keys fits the grant (about r + 2.6 bits a key); 1 at least."""
-    return int(np.clip(np.floor(granted_bits / max(1, keys) - 2.6), 1, most))
+def rice_parameter(values: int, modulus: int) -> int:
+    """Low bits r that code the gaps of so many values in 0..modulus-1 in the fewest bits."""
+    return _best_rice(np.array([max(1, values) / max(1, modulus)]))[0][0]
+
+
+def _best_rice(density: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each density of occupied places: the best r, and its mean bits a gap (ones, zero and low bits)."""
+    r = np.arange(40)
+    stay = np.power(1 - np.minimum(density[:, None], 1 - 1e-9), np.exp2(r))  # chance that a gap spans 2^r places
+    cost = r + 1 + stay / (1 - np.minimum(stay, 1 - 1e-12))
+    best = cost.argmin(1)
+    return best, cost[np.arange(len(best)), best]
+
+
+def target_range(keys: int, bits: float, most_bits: int) -> int:
+    """Largest range, at most keys << most_bits, whose Golomb-coded set of that many hashes fits the bits; 0 if none does.
+
+    A range below the number of keys is allowed: hashes then share places, the set is denser and wrong more often.
+    """
+    if keys < 1 or bits < INDEX_BITS + 8:
+        return 0
+    ranges = np.unique([c << j for j in range(56) for c in range(1 if j == 0 else 32, 64)])
+    ranges = ranges[ranges <= keys << most_bits]
+    if not len(ranges):
+        return 0
+    held = np.maximum(1, ranges * -np.expm1(-keys / ranges))
+    need = held * _best_rice(held / ranges)[1] + np.ceil(held / BLOCK) * (INDEX_BITS + 8)
+    fits = np.flatnonzero(1.02 * need + 3 * np.sqrt(need) <= bits)
+    return int(ranges[fits[-1]]) if len(fits) else 0
+
+
+def bounded_set(hashes: np.ndarray, bits: float, most_bits: int) -> tuple[GolombSet | None, int]:
+    """Set of the distinct hashes within the bits, and its range; None and 0 if the bits hold no set."""
+    modulus = target_range(len(hashes), bits, most_bits)
+    while modulus:
+        values = np.unique(reduce_hashes(hashes, modulus))
+        s = GolombSet.encode(values, rice_parameter(len(values), modulus))
+        if s.bits <= bits:
+            return s, modulus
+        modulus = modulus * 15 // 16
+    return None, 0
+
+
+class GrowingSet:
+    """A set of hashes that arrive in batches, as Golomb-coded runs that are merged like those of a log.
+
+    Runs and the open batch never take more than ``bits``. When they would, the range is halved and the runs are
+    coded anew; bits that hold no set make a set that answers yes to everything (``modulus`` 0).
+    """
+
+    def __init__(self, expected: int, bits: float, most_bits: int, batch: int, runs: int):
+        self.batch = max(1, min(expected, batch, max(16, int(bits // 512))))
+        self.room = bits - 64 * self.batch  # the open batch holds 64-bit numbers
+        self.modulus = target_range(expected, self.room, most_bits)
+        self.most_runs, self.runs, self.peak_bits = runs, [], 0
+
+    def probe(self, hashes: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Answers for a batch, in order, and the chance of each to be a yes for a new hash; those not known are added."""
+        if not self.modulus:
+            return np.ones(len(hashes), bool), np.ones(len(hashes))
+        values = reduce_hashes(hashes, self.modulus)
+        found = np.zeros(len(values), bool)
+        for run in self.runs:
+            found |= run.contains(values)
+        open_ = np.flatnonzero(~(found | known))
+        fresh = np.zeros(len(values), bool)
+        distinct, first = np.unique(values[open_], return_index=True)
+        fresh[open_[first]] = True
+        found[open_] = ~fresh[open_]
+        held = sum(r.size for r in self.runs) + np.cumsum(fresh) - fresh
+        chance = held / self.modulus
+        self._add(distinct)
+        return found, chance
+
+    def _add(self, values: np.ndarray) -> None:
+        if len(values):
+            self.runs.append(GolombSet.encode(values, rice_parameter(len(values), self.modulus)))
+        while self.runs and (len(self.runs) > self.most_runs or sum(r.bits for r in self.runs) > self.room):
+            if len(self.runs) == 1:  # one run and still too large
+                self.modulus = self.modulus // 2 if self.modulus % 2 == 0 else 0
+            if not self.modulus:
+                self.runs = []
+                return
+            values = np.unique(np.concatenate([r.decode() for r in self.runs]) % self.modulus)
+            self.runs = [GolombSet.encode(values, rice_parameter(len(values), self.modulus))]
+        self.peak_bits = max(self.peak_bits, sum(r.bits for r in self.runs) + 64 * self.batch)

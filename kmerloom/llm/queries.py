@@ -67,6 +67,10 @@ def p5_filter_report(spark: SparkSession, d: str) -> DataFrame:
     return seen_keys.SeenKeys(*_arrivals(spark, d)).report()
 
 
+def p5_filter_audit(spark: SparkSession, d: str) -> DataFrame:
+    return seen_keys.SeenKeys(*_arrivals(spark, d)).audit()
+
+
 def p6_pack(spark: SparkSession, d: str) -> DataFrame:
     """Containers of documents sized in code tokens."""
     docs = table(spark, d, "documents").select("doc_id", packing.code_token_count(F.col("text")).alias("size"))
@@ -104,6 +108,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         p2_found, p3_found, p4_found, p5_found, p6_found, p7_found, p8_found, p2_topk, p2_iceberg_counts, p3_distinct_cube,
-        p4_kmer_frequencies, p5_filter_report, p6_pack, p6_fill_report, p7_leak_report, p8_truncation_report,
+        p4_kmer_frequencies, p5_filter_report, p5_filter_audit, p6_pack, p6_fill_report, p7_leak_report, p8_truncation_report,
     )
 }

@@ -2,9 +2,14 @@
 
 Keys of the earlier run are hashed, sorted and stored as compressed gaps in blocks, one set for each
 prefix (and shard of a large prefix). Arrivals go to their prefix in order of arrival_id and are decided
-in small batches against that set and the sets of earlier arrivals, which are merged like runs of a log.
-No raw earlier key is held; the sets stay within the bits that the plan grants the prefix. Positives are
-checked against the keys themselves, which gives exact answers and the audited rate of wrong ones.
+in batches against that set and the set of earlier arrivals, whose runs are merged like those of a log. The
+sets hold reduced hashes only and never take more bits than the plan grants the prefix: a small grant makes
+the range of the hashes small and wrong answers frequent, which the report shows. Positives are then checked
+against the keys themselves; a key that no set answered yes to is never looked up again.
+
+The sets decide every arrival, with one stated exception: within one Arrow batch, a key with ``HOT`` rows or more
+goes on once and its later rows are known to be repeats. So a key that holds a third of all rows leaves a few
+rows a batch, and no group of one key grows with the table.
 """
 
 from __future__ import annotations
@@ -18,19 +23,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kmerloom.functions import sequence as S
-from kmerloom.llm.golomb import GolombSet, fitting_bits, reduce_hashes
+from kmerloom.llm.golomb import INDEX_BITS, GolombSet, GrowingSet, bounded_set, reduce_hashes
 from kmerloom.operators.sightings import K
 from kmerloom.session import materialize
 
 SHARD_KEYS = 100_000
 BATCH = 4096
 RUNS = 4
+HOT = 8
 MOST_BITS = 12
-RECENT_KEYS = 200_000
 DEFAULT_WORDS = 32_768
 
-_BLOCKS = "root int, shard int, r int, modulus bigint, block int, first bigint, cnt int, payload binary"
-_DECIDED = "root int, shard int, arrival_id bigint, key bigint, in_old boolean, in_new boolean, in_batch boolean, run_bits bigint"
+_BLOCKS = "root int, shard int, keys bigint, r int, modulus bigint, block int, first bigint, cnt int, payload binary"
+_DECIDED = "root int, shard int, arrival_id bigint, key bigint, in_old boolean, in_new boolean, chance double, run_bits bigint"
 
 
 def arrival_key(text: Column, form: Column) -> Column:
@@ -40,128 +45,125 @@ def arrival_key(text: Column, form: Column) -> Column:
     return F.when(S.is_kmer(clean, K), S.pack_key(key, K))
 
 
-def low_key_set(low_keys: DataFrame) -> DataFrame:
-    """Distinct packed keys of the earlier run; texts that are no key are left out."""
+def low_rows(low_keys: DataFrame) -> DataFrame:
+    """key: packed keys of the earlier run, each once a batch; texts that are no key are left out."""
     clean = S.clean_window(F.col("kmer"))
-    return low_keys.select(F.when(S.is_kmer(clean, K), S.pack_key(clean, K)).alias("key")).where(F.col("key").isNotNull()).distinct()
+    keys = low_keys.select(F.when(S.is_kmer(clean, K), S.pack_key(clean, K)).alias("key")).where(F.col("key").isNotNull())
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("key").unique()], ["key"])
+
+    return keys.mapInArrow(once, "key bigint")
 
 
-def collapse_batches(arrivals: DataFrame) -> DataFrame:
-    """arrival_id, key, sure. Only the first arrival of a key goes on; the others are certain to be seen (sure).
+def fold_hot(arrivals: DataFrame) -> DataFrame:
+    """arrival_id, key, folded: of a key with ``HOT`` rows or more in an Arrow batch only the first arrival goes on to the sets.
 
-    That holds within an Arrow batch, and across the batches of a partition for the last ``RECENT_KEYS`` keys:
-    a key that holds a third of all rows leaves a few rows a partition.
+    Its other rows are folded: they repeat a row of their own batch. Nothing is kept from batch to batch.
     """
 
-    def collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        recent: dict[int, int] = {}
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, keys = b.column("arrival_id").to_numpy(), b.column("key").to_numpy()
             order = np.lexsort((ids, keys))
             ids, keys = ids[order], keys[order]
-            new = np.ones(len(keys), bool)
-            new[1:] = keys[1:] != keys[:-1]
-            heads = np.flatnonzero(new)
-            if len(recent) > RECENT_KEYS:
-                recent.clear()
-            known = []
-            for k, i in zip(keys[heads].tolist(), ids[heads].tolist(), strict=True):
-                known.append(recent.get(k, i))
-                if known[-1] >= i:
-                    recent[k] = i
-            first = np.minimum(ids[heads], known)[np.cumsum(new) - 1] if len(ids) else ids
-            again = np.zeros(len(keys), bool)
-            again[1:] = ~new[1:] & (ids[1:] == ids[:-1])
-            keep = ~again
-            yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(keys[keep]), pa.array((ids > first)[keep])], ["arrival_id", "key", "sure"])
-
-    return arrivals.mapInArrow(collapse, "arrival_id bigint, key bigint, sure boolean")
-
-
-def filter_plan(low: DataFrame, firsts: DataFrame, prefix_plan: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
-    """root, shards, r, granted bits and numbers of keys of every prefix: 256 rows at most."""
+            head = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+            rows = np.diff(np.append(head, len(keys)))
+            folded = (np.repeat(rows, rows) >= HOT) & (ids > np.repeat(ids[head], rows))
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(keys), pa.array(folded)], ["arrival_id", "key", "folded"])
+
+    return arrivals.mapInArrow(fold, "arrival_id bigint, key bigint, folded boolean")
+
+
+def filter_plan(low: DataFrame, probes: DataFrame, prefix_plan: DataFrame) -> DataFrame:
+    """root, shards, granted bits, rows and the bits of one shard for old and for new keys, of every prefix: 256 rows."""
     spark = low.sparkSession
     root = S.packed_root(F.col("key")).alias("root")
     old = {r[0]: r[1] for r in low.groupBy(root).count().collect()}
-    new = {r[0]: r[1] for r in firsts.groupBy(root).count().collect()}
+    new = {r[0]: r[1] for r in probes.groupBy(root).count().collect()}
     words = {r[0]: r[1] for r in prefix_plan.where(F.col("root").between(0, 255)).groupBy("root").agg(F.max("bloom_filter_capacity")).collect()}
     rows = []
     for p in range(256):
-        keys = old.get(p, 0) + new.get(p, 0)
-        granted = 64 * (words.get(p) or DEFAULT_WORDS)
-        rows.append((p, max(1, -(-keys // SHARD_KEYS)), fitting_bits(granted, keys, most_bits), granted, old.get(p, 0), new.get(p, 0)))
-    return spark.createDataFrame(rows, "root int, shards int, r int, granted_bits bigint, old_keys bigint, new_rows bigint")
+        o, n = old.get(p, 0), new.get(p, 0)
+        granted = 64 * (DEFAULT_WORDS if words.get(p) is None else max(0, words[p]))
+        shards = max(1, -(-(o + n) // SHARD_KEYS))
+        each = granted / shards / max(1, o + n)
+        rows.append((p, shards, granted, o, n, each * o, each * n))
+    return spark.createDataFrame(rows, "root int, shards int, granted_bits bigint, old_rows bigint, new_rows bigint, old_bits double, new_bits double")
 
 
-def _in_shards(df: DataFrame, plan: DataFrame) -> DataFrame:
-    out = df.withColumn("root", S.packed_root(F.col("key"))).join(F.broadcast(plan.select("root", "shards", "r")), "root")
+def _in_shards(df: DataFrame, plan: DataFrame, bits: str) -> DataFrame:
+    out = df.withColumn("root", S.packed_root(F.col("key"))).join(F.broadcast(plan.select("root", "shards", F.col(bits).alias("bits"))), "root")
     shard = F.pmod(F.xxhash64("key", F.lit(11)), F.col("shards")).cast("int")
     return out.withColumn("shard", shard).withColumn("h", F.xxhash64("key")).drop("shards")
 
 
-def build_filter(low: DataFrame, plan: DataFrame) -> DataFrame:
-    """Blocks of the Golomb-coded sets of the distinct keys ``low``: a table that later loads can probe again."""
+def build_filter(low: DataFrame, plan: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
+    """Blocks of the Golomb-coded sets of the keys ``low``: a table that later loads can probe again.
+
+    A grant that holds no set at all leaves one row with modulus 0, which stands for yes to everything.
+    """
 
     def build(group: pd.DataFrame) -> pd.DataFrame:
-        r = int(group["r"].iloc[0])
-        modulus = len(group) << r
-        s = GolombSet.encode(np.unique(reduce_hashes(group["h"].to_numpy(), modulus)), r)
-        ends = np.append(s.start[1:], len(s.payload))
+        h = np.unique(group["h"].to_numpy())
+        s, modulus = bounded_set(h, float(group["bits"].iloc[0]), most_bits)
+        if s is None:
+            s, payload = GolombSet(0, np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint8)), [b""]
+        else:
+            ends = np.append(s.start[1:], len(s.payload))
+            payload = [s.payload[a:b].tobytes() for a, b in zip(s.start, ends, strict=True)]
         return pd.DataFrame(
             {
-                "root": group["root"].iloc[0], "shard": group["shard"].iloc[0], "r": r, "modulus": modulus,
-                "block": np.arange(len(s.first), dtype=np.int32), "first": s.first, "cnt": s.count.astype(np.int32),
-                "payload": [s.payload[a:b].tobytes() for a, b in zip(s.start, ends, strict=True)],
+                "root": group["root"].iloc[0], "shard": group["shard"].iloc[0], "keys": len(h), "r": s.r, "modulus": modulus,
+                "block": np.arange(len(s.first), dtype=np.int32), "first": s.first, "cnt": s.count.astype(np.int32), "payload": payload,
             }
         )
 
-    return _in_shards(low, plan).groupBy("root", "shard").applyInPandas(build, _BLOCKS)
+    return _in_shards(low, plan, "old_bits").select("root", "shard", "h", "bits").groupBy("root", "shard").applyInPandas(build, _BLOCKS)
 
 
 def _old_set(blocks: pd.DataFrame) -> tuple[GolombSet | None, int]:
+    """The stored set and its range; (None, 0) stands for yes to everything, (None, 1) for no key."""
     if not len(blocks):
         return None, 1
+    modulus = int(blocks["modulus"].iloc[0])
+    if not modulus:
+        return None, 0
     blocks = blocks.sort_values("block")
     size = blocks["payload"].map(len).to_numpy()
     payload = np.frombuffer(b"".join(blocks["payload"]), np.uint8)
-    s = GolombSet(int(blocks["r"].iloc[0]), blocks["first"].to_numpy(), blocks["cnt"].to_numpy(np.int64), np.cumsum(size) - size, payload)
-    return s, int(blocks["modulus"].iloc[0])
+    return GolombSet(int(blocks["r"].iloc[0]), blocks["first"].to_numpy(), blocks["cnt"].to_numpy(np.int64), np.cumsum(size) - size, payload), modulus
 
 
-def probe(firsts: DataFrame, blocks: DataFrame, plan: DataFrame) -> DataFrame:
-    """Every row of firsts with in_old, in_new (the sets' answers) and in_batch (certain)."""
+def probe(probes: DataFrame, blocks: DataFrame, plan: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
+    """in_old and in_new, the sets' answers for every probe, and the chance of a yes for a key never seen.
+
+    Rows of one arrival_id and key are one probe. run_bits is the most that the set of earlier arrivals took.
+    """
 
     def decide(key: tuple, arrivals: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
         old, modulus = _old_set(stored)
-        arrivals = arrivals.sort_values(["arrival_id", "key"])
+        arrivals = arrivals.sort_values(["arrival_id", "h"]).drop_duplicates(["arrival_id", "h"])
         ids, keys, h = (arrivals[c].to_numpy() for c in ("arrival_id", "key", "h"))
         n = len(ids)
-        in_old, in_new, in_batch = np.zeros((3, n), bool)
-        r = int(arrivals["r"].iloc[0]) if n else 1
-        new_modulus = max(1, n) << r
-        reduced = reduce_hashes(h, new_modulus)
-        runs: list[GolombSet] = []
-        for a in range(0, n, BATCH):
-            part = slice(a, a + BATCH)
+        in_old, in_new, chance = np.full(n, not modulus), np.zeros(n, bool), np.zeros(n)
+        new = GrowingSet(n, float(arrivals["bits"].iloc[0]) if n else 0.0, most_bits, BATCH, RUNS)
+        old_chance = old.size / modulus if old is not None else 1.0 - modulus
+        for a in range(0, n, new.batch):
+            part = slice(a, a + new.batch)
             if old is not None:
                 in_old[part] = old.contains(reduce_hashes(h[part], modulus))
-            for run in runs:
-                in_new[part] |= run.contains(reduced[part])
-            k = pd.Series(keys[part])
-            first = pd.Series(ids[part]).groupby(k.to_numpy()).transform("min").to_numpy()
-            in_batch[part] = ids[part] > first
-            fresh = ~(in_old[part] | in_new[part] | in_batch[part])
-            runs.append(GolombSet.encode(np.unique(reduced[part][fresh]), r))
-            if len(runs) > RUNS:
-                runs = [GolombSet.encode(np.unique(np.concatenate([x.decode() for x in runs])), r)]
+            in_new[part], p = new.probe(h[part], in_old[part])
+            chance[part] = 1 - (1 - old_chance) * (1 - p)
         return pd.DataFrame(
             {
                 "root": np.int32(key[0]), "shard": np.int32(key[1]), "arrival_id": ids, "key": keys, "in_old": in_old, "in_new": in_new,
-                "in_batch": in_batch, "run_bits": np.int64(sum(x.bits for x in runs)),
+                "chance": chance, "run_bits": np.int64(new.peak_bits),
             }
         )
 
-    left = _in_shards(firsts, plan).groupBy("root", "shard")
+    left = _in_shards(probes, plan, "new_bits").groupBy("root", "shard")
     return left.cogroup(blocks.groupBy("root", "shard")).applyInPandas(decide, _DECIDED)
 
 
@@ -169,61 +171,85 @@ class SeenKeys:
     """Decisions for a table of arrivals against the keys of an earlier run.
 
     Arrivals without an id or without k bases are no cases and count as no earlier ones. Repeated rows of
-    an id are one arrival. Empty tables are sets without keys. ``plan``, ``blocks`` and ``decided`` are tables.
+    an id are one arrival. Empty tables are sets without keys. A prefix without a grant has ``DEFAULT_WORDS``,
+    a grant of 0 words holds no set: every probe of it is checked. ``plan``, ``blocks`` and ``decided`` are tables.
     """
 
     def __init__(self, arrivals: DataFrame, low_keys: DataFrame, prefix_plan: DataFrame, most_bits: int = MOST_BITS):
         keyed = arrivals.select("arrival_id", arrival_key(F.col("canonical_kmer"), F.col("form")).alias("key"))
         keyed = keyed.where(F.col("key").isNotNull() & F.col("arrival_id").isNotNull())
-        self.arrivals = materialize(collapse_batches(keyed), "arrivals")
-        self.low = materialize(low_key_set(low_keys), "low")
-        self.firsts = self.arrivals.where(~F.col("sure")).select("arrival_id", "key")
-        self.plan = filter_plan(self.low, self.firsts, prefix_plan, most_bits)
-        self.blocks = materialize(build_filter(self.low, self.plan), "golomb")
-        self.decided = materialize(probe(self.firsts, self.blocks, self.plan), "decided")
+        self.arrivals = materialize(fold_hot(keyed), "arrivals")
+        self.low = materialize(low_rows(low_keys), "low")
+        self.probes = self.arrivals.where(~F.col("folded")).select("arrival_id", "key")
+        self.plan = filter_plan(self.low, self.probes, prefix_plan)
+        self.blocks = materialize(build_filter(self.low, self.plan, most_bits), "golomb")
+        self.decided = materialize(probe(self.probes, self.blocks, self.plan, most_bits), "decided")
 
     def checked(self) -> DataFrame:
-        """root, arrival_id, key, seen of every positive of the sets: seen is exact."""
-        hits = self.decided.where((F.col("in_old") | F.col("in_new")) & ~F.col("in_batch")).select("root", "arrival_id", "key")
-        earlier = (
-            self.low.select("key", F.lit(-(2**63)).cast("bigint").alias("since"))
-            .unionByName(self.firsts.select("key", F.col("arrival_id").alias("since")))
-            .groupBy("key")
-            .agg(F.min("since").alias("since"))
-        )
-        return hits.join(earlier, "key").select("root", "arrival_id", "key", (F.col("since") < F.col("arrival_id")).alias("seen"))
+        """root, arrival_id, key, chance, seen of every positive of the sets: seen is exact.
+
+        Only keys of positives are looked up: both the earlier run and the arrivals are cut down to them first.
+        """
+        hits = self.decided.where(F.col("in_old") | F.col("in_new")).select("root", "arrival_id", "key", "chance")
+        asked = hits.select("key").distinct()
+        old = self.low.join(asked, "key", "left_semi").select("key", F.lit(-(2**63)).cast("bigint").alias("since"))
+        new = self.decided.select("key", F.col("arrival_id").alias("since")).join(asked, "key", "left_semi")
+        earlier = old.unionByName(new).groupBy("key").agg(F.min("since").alias("since"))
+        return hits.join(earlier, "key").select("root", "arrival_id", "key", "chance", (F.col("since") < F.col("arrival_id")).alias("seen"))
 
     def seen(self) -> DataFrame:
         """arrival_id of every arrival whose key came before."""
-        sure = self.arrivals.where("sure").select("arrival_id")
-        batch = self.decided.where("in_batch").select("arrival_id")
-        return sure.unionByName(batch).unionByName(self.checked().where("seen").select("arrival_id")).distinct()
+        folded = self.arrivals.where("folded").select("arrival_id")
+        return folded.unionByName(self.checked().where("seen").select("arrival_id")).distinct()
 
     def report(self) -> DataFrame:
-        """Bits used and granted, theoretical and audited share of wrong answers of every prefix with a key or probe.
+        """prefix, old_keys, used_bits, granted_bits, probes, positives, folded, right, wrong, and the theoretical and audited rates.
 
-        ``probes`` are rows that the sets decide; ``wrong`` are positives that are no earlier key. The share
-        is over the probes of keys not seen before. Nothing can be missed: a set answers yes to all its keys.
+        ``probes`` are decided by the sets, ``folded`` rows repeat a hot key of their own batch. ``wrong`` are positives that are
+        no earlier key; both rates are over the probes of keys not seen before. The theoretical one is the mean, over
+        these probes, of the share of the sets' places that were taken when they came. Nothing can be missed: a set
+        answers yes to all its keys.
         """
-        used = self.blocks.groupBy("root").agg(F.sum(F.lit(8) * F.length("payload") + F.lit(104)).cast("bigint").alias("set_bits"))
+        count = F.count(F.lit(1))
+        bits = F.when(F.col("modulus") > 0, F.lit(8) * F.length("payload") + F.lit(INDEX_BITS)).otherwise(0)
+        used = self.blocks.groupBy("root", "shard").agg(F.sum(bits).alias("b"), F.max("keys").alias("k"))
+        used = used.groupBy("root").agg(F.sum("b").cast("bigint").alias("set_bits"), F.sum("k").cast("bigint").alias("keys"))
         runs = self.decided.groupBy("root", "shard").agg(F.max("run_bits").alias("b")).groupBy("root").agg(F.sum("b").cast("bigint").alias("run_bits"))
-        probes = self.decided.where(~F.col("in_batch")).groupBy("root").agg(F.count(F.lit(1)).alias("probes"))
-        right = self.checked().groupBy("root").agg(F.count(F.when(F.col("seen"), 1)).alias("right"), F.count(F.when(~F.col("seen"), 1)).alias("wrong"))
-        out = self.plan.where(F.col("old_keys") + F.col("new_rows") > 0)
-        for part in (used, runs, probes, right):  # 256 rows at most each
+        folded = self.arrivals.where("folded").groupBy(S.packed_root(F.col("key")).alias("root")).agg(count.alias("folded"))
+        probes = self.decided.groupBy("root").agg(
+            count.alias("probes"), F.count(F.when(F.col("in_old") | F.col("in_new"), 1)).alias("positives"), F.sum("chance").alias("all_chance")
+        )
+        right = self.checked().groupBy("root").agg(
+            F.count(F.when(F.col("seen"), 1)).alias("right"), F.count(F.when(~F.col("seen"), 1)).alias("wrong"), F.sum(F.when(F.col("seen"), F.col("chance"))).alias("seen_chance")
+        )
+        out = self.plan.where(F.col("old_rows") + F.col("new_rows") > 0)
+        for part in (used, runs, folded, probes, right):  # 256 rows at most each
             out = out.join(F.broadcast(part), "root", "left")
-        zero = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("set_bits", "run_bits", "probes", "right", "wrong")}
-        fresh = zero["probes"] - zero["right"]
-        one_set = F.pow(F.lit(2.0), -F.col("r"))
-        old = F.when(F.col("old_keys") > 0, one_set).otherwise(0.0)
+        zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+        fresh = zero("probes") - zero("right")
         return out.select(
-            S.root_text(F.col("root")).alias("prefix"), "old_keys", "r",
-            (zero["set_bits"] + zero["run_bits"]).alias("used_bits"), "granted_bits",
-            zero["probes"].alias("probes"), zero["wrong"].alias("wrong"),
-            (1 - (1 - old) * (1 - one_set)).alias("theoretical_rate"),
-            F.when(fresh > 0, zero["wrong"] / fresh).alias("audited_rate"),
+            S.root_text(F.col("root")).alias("prefix"), zero("keys").alias("old_keys"), (zero("set_bits") + zero("run_bits")).alias("used_bits"), "granted_bits",
+            *[zero(c).alias(c) for c in ("probes", "positives", "folded", "right", "wrong")],
+            F.when(fresh > 0, (zero("all_chance") - zero("seen_chance")) / fresh).alias("theoretical_rate"),
+            F.when(fresh > 0, zero("wrong") / fresh).alias("audited_rate"),
         )
 
+    def audit(self, sigmas: float = 5.0) -> DataFrame:
+        """prefix, old_keys, arrivals, seen, within_grant, as_expected of every prefix.
+
+        arrivals and seen are distinct ids, seen exactly. as_expected: the wrong answers are within so many standard deviations,
+        and 3 more, of what the sets' occupancy says.
+        """
+        ids = self.arrivals.select("arrival_id", S.root_text(S.packed_root(F.col("key"))).alias("prefix")).distinct()
+        cases = ids.join(self.seen().withColumn("_s", F.lit(1)), "arrival_id", "left")
+        cases = cases.groupBy("prefix").agg(F.count(F.lit(1)).alias("arrivals"), F.count("_s").alias("seen"))
+        expected = F.col("theoretical_rate") * (F.col("probes") - F.col("right"))
+        off = F.coalesce(F.abs(F.col("wrong") - expected) <= sigmas * F.sqrt(expected) + 3, F.lit(True))
+        out = self.report().select("prefix", "old_keys", (F.col("used_bits") <= F.col("granted_bits")).alias("within_grant"), off.alias("as_expected"))
+        return out.join(F.broadcast(cases), "prefix", "left").select(
+            "prefix", "old_keys", F.coalesce("arrivals", F.lit(0)).alias("arrivals"), F.coalesce("seen", F.lit(0)).alias("seen"), "within_grant", "as_expected"
+        )
+
 
 def seen_before(arrivals: DataFrame, low_keys: DataFrame, prefix_plan: DataFrame) -> DataFrame:
     return SeenKeys(arrivals, low_keys, prefix_plan).seen()
