@@ -19,25 +19,33 @@ def owner_plan(prefix_plan: DataFrame) -> DataFrame:
     )
 
 
+def all_owners(prefix_plan: DataFrame) -> DataFrame:
+    """root, prefix, owner, planned of all 256 roots; a root without a row in the plan has no owner."""
+    roots = prefix_plan.sparkSession.range(256).select(F.col("id").cast("int").alias("root"))
+    named = roots.select("root", S.root_text(F.col("root")).alias("prefix"))
+    return named.join(F.broadcast(owner_plan(prefix_plan)), "root", "left")  # 256 rows
+
+
 def balanced_sightings(sightings: DataFrame, prefix_plan: DataFrame, n_tasks: int | None = None) -> DataFrame:
-    """Usable sightings with root and owner, in tasks of about equal load; one row a sighting_id.
+    """Usable sightings with root, prefix and owner, in tasks of about equal load; one row a sighting_id.
 
+    Prefix and owner come from the plan's side, which is copied to the tasks that hold a part of its root.
     Re-delivered rows of an id carry the same key, hence meet in the same task and are merged there
     without another shuffle.
     """
     rows = usable_rows(sightings, F.col("read_id")).where(F.col("sighting_id").isNotNull())
     rows = rows.withColumn("root", S.packed_root(F.col("key")))
-    joined = fragment_replicate_join(rows, owner_plan(prefix_plan), "root", ["sighting_id"], "left", n_tasks)
-    return joined.groupBy("_task", "root", "sighting_id").agg(
+    joined = fragment_replicate_join(rows, all_owners(prefix_plan), "root", ["sighting_id"], "inner", n_tasks)
+    return joined.groupBy("_task", "root", "prefix", "sighting_id").agg(
         F.min("key").alias("key"), F.min("read_id").alias("read_id"), F.min("owner").alias("owner")
     )
 
 
 def _items(sightings: DataFrame, prefix_plan: DataFrame, n_tasks: int | None) -> DataFrame:
-    """Distinct (root, kind, item): kind 0 are keys with their sightings, kind 1 reads."""
+    """Distinct (prefix, kind, item): kind 0 are keys with their sightings, kind 1 reads."""
     base = balanced_sightings(sightings, prefix_plan, n_tasks)
     both = base.select(
-        "root",
+        "prefix",
         "owner",
         F.explode(
             F.array(
@@ -46,7 +54,7 @@ def _items(sightings: DataFrame, prefix_plan: DataFrame, n_tasks: int | None) ->
             )
         ).alias("i"),
     )
-    return both.groupBy("root", "owner", F.col("i.kind").alias("kind"), F.col("i.item").alias("item")).agg(
+    return both.groupBy("prefix", "owner", F.col("i.kind").alias("kind"), F.col("i.item").alias("item")).agg(
         F.count(F.lit(1)).alias("n")
     )
 
@@ -66,9 +74,7 @@ def prefix_load(sightings: DataFrame, prefix_plan: DataFrame, n_tasks: int | Non
     A prefix without a row or without an owner in the plan has a null owner. Null read ids count in
     sightings but are no read. Empty tables give no rows.
     """
-    return _totals(_items(sightings, prefix_plan, n_tasks), "root", "owner").select(
-        S.root_text(F.col("root")).alias("prefix"), "owner", "sightings", "reads", "distinct_keys"
-    )
+    return _totals(_items(sightings, prefix_plan, n_tasks), "prefix", "owner")
 
 
 def owner_load(sightings: DataFrame, prefix_plan: DataFrame, n_tasks: int | None = None) -> DataFrame:
@@ -80,8 +86,8 @@ def owner_load(sightings: DataFrame, prefix_plan: DataFrame, n_tasks: int | None
 def dominant_prefixes(sightings: DataFrame, prefix_plan: DataFrame, share: float = 0.04, n_tasks: int | None = None) -> DataFrame:
     """prefix of at least ``share`` of all usable sightings."""
     base = balanced_sightings(sightings, prefix_plan, n_tasks)
-    # at most 256 rows leave the balanced tasks, so one window over them is small
-    loads = base.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
-    packed = loads.agg(F.sum("n").alias("total"), F.collect_list(F.struct("root", "n")).alias("all"))
+    # at most 256 rows leave the balanced tasks, so one row may hold them all
+    loads = base.groupBy("prefix").agg(F.count(F.lit(1)).alias("n"))
+    packed = loads.agg(F.sum("n").alias("total"), F.collect_list(F.struct("prefix", "n")).alias("all"))
     rows = packed.select("total", F.explode("all").alias("r"))
-    return rows.where(F.col("r.n") >= F.col("total") * share).select(S.root_text(F.col("r.root")).alias("prefix"))
+    return rows.where(F.col("r.n") >= F.col("total") * share).select("r.prefix")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kmerloom.session import require_columns, shuffle_width
+from kmerloom.session import materialize, require_columns, shuffle_width
 
 HEAVY_SHARE = 4  # a key with more than 1/4 of a task's share is placed by itself
 LIGHT_BUCKETS = 8  # hash buckets of light keys for each task
@@ -61,23 +61,15 @@ def plan_tasks(df: DataFrame, key: str, n_tasks: int | None = None) -> TaskPlan:
     require_columns(df, [key])
     n_tasks = n_tasks or shuffle_width(df.sparkSession)
     buckets = LIGHT_BUCKETS * n_tasks
+    # the only pass over df: keys and their loads, written with the bucket that each has as a light key
+    bucket = F.pmod(F.xxhash64("k"), F.lit(buckets)).cast("int").alias("b")
     counts = df.groupBy(F.col(key).alias("k")).agg(F.count(F.lit(1)).alias("n"))
-    by_bucket = counts.groupBy(F.pmod(F.xxhash64("k"), F.lit(buckets)).cast("int").alias("b"))
-    # first pass over the counted keys: bucket loads and their total
-    loads = {r["b"]: r["n"] for r in by_bucket.agg(F.sum("n").alias("n")).collect()}
+    counts = materialize(counts.select("k", bucket, "n"), "loads")
+    loads = {r["b"]: r["n"] for r in counts.groupBy("b").agg(F.sum("n").alias("n")).collect()}  # a row a bucket
     share = max(1.0, sum(loads.values()) / n_tasks)
-    # only buckets above the bar can hold a heavy key
-    suspects = [b for b, n in loads.items() if n > share / HEAVY_SHARE]
-    big: list[tuple[object, int, int]] = []
-    if suspects:
-        b = F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int")
-        rows = (
-            df.where(b.isin(suspects) & F.col(key).isNotNull())
-            .groupBy(F.col(key).alias("k"), b.alias("b"))
-            .agg(F.count(F.lit(1)).alias("n"))
-            .where(F.col("n") > share / HEAVY_SHARE)
-        )
-        big = [(r["k"], r["b"], r["n"]) for r in rows.collect()]
+    # at most HEAVY_SHARE x n_tasks keys can be heavier than this
+    rows = counts.where(F.col("k").isNotNull() & (F.col("n") > share / HEAVY_SHARE))
+    big = [(r["k"], r["b"], r["n"]) for r in rows.orderBy(F.desc("n"), "b", "k").collect()]
     for _, b, n in big:
         loads[b] -= n
     shards = [((k, i), n / s) for k, _, n in big for s in [math.ceil(n / share)] for i in range(s)]

@@ -87,6 +87,25 @@ def test_prefix_and_owner_load(spark):
     assert usable_sightings(df).count() == len(keys)
 
 
+@pytest.mark.parametrize("query", [prefixes.dominant_prefixes, prefixes.prefix_load, prefixes.owner_load])
+def test_the_plans_side_is_replicated(spark, query):
+    """The plan that ran joins the fragments with the copies of the matching side; nothing of it was optimized away."""
+    df = spark.createDataFrame([r[:9] for r in make_sightings(random.Random(3))], SIGHTINGS)
+    plan = spark.createDataFrame([(i, "x", 1, i % 3, 1) for i in range(256)], "root int, prefix string, prefix_counts long, prefix_owners int, bloom_filter_capacity long")
+    out = query(df, plan, n_tasks=5)
+    out.collect()
+    ran = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "ShuffledHashJoin" in ran and ran.count("REPARTITION_BY_ID") + ran.count("shufflepartitionid") + ran.count("ShufflePartitionId") >= 2, ran
+
+
+def test_loads_are_counted_in_one_pass(spark):
+    df = spark.createDataFrame([r[:9] for r in make_sightings(random.Random(4))], SIGHTINGS)
+    rows = spark.sparkContext.accumulator(0)
+    left = df.select("sighting_id", "lane").mapInArrow(lambda bs: ((rows.add(b.num_rows), b)[1] for b in bs), "sighting_id long, lane int")
+    skew.plan_tasks(left, "lane", 4)
+    assert rows.value == df.count()
+
+
 def test_prefixes_of_nothing(spark):
     df = spark.createDataFrame([], SIGHTINGS)
     plan = spark.createDataFrame([], "root int, prefix string, prefix_counts long, prefix_owners int, bloom_filter_capacity long")
