@@ -2,15 +2,19 @@
 
 Words are the longest runs of ``[A-Za-z0-9_]`` without case. Every window of ``run`` words of an item holds
 ``run - n + 1`` seeds (n-grams); the one found in the fewest documents is its rare seed. A document with
-the whole window has this seed, so candidates are complete. An edited copy may hold none of the rare seeds,
-so the report aligns the passages of all seeds. The corpus is read once: each batch is hashed with array
-operations, and only passages around seed hits leave it. Passages are aligned to their items.
+the whole window has this seed, so candidates are complete. An edited copy may have lost just that seed; the
+report also takes the seeds of a window found in at most ``WITHIN`` times as many documents, or in few, so that edited copies
+do not depend on how often their item leaked, while sentences that many documents share stay out.
+
+The corpus is read twice, hashed with array operations. The first pass leaves only numbers of documents by
+seed; the second leaves the passages around rare seeds, at most ``WITHIN`` times the documents of the rarest
+seed of each window. Passages are aligned to their items.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,7 +27,8 @@ from kmerloom.session import materialize
 RUN = 15
 SEED = 6
 SLACK = 20
-RARE_DOCS, RARE_SHARE = 20, 0.001
+RARE_DOCS = 20
+WITHIN = 2.0
 CHUNK_BYTES = 1 << 20
 ITEM_BLOCK_CHARS = 4 << 20
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -113,84 +118,114 @@ class SeedIndex:
         pick = lambda x: (np.concatenate(x) if x else np.zeros(0, np.int64))[order]
         return cls(n, [i for i, _ in items], words, distinct, np.append(at, len(h)), pick(owner), pick(position))
 
-    def rare(self, df: dict[int, int], run: int, few: float) -> np.ndarray:
-        """Mask of the seeds that are in at most ``few`` documents or the rarest of some window of ``run`` words."""
+    def rare(self, df: dict[int, int], run: int, within: float = 1.0, few: int = 0) -> SeedIndex:
+        """Index of the (item, position) pairs that are rare in some window of ``run`` words of their item.
+
+        Rare is the seed of the window in the fewest documents (the first of several), and any in at most ``few`` documents or, if
+        ``within`` is above 1, in at most so many times as many as that one.
+        """
         count = np.array([df.get(int(h), 0) for h in self.hashes.view(np.int64)], np.int64)
-        rare = count <= few
-        line = np.empty(len(self.owner), np.int64)  # seed number of every (item, position)
-        line[:] = np.repeat(np.arange(len(self.hashes)), np.diff(self.offsets))
+        seed = np.repeat(np.arange(len(self.hashes)), np.diff(self.offsets))  # of every pair
+        kept = np.zeros(len(seed), bool)
+        order = np.lexsort((self.position, self.owner))
+        bounds = np.searchsorted(self.owner[order], np.arange(len(self.words) + 1))
         for i, w in enumerate(self.words):
-            mine = np.flatnonzero(self.owner == i)
-            seed = np.empty(len(mine), np.int64)
-            seed[self.position[mine]] = line[mine]
-            for a in range(len(w) - run + 1):
-                window = seed[a : a + run - self.n + 1]
-                rare[window[np.argmin(count[window])]] = True
-        return rare
-
-
-def find_passages(docs: DataFrame, index: SeedIndex) -> DataFrame:
-    """Passages of docs (doc_id, text) around seed hits, and the number of documents of each seed.
-
-    Rows with item >= 0 are passages: doc_id, item (number in the index), at (word number), words, seeds
-    (hashes). Rows with item -1 hold in seeds the hashes found in a batch and in counts their documents.
-    """
-    n, longest = index.n, [len(w) for w in index.words]
-    hashes, offsets, owner, position = index.hashes, index.offsets, index.owner, index.position
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
-        sieve = np.zeros(1 << 20, bool)
-        sieve[(hashes & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-        for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
-            texts = batch.column("text").cast(pa.binary()).to_pylist()
-            out: dict[str, list] = {k: [] for k in ("doc_id", "item", "at", "words", "seeds", "counts")}
-            found: dict[int, int] = {}
-            a = 0
-            while a < len(ids):
-                b, size = a, 0
-                while b < len(ids) and (b == a or size + len(texts[b]) <= CHUNK_BYTES):
-                    size += len(texts[b])
-                    b += 1
-                scan_chunk(hasher, sieve, ids[a:b], texts[a:b], out, found)
-                a = b
-            if found:
-                for k, v in zip(out, (None, -1, 0, None, [np.uint64(x).astype(np.int64) for x in found], list(found.values())), strict=True):
-                    out[k].append(v)
-            if out["item"]:
-                yield pa.RecordBatch.from_pydict(
-                    out, schema=pa.schema({"doc_id": pa.int64(), "item": pa.int32(), "at": pa.int64(), "words": pa.string(), "seeds": pa.list_(pa.int64()), "counts": pa.list_(pa.int64())})
-                )
-
-    def scan_chunk(hasher, sieve, ids, texts, out, found) -> None:
+            if len(w) < run:
+                continue
+            mine = order[bounds[i] : bounds[i + 1]]
+            n = np.lib.stride_tricks.sliding_window_view(count[seed[mine]], run - self.n + 1)
+            kept[mine[np.arange(len(n)) + n.argmin(1)]] = True
+            if within > 1 or few:
+                at = np.flatnonzero(n <= np.maximum(few, within * n.min(1, keepdims=True)))
+                kept[mine[at // n.shape[1] + at % n.shape[1]]] = True
+        left, at = np.unique(seed[kept], return_index=True)
+        return SeedIndex(self.n, self.ids, self.words, self.hashes[left], np.append(at, kept.sum()), self.owner[kept], self.position[kept])
+
+
+def _seed_hits(index: SeedIndex) -> Callable[[list[bytes]], tuple | None]:
+    """Function of a chunk of texts: its bytes, word bounds, first byte of every text, and the word, seed and text of every hit."""
+    hasher, hashes, n = WordHasher(), index.hashes, index.n
+    sieve = np.zeros(1 << 20, bool)
+    sieve[(hashes & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+
+    def find(texts: list[bytes]) -> tuple | None:
         buf = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
         start, end, h = hasher.words(buf)
         g = hasher.ngrams(h, n)
         maybe = np.flatnonzero(sieve[(g & np.uint64((1 << 20) - 1)).astype(np.int64)])
         if not len(maybe) or not len(hashes):
-            return
+            return None
         at = np.minimum(np.searchsorted(hashes, g[maybe]), len(hashes) - 1)
         hit = hashes[at] == g[maybe]
         word, seed = maybe[hit], at[hit]
-        begin = np.cumsum([0] + [len(t) + 1 for t in texts])  # first byte of every document
+        begin = np.cumsum([0] + [len(t) + 1 for t in texts])
         doc = np.searchsorted(begin, start[word], "right") - 1
         whole = end[word + n - 1] <= begin[doc + 1]
-        word, seed, doc = word[whole], seed[whole], doc[whole]
-        if not len(word):
-            return
+        return (buf, start, end, begin, word[whole], seed[whole], doc[whole]) if whole.any() else None
+
+    return find
+
+
+def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[list, list[bytes]]]:
+    """Ids and texts of a batch in chunks of about ``CHUNK_BYTES``; a text is never cut."""
+    ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()
+    a = 0
+    while a < len(ids):
+        b, size = a, 0
+        while b < len(ids) and (b == a or size + len(texts[b]) <= CHUNK_BYTES):
+            size += len(texts[b])
+            b += 1
+        yield ids[a:b], texts[a:b]
+        a = b
+
+
+def _readable(docs: DataFrame) -> DataFrame:
+    return docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+
+
+def seed_documents(docs: DataFrame, index: SeedIndex) -> dict[int, int]:
+    """Number of documents of every seed that occurs: no text leaves the scan, and the driver gets a row a seed at most."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = _seed_hits(index)
+        for batch in batches:
+            count = np.zeros(len(index.hashes), np.int64)
+            for _, texts in _chunks(batch):
+                if hits := find(texts):
+                    *_, seed, doc = hits
+                    count += np.bincount(np.unique(np.stack([doc, seed]), axis=1)[1], minlength=len(count))
+            found = np.flatnonzero(count)
+            yield pa.RecordBatch.from_arrays([pa.array(index.hashes[found].view(np.int64)), pa.array(count[found])], ["seed", "n"])
+
+    rows = _readable(docs).mapInArrow(scan, "seed bigint, n bigint").groupBy("seed").agg(F.sum("n").alias("n")).toArrow()
+    return dict(zip(rows["seed"].to_pylist(), rows["n"].to_pylist(), strict=True))
+
+
+def find_passages(docs: DataFrame, index: SeedIndex) -> DataFrame:
+    """doc_id, item (number in the index), at (word number), words: the passages of docs (doc_id, text) around seed hits."""
+    longest = np.array([len(w) for w in index.words], np.int64)
+    offsets, owner, position = index.offsets, index.owner, index.position
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = _seed_hits(index)
+        for batch in batches:
+            out: dict[str, list] = {k: [] for k in ("doc_id", "item", "at", "words")}
+            for ids, texts in _chunks(batch):
+                if hits := find(texts):
+                    cut_passages(ids, *hits, out)
+            if out["item"]:
+                yield pa.RecordBatch.from_pydict(out, schema=pa.schema({"doc_id": pa.int64(), "item": pa.int32(), "at": pa.int64(), "words": pa.string()}))
+
+    def cut_passages(ids, buf, start, end, begin, word, seed, doc, out) -> None:
         first = np.searchsorted(start, begin)  # first word of every document
-        pairs = np.unique(np.stack([doc, seed]), axis=1)
-        for s, c in zip(*np.unique(pairs[1], return_counts=True), strict=True):
-            found[int(hashes[s])] = found.get(int(hashes[s]), 0) + int(c)
-        # every hit of a seed counts for all items that hold it
+        # a hit counts for every item that the seed is rare in
         times = offsets[seed + 1] - offsets[seed]
         line = np.repeat(offsets[seed], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
         word, seed, doc = (np.repeat(x, times) for x in (word, seed, doc))
         item, pos = owner[line], position[line]
         order = np.lexsort((word, item, doc))
         word, seed, doc, item, pos = (x[order] for x in (word, seed, doc, item, pos))
-        reach = np.array(longest)[item] + SLACK
+        reach = longest[item] + SLACK
         new = np.ones(len(word), bool)
         new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (word[1:] - word[:-1] > reach[1:])
         edges = np.append(np.flatnonzero(new), len(word))
@@ -199,11 +234,10 @@ def find_passages(docs: DataFrame, index: SeedIndex) -> DataFrame:
             lo = max(first[d], int((word[a:b] - pos[a:b]).min()) - SLACK)
             hi = min(first[d + 1], int((word[a:b] - pos[a:b]).max()) + longest[i] + SLACK)
             raw = buf[start[lo] : end[hi - 1]].tobytes().decode("utf-8", "replace")
-            for k, v in zip(out, (ids[d], int(i), int(lo - first[d]), " ".join(words_of(raw)), np.unique(hashes[seed[a:b]]).view(np.int64).tolist(), None), strict=True):
+            for k, v in zip(out, (ids[d], int(i), int(lo - first[d]), " ".join(words_of(raw))), strict=True):
                 out[k].append(v)
 
-    rows = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return rows.mapInArrow(scan, "doc_id bigint, item int, at bigint, words string, seeds array<bigint>, counts array<bigint>")
+    return _readable(docs).mapInArrow(scan, "doc_id bigint, item int, at bigint, words string")
 
 
 def align(item: np.ndarray, passages: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -271,37 +305,28 @@ def align_passages(passages: DataFrame, index: SeedIndex) -> DataFrame:
     return passages.select("doc_id", "item", "at", "words").mapInArrow(score, "doc_id bigint, item_id bigint, at bigint, run int, score int, share double")
 
 
-def leaked_passages(docs: DataFrame, items: DataFrame, run: int = RUN, n: int = SEED, every: bool = False) -> DataFrame:
+def leaked_passages(docs: DataFrame, items: DataFrame, run: int = RUN, n: int = SEED, edited: bool = False) -> DataFrame:
     """doc_id, item_id, at, run, score, share of every passage of docs that holds a rare seed of an item.
 
-    Rare seeds find all passages with ``run`` words of an item. ``every`` takes the passages of all seeds: an edited
-    copy is then found however many documents hold its seeds.
+    The rarest seed of every window finds all passages with ``run`` words of an item. ``edited`` takes more seeds of each
+    window, for copies that were changed.
     Items are a stated query set: they are taken in blocks of at most ``ITEM_BLOCK_CHARS`` characters (or one
     item), each set against all documents. Items shorter than ``run`` words, null texts and null ids have no
     result; repeated items count once; empty tables give no rows.
     """
     if not 1 <= n <= run:
         raise ValueError("n must be 1..run")
-    spark = docs.sparkSession
     items = items.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select("item_id", "text").distinct()
     chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-chars // ITEM_BLOCK_CHARS))
-    few = 0 if every else max(RARE_DOCS, RARE_SHARE * docs.count())
     parts = []
     for b in range(blocks):
         mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()
         index = SeedIndex.build([(r["item_id"], r["text"]) for r in mine], n)
-        rows = materialize(find_passages(docs, index), "passages")
-        if every:
-            parts.append(materialize(align_passages(rows.where(F.col("item") >= 0), index), "aligned"))
-            continue
-        seen = rows.where(F.col("item") == -1).select(F.explode(F.arrays_zip("seeds", "counts")).alias("c"))
-        df = seen.groupBy(F.col("c.seeds").alias("seed")).agg(F.sum("c.counts").alias("n")).toArrow()  # a row for each seed of the block at most
-        counts = dict(zip(df["seed"].to_pylist(), df["n"].to_pylist(), strict=True))
-        rare = index.hashes[index.rare(counts, run, few)].view(np.int64).tolist()
-        chosen = spark.createDataFrame([(rare,)], "rare array<bigint>")  # one row
-        hits = rows.where(F.col("item") >= 0).join(F.broadcast(chosen), F.arrays_overlap("seeds", "rare"), "left_semi") if rare else rows.where("false")
-        parts.append(materialize(align_passages(hits, index), "aligned"))
+        counts = seed_documents(docs, index)
+        rare = index.rare(counts, run, *((WITHIN, RARE_DOCS) if edited else ()))
+        passages = materialize(find_passages(docs, rare), "passages")
+        parts.append(materialize(align_passages(passages, rare), "aligned"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -318,7 +343,7 @@ def leak_report(docs: DataFrame, items: DataFrame, run: int = RUN, share: float
 
     exact_docs hold ``run`` consecutive words; edited_docs do not, but align with at least ``share`` of the item.
     """
-    by_doc = leaked_passages(docs, items, run, every=True).groupBy("item_id", "doc_id").agg(F.max("run").alias("run"), F.max("share").alias("share"))
+    by_doc = leaked_passages(docs, items, run, edited=True).groupBy("item_id", "doc_id").agg(F.max("run").alias("run"), F.max("share").alias("share"))
     found = by_doc.groupBy("item_id").agg(
         F.count(F.when(F.col("run") >= run, 1)).alias("exact_docs"),
         F.count(F.when((F.col("run") < run) & (F.col("share") >= share), 1)).alias("edited_docs"),

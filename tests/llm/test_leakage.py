@@ -80,6 +80,45 @@ def test_edited_copy_is_reported_however_often_its_item_leaked(spark):
     assert {i: (r.exact_docs, r.edited_docs) for i, r in rows.items()} == {7: (copies, 1), 8: (copies, 1)}
 
 
+@pytest.mark.parametrize("copies", [0, 60])
+def test_planted_edited_copies_are_found(spark, copies):
+    """A word in about nine is replaced, dropped or new: at least nine of ten such copies are found, whether the item leaked or not."""
+    rng = random.Random(copies)
+    opening = [f"o{i}" for i in range(12)]
+    items = {i: opening + [f"i{i}_{rng.randrange(40)}" for _ in range(rng.randrange(60, 120))] for i in range(10)}
+    docs, planted = [], set()
+    for i, words in items.items():
+        docs += [" ".join(words)] * copies
+        for _ in range(12):
+            copy = [x for w in words for x in ([w] if rng.random() > 0.11 else rng.choice([[], [f"n{rng.random()}"], [w, "added"]]))]
+            around = rng.choices(VOCAB, k=rng.randrange(100))
+            planted.add((i, len(docs)))
+            docs.append(" ".join([*around, *copy, *around]))
+    docs += [" ".join(opening + rng.choices(VOCAB, k=30)) for _ in range(400)]  # the shared opening alone is no leak
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    it = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id int, text string")
+    rows = leakage.leaked_passages(df, it, edited=True).groupBy("item_id", "doc_id").agg({"share": "max"}).collect()
+    found = {(r.item_id, r.doc_id) for r in rows if r["max(share)"] >= 0.5}
+    assert len(found & planted) >= 0.9 * len(planted) and len(found) <= len(planted) + 10 * copies
+    if copies:  # sentences shared by many documents make no passages
+        assert len(rows) <= 1.1 * (10 * copies + len(planted))
+
+
+def test_no_nested_loops_in_written_steps(spark, corpus, monkeypatch):
+    from kmerloom.llm import leakage as mod
+
+    plans, write = [], mod.materialize
+
+    def spy(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, label)
+
+    monkeypatch.setattr(mod, "materialize", spy)
+    docs, items = corpus
+    mod.leaked_documents(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id int, text string")).collect()
+    assert plans and not any("NestedLoop" in p or "Cartesian" in p for p in plans)
+
+
 def plain_smith_waterman(a, b):
     h = np.zeros((len(a) + 1, len(b) + 1), int)
     for i in range(1, len(a) + 1):
