@@ -1,92 +1,118 @@
 """Most frequent values in bounded memory: iceberg multi-hash filtering (problem 2).
 
-Rows are counted exactly in coarse buckets under several hashes. A value can only reach a threshold if
-each of its buckets does, so the values that pass every hash are few; they are counted exactly. Memory
-is ``hashes x buckets`` counters for each task, whatever the number of distinct values.
+Rows are counted exactly in coarse cells under several hashes. A value can only reach a threshold if
+each of its cells does, so the values that pass every hash are few; they are counted exactly.
+
+The number of cells follows rows and threshold: ``SPREAD`` cells for each threshold's worth of rows, so that the mean
+cell holds a quarter of the threshold. Memory is bounded by ``MOST_CELLS`` cells a hash: a task holds
+``HASHES x MOST_CELLS`` counters at most (it may spill them), the driver and every executor the bitmaps of the cells that pass,
+``HASHES x MOST_CELLS / 8`` bytes (393 kB). Where that many cells are too few, a second level of hashing parts the
+values into groups, each with cells of its own, one after the other. For 10^10 rows and a threshold of
+100,000 that is one group; for a threshold of 1,000, 39. Beyond ``MOST_GROUPS`` groups (a threshold under a 16-millionth
+of the rows) a filter costs more than it saves, and all values are counted by a plain aggregate, which spills.
 """
 
 from __future__ import annotations
 
-import numpy as np
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kmerloom.session import require_columns
+from kmerloom.session import materialize, require_columns
 
-BUCKETS = 1 << 16
 HASHES = 3
+SPREAD = 4
+LEAST_CELLS = 1 << 12
+FIRST_CELLS = 1 << 16
+MOST_CELLS = 1 << 20
+MOST_GROUPS = 64
+GROUP_SEED = 1 << 20
 
 
-def _bucket(value: Column, seed: int, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit(seed), value), F.lit(buckets)).cast("int")
+def plan_cells(rows: int, threshold: int, most: int = MOST_CELLS) -> tuple[int, int]:
+    """Cells a hash (a power of two) and groups for so many rows and this threshold."""
+    need = max(1, -(-SPREAD * rows // max(1, threshold)))
+    return min(most, max(min(LEAST_CELLS, most), 1 << (need - 1).bit_length())), max(1, -(-need // most))
 
 
-def coarse_counts(df: DataFrame, col: str, hashes: int = HASHES, buckets: int = BUCKETS) -> np.ndarray:
-    """Exact row counts of every bucket under every hash; nulls are left out. Shape hashes x buckets."""
-    require_columns(df, [col])
-    value = F.col(col)
-    pairs = F.array(*[_bucket(value, h, buckets) + F.lit(h * buckets) for h in range(hashes)])
-    counts = (
-        df.where(value.isNotNull())
-        .select(F.explode(pairs).alias("cell"))
-        .groupBy("cell")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .toArrow()  # at most hashes x buckets rows
-    )
-    out = np.zeros(hashes * buckets, np.int64)
-    out[counts["cell"].to_numpy()] = counts["n"].to_numpy()
-    return out.reshape(hashes, buckets)
-
-
-def _passes(value: Column, coarse: np.ndarray, threshold: int) -> Column:
-    """True where every bucket of value reaches the threshold: a bitmap look-up for each hash."""
-    hashes, buckets = coarse.shape
-    test = F.lit(True)
+def _cell(value: Column, seed: int, cells: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(seed), value), F.lit(cells)).cast("int")
+
+
+def cell_counts(values: DataFrame, cells: int, hashes: int = HASHES) -> DataFrame:
+    """h, cell, n: exact rows of every cell under every hash that has any. ``values`` has the column value, without nulls."""
+    pairs = F.array(*[F.struct(F.lit(h).alias("h"), _cell(F.col("value"), h, cells).alias("cell")) for h in range(hashes)])
+    return values.select(F.explode(pairs).alias("c")).groupBy("c.h", "c.cell").agg(F.count(F.lit(1)).alias("n"))
+
+
+def survivors(values: DataFrame, counts: DataFrame, threshold: int, cells: int, hashes: int = HASHES) -> DataFrame:
+    """Rows of values whose cells all reach the threshold: a look-up in a broadcast bitmap for each hash."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("cell").bitwiseAND(63))
+    words = counts.where(F.col("n") >= threshold).groupBy("h", F.shiftright("cell", 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
+    table = words.toArrow()  # hashes x cells / 64 rows at most
+    spark = values.sparkSession
     for h in range(hashes):
-        bits = np.packbits(coarse[h] >= threshold, bitorder="little")
-        bits = np.pad(bits, (0, -len(bits) % 8)).view("<i8")
-        words = F.expr("array(" + ",".join(f"{int(w)}L" if w != -(2**63) else "bigint('-9223372036854775808')" for w in bits) + ")")
-        b = _bucket(value, h, buckets)
-        test = test & (F.getbit(F.get(words, F.shiftright(b, 6)), b.bitwiseAND(63)) == 1)
-    return test
+        mine = [(w, b) for x, w, b in zip(*(table[c].to_pylist() for c in ("h", "word", "bits")), strict=True) if x == h]
+        bitmap = spark.createDataFrame(mine, "_word int, _bits bigint")
+        cell = _cell(F.col("value"), h, cells)
+        values = values.join(F.broadcast(bitmap), F.shiftright(cell, 6) == F.col("_word"))
+        values = values.where(F.getbit("_bits", cell.bitwiseAND(63)) == 1).select("value")
+    return values
+
+
+def _values(df: DataFrame, col: str) -> DataFrame:
+    require_columns(df, [col])
+    return df.where(F.col(col).isNotNull()).select(F.col(col).alias("value"))
+
+
+def _exact(values: DataFrame, threshold: int) -> DataFrame:
+    return values.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= threshold)
 
 
-def iceberg_counts(df: DataFrame, col: str, threshold: int, coarse: np.ndarray | None = None) -> DataFrame:
+def iceberg_counts(df: DataFrame, col: str, threshold: int, most_cells: int = MOST_CELLS) -> DataFrame:
     """value, n of every value with at least ``threshold`` rows; counts are exact.
 
     Nulls are no value. An empty table, or one whose values all stay below, gives no rows.
     """
-    coarse = coarse_counts(df, col) if coarse is None else coarse
-    value = F.col(col)
-    rows = df.where(value.isNotNull() & _passes(value, coarse, threshold))
-    return rows.groupBy(value.alias("value")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= threshold)
+    values = _values(df, col)
+    return _counts(values, values.count(), threshold, most_cells)
 
 
-def first_threshold(coarse: np.ndarray, k: int) -> int:
-    """A threshold near the k-th largest count: the k-th largest bucket less what other values add to it."""
-    guess = []
-    for row in coarse:
-        ordered = np.sort(row)[::-1]
-        guess.append(int(ordered[min(k, len(ordered)) - 1]) - 2 * int(np.median(row)))
-    return max(1, min(guess))
+def _counts(values: DataFrame, rows: int, threshold: int, most_cells: int) -> DataFrame:
+    cells, groups = plan_cells(rows, threshold, most_cells)
+    if groups > MOST_GROUPS:
+        return _exact(values, threshold)
+    parts = []
+    for g in range(groups):
+        mine = values if groups == 1 else values.where(_cell(F.col("value"), GROUP_SEED, groups) == g)
+        parts.append(_exact(survivors(mine, cell_counts(mine, cells), threshold, cells), threshold))
+    return reduce(DataFrame.unionByName, parts)
 
 
-def iceberg_topk(df: DataFrame, col: str, k: int, hashes: int = HASHES, buckets: int = BUCKETS) -> DataFrame:
+def iceberg_topk(df: DataFrame, col: str, k: int, first_cells: int = FIRST_CELLS, most_cells: int = MOST_CELLS) -> DataFrame:
     """value, n, rank of the k most frequent values; ties go to the smaller value.
 
-    df is read once for the coarse counts and, as a rule, once for the survivors: k survivors that reach the
-    threshold tried are all there are above it; with fewer, a lower threshold is tried.
+    The values of the heaviest cells are counted exactly first: the k-th of them bounds the k-th count of all from below, and
+    with this bound as the threshold nothing of the answer can be missed. df is read three times as a rule, once more where the
+    bound asks for more cells than the first pass had.
     Fewer than k distinct values give fewer rows; nulls are left out; an empty table gives no rows.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
-    coarse = coarse_counts(df, col, hashes, buckets)
-    threshold = first_threshold(coarse, k)
-    while True:
-        top = iceberg_counts(df, col, threshold, coarse).orderBy(F.desc("n"), F.asc("value")).limit(k)
-        rows = top.collect()  # k rows at most
-        if len(rows) == k or threshold == 1:
-            break
-        threshold = max(1, threshold // 4)
-    schema = top.schema.add("rank", "integer")
-    return df.sparkSession.createDataFrame([(*r, i + 1) for i, r in enumerate(rows)], schema)
+    values = _values(df, col)
+    counts = materialize(cell_counts(values, first_cells), "cells")  # hashes x first_cells rows
+    heavy = [(r["cell"], r["n"]) for r in counts.where("h = 0").orderBy(F.desc("n"), "cell").limit(max(64, 4 * k)).collect()]
+    rows = counts.where("h = 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    chosen = values.sparkSession.createDataFrame([(c,) for c, _ in heavy], "_cell int")
+    near = values.join(F.broadcast(chosen), _cell(F.col("value"), 0, first_cells) == F.col("_cell"))
+    sure = [r["n"] for r in _exact(near.select("value"), 1).orderBy(F.desc("n")).limit(k).collect()]
+    threshold = sure[k - 1] if len(sure) == k else 1
+    cells, groups = plan_cells(rows, threshold, most_cells)
+    if groups == 1 and cells <= first_cells:  # the first pass had cells enough
+        found = _exact(survivors(values, counts, threshold, first_cells), threshold)
+    else:
+        found = _counts(values, rows, threshold, most_cells)
+    top = found.orderBy(F.desc("n"), F.asc("value")).limit(k)
+    ranked = [(*r, i + 1) for i, r in enumerate(top.collect())]  # k rows at most
+    return df.sparkSession.createDataFrame(ranked, top.schema.add("rank", "integer"))
