@@ -19,7 +19,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kmerloom.functions import sequence as S
@@ -34,46 +35,63 @@ HOT = 8
 MOST_BITS = 12
 DEFAULT_WORDS = 32_768
 
+_CODES = np.full(256, 4, np.uint8)
+for _i, _letters in enumerate((b"Aa", b"Cc", b"Gg", b"TtUu")):
+    _CODES[list(_letters)] = _i
+
 _BLOCKS = "root int, shard int, keys bigint, r int, modulus bigint, block int, first bigint, cnt int, payload binary"
 _DECIDED = "root int, shard int, arrival_id bigint, key bigint, in_old boolean, in_new boolean, chance double, run_bits bigint"
 
 
-def arrival_key(text: Column, form: Column) -> Column:
-    """Packed stored key of an arrival: text is a key, or a window if form says so; null without k bases."""
-    clean = S.clean_window(text)
-    key = F.when(F.lower(F.trim(form)) == "window", S.stored_key(clean)).otherwise(clean)
-    return F.when(S.is_kmer(clean, K), S.pack_key(key, K))
+def packed_keys(texts: pa.Array, window: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Packed stored keys of texts of k bases, and the rows they are from; other texts and nulls are left out.
+
+    Blanks and line ends around a text go, case does not count, U is T. Texts marked in ``window`` are raw windows, the
+    others keys.
+    """
+    texts = pc.utf8_trim(texts.cast(pa.string()), characters=S.BLANKS)
+    rows = np.flatnonzero(pc.fill_null(pc.equal(pc.binary_length(texts), K), False).to_numpy(zero_copy_only=False))
+    codes = _CODES[np.frombuffer(b"".join(texts.take(pa.array(rows)).cast(pa.binary()).to_pylist()), np.uint8)].reshape(-1, K)
+    good = (codes < 4).all(1)
+    rows, codes = rows[good], codes[good].astype(np.int64)
+    shift = 2 * np.arange(K - 1, -1, -1)
+    keys = (codes << shift).sum(1)
+    if window is not None:
+        w = window[rows]
+        keys[w] = np.minimum((codes[w] << shift[::-1]).sum(1), ((3 - codes[w]) << shift).sum(1))  # reversed, complement
+    return keys << (64 - 2 * K), rows
 
 
 def low_rows(low_keys: DataFrame) -> DataFrame:
     """key: packed keys of the earlier run, each once a batch; texts that are no key are left out."""
-    clean = S.clean_window(F.col("kmer"))
-    keys = low_keys.select(F.when(S.is_kmer(clean, K), S.pack_key(clean, K)).alias("key")).where(F.col("key").isNotNull())
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("key").unique()], ["key"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(packed_keys(b.column("kmer"))[0]))], ["key"])
 
-    return keys.mapInArrow(once, "key bigint")
+    return low_keys.select("kmer").where(F.col("kmer").isNotNull()).mapInArrow(once, "key bigint")
 
 
 def fold_hot(arrivals: DataFrame) -> DataFrame:
-    """arrival_id, key, folded: of a key with ``HOT`` rows or more in an Arrow batch only the first arrival goes on to the sets.
+    """arrival_id, key, folded of the arrivals whose text gives a key: of a key with ``HOT`` rows or more in an Arrow batch only the first arrival goes on to the sets.
 
     Its other rows are folded: they repeat a row of their own batch. Nothing is kept from batch to batch.
     """
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, keys = b.column("arrival_id").to_numpy(), b.column("key").to_numpy()
+            window = pc.equal(pc.utf8_lower(pc.utf8_trim(b.column("form").cast(pa.string()), characters=" ")), "window")
+            keys, rows = packed_keys(b.column("canonical_kmer"), pc.fill_null(window, False).to_numpy(zero_copy_only=False))
+            ids = b.column("arrival_id").to_numpy()[rows]
             order = np.lexsort((ids, keys))
             ids, keys = ids[order], keys[order]
             head = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-            rows = np.diff(np.append(head, len(keys)))
-            folded = (np.repeat(rows, rows) >= HOT) & (ids > np.repeat(ids[head], rows))
+            size = np.diff(np.append(head, len(keys)))
+            folded = (np.repeat(size, size) >= HOT) & (ids > np.repeat(ids[head], size))
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(keys), pa.array(folded)], ["arrival_id", "key", "folded"])
 
-    return arrivals.mapInArrow(fold, "arrival_id bigint, key bigint, folded boolean")
+    some = arrivals.where(F.col("arrival_id").isNotNull() & F.col("canonical_kmer").isNotNull())
+    return some.select(F.col("arrival_id").cast("bigint").alias("arrival_id"), "canonical_kmer", "form").mapInArrow(fold, "arrival_id bigint, key bigint, folded boolean")
 
 
 def filter_plan(low: DataFrame, probes: DataFrame, prefix_plan: DataFrame) -> DataFrame:
@@ -176,9 +194,7 @@ class SeenKeys:
     """
 
     def __init__(self, arrivals: DataFrame, low_keys: DataFrame, prefix_plan: DataFrame, most_bits: int = MOST_BITS):
-        keyed = arrivals.select("arrival_id", arrival_key(F.col("canonical_kmer"), F.col("form")).alias("key"))
-        keyed = keyed.where(F.col("key").isNotNull() & F.col("arrival_id").isNotNull())
-        self.arrivals = materialize(fold_hot(keyed), "arrivals")
+        self.arrivals = materialize(fold_hot(arrivals), "arrivals")
         self.low = materialize(low_rows(low_keys), "low")
         self.probes = self.arrivals.where(~F.col("folded")).select("arrival_id", "key")
         self.plan = filter_plan(self.low, self.probes, prefix_plan)

@@ -1,8 +1,9 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
-from brute import bases, stored_key
+from brute import bases, pack, stored_key
 
 from kmerloom.llm import seen_keys
 from kmerloom.llm.golomb import GolombSet, GrowingSet, bounded_set, reduce_hashes, target_range
@@ -152,9 +153,27 @@ def test_small_batches_and_runs(spark, monkeypatch):
 
 def test_hot_key_leaves_few_rows(spark):
     """A third of all rows hold one key: a row a batch is left of them; other keys go to the sets with all their rows."""
-    rows = spark.range(0, 30_000, 1, 1).selectExpr("30000 - id AS arrival_id", "IF(id % 3 = 0, 7, id div 5) AS key")
+    key = "IF(id % 3 = 0, repeat('G', 21), lpad(translate(conv(id div 5, 10, 4), '0123', 'ACGT'), 21, 'A'))"
+    rows = spark.range(0, 30_000, 1, 1).selectExpr("30000 - id AS arrival_id", f"{key} AS canonical_kmer", "'key' AS form")
     out = seen_keys.fold_hot(rows)
-    assert out.count() == 30_000 and out.where("key = 7 AND NOT folded").count() <= 3 and out.where("key <> 7 AND folded").count() == 0
+    hot = f"key = {pack('G' * 21)}"
+    assert out.count() == 30_000 and out.where(f"{hot} AND NOT folded").count() <= 3 and out.where(f"NOT {hot} AND folded").count() == 0
+
+
+def test_packed_keys():
+    """The array form equals the plain one, whatever stands in the text."""
+    rng = random.Random(6)
+    texts = [bases(rng, 21) for _ in range(200)] + [None, "", "A" * 20, "A" * 22, "A" * 20 + "N", "É" * 21, "A" * 19 + "É", "x" * 10_000]
+    texts += [f" \t{t}\r\n" for t in texts[:9]] + [t.lower().replace("t", "u") for t in texts[:9]] + ["A" * 10 + " " + "A" * 10]
+    window = np.array([rng.random() < 0.5 for _ in texts])
+    keys, rows = seen_keys.packed_keys(pa.array(texts), window)
+    want = {}
+    for i, t in enumerate(texts):
+        t = (t or "").strip(" \t\r\n").translate(str.maketrans("acgtuU", "ACGTTT"))
+        if len(t) == 21 and not set(t) - set("ACGT"):
+            want[i] = pack(stored_key(t) if window[i] else t)
+    assert dict(zip(rows.tolist(), keys.tolist(), strict=True)) == want
+    assert not len(seen_keys.packed_keys(pa.array([], pa.string()))[0])
 
 
 def test_shards(spark, monkeypatch):
