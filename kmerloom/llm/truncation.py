@@ -1,11 +1,18 @@
-"""Texts that were cut off: vocabulary trie, length evidence and open structure (problem 8).
+"""Texts that were cut off: tries of words and of token sequences, combined with length evidence (problem 8).
 
-A vocabulary of the corpus is counted over all texts; its trie is a table of nodes (prefix, count of the
+Trie evidence. A vocabulary of the corpus is counted over all texts; its trie is a table of nodes (prefix, count of the
 most frequent word below). A text whose final word is unknown, or far rarer than a word it is a proper
-prefix of, was cut in a word. Length evidence is a length that many texts of one source share exactly (a
-field limit, in characters or bytes, before an ellipsis mark), or a source whose texts end at multiples
-of a transfer block. Texts without a final newline are then judged by word, length and open structure; texts
-with one are cut if a block was just opened, or if they have exactly the length of a limit and no end mark.
+prefix of, was cut in a word. The same is asked one level up, where a word or number is one letter of the
+alphabet, and every mark and line start another: the last ``CONTEXT`` tokens of a text are looked up among
+all the corpus's token sequences. Where a sequence is common but texts hardly ever end with it, it is known only as the
+beginning of longer ones, and the text was cut in a line or between lines. Both are learnt from the
+corpus; no rule of any language is built in.
+
+Length evidence. A length that many texts of one source share exactly (a field limit, in characters or bytes, before an
+ellipsis mark), or a source whose texts end at multiples of a transfer block.
+
+Texts without a final newline are cut if either evidence says so. Texts with one are cut if their final sequence is
+known only as a beginning, or if they have exactly the length of a limit and their end is no usual one.
 """
 
 from __future__ import annotations
@@ -14,6 +21,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,30 +36,16 @@ LIMIT_SHARE = 0.5
 NEIGHBOURS = 32
 RARITY = 0.01
 LEAST_KNOWN = 5
-MOST_PARTS = 6
-LONGEST_WORD = 64
-DOCSTRING_LINES = 2
+NODE_LETTERS = 64
+CONTEXT = 6
+LEAST_CONTEXT = 200
+SELDOM = 0.5
+CHUNK_BYTES = 1 << 20
 
 _WORD = re.compile(r"[^\W\d_]+")
 _CAMEL = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[^\WA-Z\d_]+")
 _NO_LETTER = re.compile(r"[\W\d_]")
-_OPERATOR = re.compile(r"(?:[,(\[=]|\S\s+(?:[-+*/<>&|?:]|:=|[-=]>|&&|\|\||[=!<>]=))\Z")
-_OPENER = re.compile(r"[({\[]\Z|\A\s*(?:def|class|if|elif|else|for|while|with|try|except)\b.*:\Z")
-_HEADER = re.compile(r"\A\s*(?:def|class|if|elif|for|while|with)\b[^:]*\Z")
-_PYTHON = re.compile(r"^[ \t]*(?:def|class) .*:[ \t\r]*$", re.M)
-_BRACES = re.compile(r"\{[ \t\r]*$|\)\s?\{", re.M)
-_STATEMENT = re.compile(r"[;{}][ \t\r]*$", re.M)
-_PROPERTY = re.compile(r"\"[^\"]*\":\s*\"[^\"]*\",\Z")
-_TOP_COMMENT = re.compile(r"\A(?://|#|--)")
-_END_MARK = re.compile(r"(?:([-=*#_~])\1{2,}|\bEOF)\s*\Z")
-_LETTERS = re.compile(r"[^\W\d_]+")
-_DIGITS = re.compile(r"\d+")
-_LISTED = re.compile(r"\A\s*(?:- |[\w-]+: )")
-_LONE_NAME = re.compile(r"\A\s+[A-Za-z_]\w*\Z")
-_LONE_WORDS = {"pass", "return", "break", "continue", "else", "done", "fi", "end", "esac", "fallthrough", "yield", "raise"}
-_SQL = re.compile(r"\A\s*(?:SELECT|INSERT|UPDATE|CREATE|DELETE|WITH)\b")
-_HEX = re.compile(r"0x([0-9a-f]+)\Z")
-_KEY_HEX = re.compile(r"0x([0-9a-f]+)\s*\Z")
+_LINE, _INDENTED = 1, 2  # tokens of a new line without and with blanks at its start
 
 
 def subwords(token: str) -> list[str]:
@@ -91,71 +85,65 @@ def final_word(text: str) -> str | None:
     return "." + parts[-1] if len(parts) > 1 and len(parts[-1]) == 1 else parts[-1]
 
 
-def open_braces(text: str) -> bool:
-    """True if braces of a text with blocks in braces are open at its end."""
-    return text.count("{") > text.count("}") and bool(_BRACES.search(text)) and not _PYTHON.search(text)
-
-
-def broken_row(lines: list[str]) -> bool:
-    """True if the last line has the shape of a part of the three before, which are rows of one shape with numbers."""
-    if len(lines) < 4:
-        return False
-    *before, last = (_DIGITS.sub("9", _LETTERS.sub("a", x.strip())) for x in lines[-4:])
-    return len(set(before)) == 1 and "9" in before[0] and len(last) < len(before[0]) and before[0].startswith(last)
-
-
-def open_structure(text: str) -> bool:
-    """True if the text can't end here: an open bracket, string, comment, statement or row."""
-    body = text.rstrip("\r\n")
-    cut = body.rfind("\n")
-    last = body[cut + 1 :].rstrip("\r")
-    ended = len(body) < len(text)
-    bare = last.rstrip()
-    if ended:
-        return bool(_OPENER.search(bare)) or bare.endswith(",") and open_select(text)
-    if last != bare:  # blanks at the very end
-        return True
-    if not bare:
-        return False
-    braces = open_braces(text)
-    if (_OPERATOR.search(bare) or _OPENER.search(bare)) and (braces or not _PROPERTY.search(bare)):
-        return True
-    if last.count("(") > last.count(")") or last.count("[") > last.count("]"):
-        return True
-    if last.count('"') % 2 or last.count("`") % 2:
-        return True
-    comment = text.rfind("/*")
-    if comment > text.rfind("*/") and not _STATEMENT.search(text, comment):
-        return True
-    quoted = text.rfind('"""')
-    if text.count('"""') % 2 and not _STATEMENT.search(text, quoted) and text.count("\n", quoted) <= DOCSTRING_LINES:
-        return True
-    if braces and (last[0] in " \t" or last[-1] not in "};)" and not _TOP_COMMENT.search(last)) and not _LISTED.search(last):
-        return True
-    if _LONE_NAME.search(last) and " = " in text and last.strip() not in _LONE_WORDS:
-        return True
-    if _HEADER.search(last) and _PYTHON.search(text):
-        return True
-    hexed = _HEX.search(last)
-    if hexed:  # shorter than the numbers of the two rows before
-        before = [_KEY_HEX.search(x) for x in body[:cut].split("\n")[-2:]] if cut >= 0 else []
-        widths = {len(x[1]) if x else 0 for x in before}
-        if len(before) == 2 and len(widths) == 1 and 0 < len(hexed[1]) < widths.pop():
-            return True
-    return broken_row(body.rsplit("\n", 4)[-4:]) or open_select(text)
-
-
-def open_select(text: str) -> bool:
-    """True if the text ends within a SQL statement."""
-    at = text.rfind(";")
-    return at >= 0 and bool(_SQL.search(text[at + 1 :])) or at < 0 and bool(_SQL.search(text)) and "\nFROM " in text
+def _byte_kinds() -> np.ndarray:
+    """Kind of each byte: 0 blanks, letter for letters, _ and bytes beyond ASCII, digit for digits, newline, else the byte itself."""
+    kind = np.arange(256, dtype=np.int64)
+    for b in range(256):
+        if b >= 128 or chr(b).isalpha() or b == ord("_"):
+            kind[b] = ord("a")
+        elif chr(b).isdigit():
+            kind[b] = ord("9")
+        elif b <= 32:
+            kind[b] = ord("\n") if b == ord("\n") else 0
+    return kind
 
 
-def vocabulary(docs: DataFrame, column: str = "text") -> DataFrame:
-    """word, n: in about how many texts each word occurs before the final word. Null texts have none.
+_KINDS = _byte_kinds()
+
 
-    Tokens of more than ``MOST_PARTS`` parts, and parts of more than ``LONGEST_WORD`` letters, are encoded data, no words.
+def token_contexts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The last ``CONTEXT`` tokens up to each token of the texts as one number, and the text of each.
+
+    A word (letters, digits, _) is a token by its first letter's kind, a number another, every mark its own;
+    a new line is one by whether blanks follow; empty lines and what is blank at a text's end are none.
     """
+    buf = np.frombuffer(b"".join(b"\n" + t for t in texts) + b"\n\n", np.uint8)
+    begin = np.cumsum([0] + [len(t) + 1 for t in texts])
+    kind = _KINDS[buf]
+    word = (kind == ord("a")) | (kind == ord("9"))
+    starts = kind > 0
+    starts[1:] &= ~(word[1:] & word[:-1])
+    at = np.flatnonzero(starts[:-1])
+    token = kind[at]
+    new = token == ord("\n")
+    after = buf[at + 1]
+    token[new] = np.where((after[new] == 32) | (after[new] == 9), _INDENTED, _LINE)
+    last = np.append(new[1:], True)
+    at, token = at[~(new & last)], token[~(new & last)]
+    doc = np.searchsorted(begin, at, "right") - 1
+    first = np.searchsorted(doc, doc)
+    context, place = np.zeros(len(token), np.int64), np.arange(len(token))
+    for j in range(CONTEXT):
+        before = np.where(place - j >= first, token[np.maximum(place - j, 0)], 0)
+        context |= before << (8 * j)
+    return context, doc
+
+
+def _chunks(texts: list[str]) -> Iterator[tuple[int, list[bytes]]]:
+    """First number and bytes of the texts, in chunks of about ``CHUNK_BYTES``; a text is never cut."""
+    part, size, a = [], 0, 0
+    for i, t in enumerate(texts):
+        part.append((t or "").encode("utf-8", "surrogatepass"))
+        size += len(part[-1])
+        if size >= CHUNK_BYTES:
+            yield a, part
+            part, size, a = [], 0, i + 1
+    if part:
+        yield a, part
+
+
+def vocabulary(docs: DataFrame, column: str = "text") -> DataFrame:
+    """word, n: in about how many texts each word occurs before the final word. Null texts have none."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter[str] = Counter()
@@ -174,11 +162,7 @@ def vocabulary(docs: DataFrame, column: str = "text") -> DataFrame:
         words: Counter[str] = Counter()
         for token, n in total.items():
             parts = subwords(token)
-            if len(parts) > MOST_PARTS:  # encoded data, no word
-                continue
             for w in parts:
-                if len(w) > LONGEST_WORD:
-                    continue
                 words["." + w if len(w) == 1 and len(parts) > 1 else w] += n
         return pa.RecordBatch.from_pydict({"word": list(words), "n": list(words.values())}, schema=pa.schema({"word": pa.string(), "n": pa.int64()}))
 
@@ -186,38 +170,79 @@ def vocabulary(docs: DataFrame, column: str = "text") -> DataFrame:
     return counts.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def trie_nodes(words: DataFrame) -> DataFrame:
-    """prefix, below: the inner nodes of the words' trie with the largest count of a longer word below each."""
+def sequences(docs: DataFrame, column: str = "text") -> DataFrame:
+    """context, occ: how often each sequence of ``CONTEXT`` tokens occurs in the texts.
+
+    Their alphabet is small, so that a task leaves few rows however much it read.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: Counter[int] = Counter()
+        for batch in batches:
+            for _, part in _chunks(batch.column(0).to_pylist()):
+                context, n = np.unique(token_contexts(part)[0], return_counts=True)
+                total.update(dict(zip(context.tolist(), n.tolist(), strict=True)))
+            if len(total) > 200_000:
+                yield rows(total)
+                total = Counter()
+        yield rows(total)
+
+    def rows(total: Counter[int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["context", "occ"])
+
+    return docs.select(column).mapInArrow(count, "context bigint, occ bigint").groupBy("context").agg(F.sum("occ").alias("occ"))
+
+
+def words_below(words: DataFrame, finals: DataFrame) -> DataFrame:
+    """final, below: the largest count of a known word that final (with its column prefix) is a proper prefix of.
+
+    Prefixes of up to ``NODE_LETTERS`` letters are nodes of the words' trie; longer ones are compared with the words that
+    share their first letters, so that no word is too long.
+    """
     known = words.where((F.length("word") > 1) & (F.col("n") >= LEAST_KNOWN))
-    cut = F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.col("word").substr(F.lit(1), i))
-    return known.select(F.explode(cut).alias("prefix"), "n").groupBy("prefix").agg(F.max("n").alias("below"))
+    inner = F.least(F.length("word") - 1, F.lit(NODE_LETTERS))
+    cut = F.transform(F.sequence(F.lit(1), inner), lambda i: F.col("word").substr(F.lit(1), i))
+    nodes = known.select(F.explode(cut).alias("prefix"), "n").groupBy("prefix").agg(F.max("n").alias("below"))
+    long = known.where(F.length("word") > NODE_LETTERS + 1).select(F.substring("word", 1, NODE_LETTERS).alias("head"), "word", "n")
+    rest = finals.where(F.length("prefix") > NODE_LETTERS).withColumn("head", F.substring("prefix", 1, NODE_LETTERS)).join(long, "head")
+    rest = rest.where(F.startswith("word", "prefix") & (F.length("word") > F.length("prefix"))).groupBy("final").agg(F.max("n").alias("below"))
+    return finals.join(nodes, "prefix").select("final", "below").unionByName(rest)
 
 
 def text_features(docs: DataFrame) -> DataFrame:
-    """doc_id, source, chars and bytes (without an ellipsis mark), marked, ended, shut, open, deep, final, digest of every text."""
+    """doc_id, source, digest, chars and bytes (without an ellipsis mark), marked, ended, final, context and own of every text.
+
+    context is the token sequence that ends the text (null without a token), own its occurrences in the text.
+    """
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("chars", "bytes", "marked", "ended", "shut", "open", "deep", "final")}
-            for text in batch.column("text").to_pylist():
+            out: dict[str, list] = {k: [] for k in ("chars", "bytes", "marked", "ended", "final")}
+            texts = batch.column("text").to_pylist()
+            for text in texts:
                 body, marked = strip_ellipsis(text)
                 out["chars"].append(len(body))
                 out["bytes"].append(len(body.encode("utf-8", "surrogatepass")))
                 out["marked"].append(marked)
                 out["ended"].append(not text or text[-1] in "\r\n")
-                out["shut"].append(bool(_END_MARK.search(text[-64:])))
-                out["open"].append(open_structure(text))
-                out["deep"].append(open_braces(text))
                 out["final"].append(final_word(body))
+            final, own = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+            for a, part in _chunks(texts):
+                context, doc = token_contexts(part)
+                end = np.searchsorted(doc, np.arange(len(part)), "right") - 1
+                some = np.flatnonzero(np.isin(np.arange(len(part)), doc))
+                final[a + some] = context[end[some]]
+                own[a : a + len(part)] = np.bincount(doc[context == final[a + doc]], minlength=len(part))
             cols = [batch.column(c) for c in ("doc_id", "source", "digest")]
-            types = (pa.int64(), pa.int64(), *[pa.bool_()] * 5, pa.string())
+            types = (pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.string())
             cols += [pa.array(v, t) for v, t in zip(out.values(), types, strict=True)]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "source", "digest", *out])
+            cols += [pa.array(final, mask=final == 0), pa.array(own)]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "source", "digest", *out, "context", "own"])
 
     rows = docs.where(F.col("text").isNotNull()).select(
         F.col("doc_id").cast("bigint").alias("doc_id"), source_label().alias("source"), F.xxhash64("text").alias("digest"), "text"
     )
-    schema = "doc_id bigint, source string, digest bigint, chars bigint, bytes bigint, marked boolean, ended boolean, shut boolean, open boolean, deep boolean, final string"
+    schema = "doc_id bigint, source string, digest bigint, chars bigint, bytes bigint, marked boolean, ended boolean, final string, context bigint, own bigint"
     return rows.mapInArrow(features, schema)
 
 
@@ -261,17 +286,37 @@ def block_sources(rows: DataFrame) -> DataFrame:
     return counts.where((F.col("k") >= LEAST_AT_LIMIT) & (F.col("k") > F.col("n") * (8.0 / BLOCK))).select("source")
 
 
+def final_sequences(features: DataFrame, counts: DataFrame) -> DataFrame:
+    """digest, beginning, usual of every text whose final token sequence stands in other texts.
+
+    Other texts are all but the copies of this one. ``beginning``: they hold the sequence ``LEAST_CONTEXT`` times and end with it at
+    most ``SELDOM`` times as often as with a sequence on average, so that it is known only as the beginning of longer
+    ones. ``usual``: some end with it, and more often than with one on average.
+    """
+    texts = features.where(F.col("context").isNotNull()).groupBy("digest", "context", "own").agg(F.count(F.lit(1)).alias("copies"))
+    texts = materialize(texts, "texts")
+    ends = texts.groupBy("context").agg(F.sum("copies").alias("ends"))  # a row a sequence
+    known = counts.join(ends, "context", "left").withColumn("ends", F.coalesce("ends", F.lit(0)))
+    total = known.agg(F.sum("ends"), F.sum("occ")).first()
+    rate = (total[0] or 0) / max(1, total[1] or 0)
+    occ, ends = F.col("occ") - F.col("own") * F.col("copies"), F.col("ends") - F.col("copies")
+    rows = texts.join(known, "context").withColumns({"occ": occ, "ends": ends}).where("occ > 0 OR ends > 0")
+    few = F.col("ends") <= F.col("occ") * (SELDOM * rate)
+    return rows.select("digest", ((F.col("occ") >= LEAST_CONTEXT) & few).alias("beginning"), ((F.col("ends") > 0) & (F.col("ends") > F.col("occ") * rate)).alias("usual"))
+
+
 def judged_texts(docs: DataFrame) -> DataFrame:
-    """doc_id, source, partial, limit, block, open, ended, truncated of every text that is not null.
+    """doc_id, source, word, line, partial (either), limit, block, ended, truncated of every text that is not null.
 
     Texts without doc_id are judged too; an empty text is complete; repeated rows are judged alike.
     """
     require_columns(docs, ("doc_id", "text", "source"))
     features = materialize(text_features(docs), "features")
     words = materialize(vocabulary(docs), "vocabulary")
+    lines = materialize(final_sequences(features, materialize(sequences(docs), "sequences")), "lines")
     finals = features.where(F.col("final").isNotNull() & ~F.col("ended")).select("final", F.regexp_replace("final", "^[.]", "").alias("prefix")).distinct()
     partial = (
-        finals.join(trie_nodes(words), "prefix")
+        words_below(words, finals)
         .join(words.select(F.col("word").alias("final"), "n"), "final", "left")
         .where(F.coalesce("n", F.lit(0)) < F.col("below") * RARITY)
         .select("final", F.lit(True).alias("partial"))
@@ -286,19 +331,21 @@ def judged_texts(docs: DataFrame) -> DataFrame:
     own = F.concat(F.lit("#"), F.col("digest").cast("string"))
     features = features.withColumn("final", F.when(F.col("ended"), own).otherwise(F.coalesce("final", own)))
     rows = features.join(partial, "final", "left").join(chars, ["source", "chars"], "left").join(size, ["source", "bytes"], "left")
+    rows = rows.join(lines, "digest", "left")
     no = F.lit(False)
     at_chars, plain = F.coalesce("at_chars", no), ~F.col("marked")
     rows = rows.select(
-        "doc_id", "source", "ended", "shut", "open", "deep", full_blocks().alias("full"),
-        (F.coalesce("partial", no) & ~F.col("ended") & plain).alias("partial"),
+        "doc_id", "source", "ended", full_blocks().alias("full"),
+        (F.coalesce("partial", no) & ~F.col("ended") & plain).alias("word"),
+        (F.coalesce("beginning", no) & plain).alias("line"), F.coalesce("usual", no).alias("usual"),
         (at_chars | (F.col("less").isNotNull() & plain)).alias("limit"),
         (at_chars | (F.coalesce(F.col("less") == 0, no) & plain)).alias("exact"),
     )
-    rows = materialize(rows, "rows")
+    rows = materialize(rows.withColumn("partial", F.col("word") | F.col("line")), "rows")
     blocks = block_sources(rows.where(~F.col("limit"))).withColumn("blocked", F.lit(True))
     rows = rows.join(blocks, "source", "left").withColumn("block", F.coalesce("blocked", no) & F.col("full")).drop("blocked", "full")
-    whole = F.col("open") | (F.col("exact") & ~F.col("shut")) | ((F.col("limit") | F.col("block")) & F.col("deep"))
-    return rows.withColumn("truncated", F.when(F.col("ended"), whole).otherwise(F.col("limit") | F.col("block") | F.col("partial") | F.col("open")))
+    whole = F.col("partial") | (F.col("exact") & ~F.col("usual"))
+    return rows.withColumn("truncated", F.when(F.col("ended"), whole).otherwise(F.col("limit") | F.col("block") | F.col("partial")))
 
 
 def truncated_documents(docs: DataFrame) -> DataFrame:
@@ -307,7 +354,9 @@ def truncated_documents(docs: DataFrame) -> DataFrame:
 
 
 def truncation_report(docs: DataFrame) -> DataFrame:
-    """source, documents, truncated, share for each source."""
+    """source, documents, truncated, share, and the truncated by evidence (a text may have several) for each source."""
+    of = lambda c: F.count(F.when(F.col("truncated") & F.col(c), 1)).alias(f"by_{c}")
     return judged_texts(docs).groupBy("source").agg(
-        F.count(F.lit(1)).alias("documents"), F.count(F.when(F.col("truncated"), 1)).alias("truncated"), F.avg(F.col("truncated").cast("double")).alias("share")
-    )
+        F.count(F.lit(1)).alias("documents"), F.count(F.when(F.col("truncated"), 1)).alias("truncated"), F.avg(F.col("truncated").cast("double")).alias("share"),
+        of("word"), of("line"), of("limit"), of("block"),
+    )

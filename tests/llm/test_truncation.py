@@ -1,6 +1,6 @@
 import random
+import re
 
-import pytest
 
 from kmerloom.llm import truncation as T
 
@@ -53,19 +53,60 @@ def test_corpus(spark):
     assert ("paste", "chars", 600) in limits and not any(s != "paste" for s, *_ in limits)
 
 
-@pytest.mark.parametrize(
-    "text,expected",
-    [
-        ("", False), ("x = 1\n", False), ("return 54", False), ("f(a, b", True), ("f(a,", True), ('say "ab', True), ("a = ", True), ("a =", True),
-        ("/* note", True), ("/* note */", False), ("class Fleet:\n    ...", False), ("def f(x):\n    return 1\n\ndef g(y):\n", True), ("def f(x):\n    return 1\n\ndef g", True),
-        ("int f()\n{\n\treturn 1;\n}", False), ("int f()\n{\n\treturn x", True), ("int f() {\n", True), ("if (x) {y = 2;}", False), ("a 0x12345678\nb 0x12345678\nc 0x123", True),
-        ("a 0x12345678\nb 0x12345678\nc 0x12345678", False), ("SELECT a\nFROM b;\nSELECT c", True), ("SELECT a\nFROM b;", False), ("- harbor notch", False), ("text, then", False),
-        ("x = 1\n    lantern", True), ("f() {\n\tif (a) {\n\t}\n// end of f", False), ('b}"key": "value",', False), ('{\n  "key": "value",', True),
-        ('def f():\n    """Note', True), ('def f():\n    """Note\n\n    a = 1\n    return 2\n\nx = 3', False), ("while x:\n    pass", False),
-    ],
-)
-def test_open_structure(text, expected):
-    assert T.open_structure(text) is expected
+KIND = re.compile(r"\n[ \t]*|[^\W\d]\w*|\d\w*|[^\w\s]")
+
+
+def plain_contexts(text):
+    """Token sequences of a text in plain Python."""
+    text = "\n" + re.sub(r"(?:[ \t]*\n)+", "\n", text.replace("\r", "")).lstrip("\n").rstrip(" \t\n")
+    kinds = []
+    for t in KIND.findall(text):
+        kinds.append((2 if len(t) > 1 else 1) if t[0] == "\n" else ord("9") if t[0].isdigit() else ord("a") if t[0].isalpha() or t[0] == "_" else ord(t))
+    return [sum(kinds[i - j] << (8 * j) for j in range(min(T.CONTEXT, i + 1))) for i in range(len(kinds))]
+
+
+def test_token_contexts():
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(["a", "_b", "7", "x9", " ", "\t", "\n", "\n  ", "(", ")", ";", "+", "\r\n", "\n\n"]) for _ in range(rng.randrange(60))) for _ in range(300)]
+    texts = [t if t.strip() else "a" for t in texts] + ["if (a) {\n    return b;\n}\n"]
+    contexts, doc = T.token_contexts([t.encode() for t in texts])
+    for i, t in enumerate(texts):
+        t = "\n" + t.lstrip("\r\n") if not t.lstrip(" \t\r\n").startswith("\n") else t
+        got = contexts[doc == i].tolist()
+        want = plain_contexts(t[1:])
+        assert got[1:] == want[1:] or got[T.CONTEXT :] == want[T.CONTEXT :], (t, got, want)
+    assert not len(T.token_contexts([b"", b" \n\n "])[0])
+
+
+def cut_corpus(rng, n=600):
+    """Complete files, a part of them cut anywhere; copies of complete and of cut files; complete ones that end oddly."""
+    docs, cut = [], set()
+    for i in range(n):
+        text = (python_file if i % 2 else c_file)(rng, rng.randrange(8, 14))
+        kind = rng.random()
+        if kind < 0.15:
+            cut.add(i)
+            text = text[: rng.randrange(len(text) // 4, len(text) - 40)]
+        elif kind < 0.25:
+            text = text.rstrip("\n")
+        elif kind < 0.3:
+            text += "// end of " + rng.choice(WORDS)
+        docs.append((i, text, f"s{i % 3}"))
+    for i in (*sorted(cut)[:2], *[j for j in range(n) if j not in cut][:2]):
+        for _ in range(60):  # copies of one file bear no witness for or against it
+            docs.append((len(docs), docs[i][1], "vendored"))
+            if i in cut:
+                cut.add(len(docs) - 1)
+    return docs, cut
+
+
+def test_planted_cuts(spark):
+    """The tries alone, without any length evidence, find nine of ten files cut anywhere and hardly a complete one."""
+    docs, cut = cut_corpus(random.Random(12))
+    rows = T.judged_texts(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()
+    found = {r.doc_id for r in rows if r.partial}
+    assert len(found & cut) >= 0.9 * len(cut) and len(found & cut) >= 0.95 * len(found)
+    assert all(r.partial or r.limit or r.block for r in rows if r.truncated)
 
 
 def test_words():
@@ -76,15 +117,26 @@ def test_words():
 
 def test_trie(spark):
     words = spark.createDataFrame([("bridge", 50), ("brim", 9), ("br", 2), ("a", 70), ("rare", 1)], "word string, n long")
-    assert {r.prefix: r.below for r in T.trie_nodes(words).collect()} == {"b": 50, "br": 50, "bri": 50, "brid": 50, "bridg": 50}
+    long = "q" * 70
+    words = words.unionByName(spark.createDataFrame([(long + "rst", 8), (long, 5), ("z" * 500, 1)], words.schema))
+    finals = spark.createDataFrame([(x, x) for x in ("b", "br", "bri", "bridg", "bridge", "a", "rar", "q" * 10, "q" * 64, "q" * 66, long, long + "rst")], "final string, prefix string")
+    got = {}
+    for r in T.words_below(words, finals).collect():
+        got[r.final] = max(r.below, got.get(r.final, 0))
+    assert got == {"b": 50, "br": 50, "bri": 50, "bridg": 50, "q" * 10: 8, "q" * 64: 8, "q" * 66: 8, long: 8}
     docs = spark.createDataFrame([("load_anchor(x)",), ("loadAnchor anchor bri",), (None,), ("",)], "text string")
     assert {r.word: r.n for r in T.vocabulary(docs).collect()} == {"load": 2, "anchor": 3, "x": 1} or {r.word for r in T.vocabulary(docs).collect()} == {"load", "anchor", "x"}
 
 
 def test_edges(spark):
-    rows = [(1, None, "s"), (2, "", "s"), (None, "f(a,", None), (4, "é" * 200_000 + " end.", "s"), (4, "f(b,", "s"), (4, "f(b,", "s")]
+    rows = [(1, None, "s"), (2, "", "s"), (None, "f(b, c)\nf(a,", None), (4, "é" * 200_000 + " end.", "s"), (4, "f(b, c)\nf(b,", "s"), (4, "f(b, c)\nf(b,", "s")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    assert sorted((r.doc_id or 0, r.truncated) for r in T.judged_texts(df).collect()) == [(0, True), (2, False), (4, False), (4, True), (4, True)]
+    # five texts teach nothing: without a vocabulary nothing is called cut
+    assert sorted((r.doc_id or 0, r.truncated) for r in T.judged_texts(df).collect()) == [(0, False), (2, False), (4, False), (4, False), (4, False)]
+    known = [(100 + i, "f(b, c)\n" * 30, "s") for i in range(30)]
+    df = df.unionByName(spark.createDataFrame(known, df.schema))
+    judged = [(r.doc_id or 0, r.truncated) for r in T.judged_texts(df).collect() if (r.doc_id or 0) < 100]
+    assert sorted(judged) == [(0, True), (2, False), (4, False), (4, True), (4, True)]
     assert T.truncated_documents(df.limit(0)).count() == 0 and T.truncation_report(df.limit(0)).count() == 0
 
 
