@@ -23,6 +23,7 @@ def load_sightings(sightings: DataFrame, store: TermCountStore | None = None) ->
     rows = usable_rows(sightings, F.col("read_id"), late.alias("late"))
     changes = rows.select(F.col("read_id").alias("record"), F.col("sighting_id").alias("item"), F.col("key").alias("term"), "late")
     store.apply(changes.where(~F.col("late")).drop("late"))
+    store = TermCountStore(spark, store.path)  # as a later run would
     store.apply(changes.where(F.col("late")).drop("late"))
     return store
 

@@ -1,11 +1,12 @@
 import random
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import pytest
 from brute import SIGHTINGS, bases, pack, stored_key
 from pyspark.sql import functions as F
 
-from kmerloom.llm import sighting_counts
+from kmerloom.llm import sighting_counts, term_counts
 from kmerloom.llm.term_counts import TermCountStore, mark_terms
 
 TYPES = "record long, item long, term string"
@@ -28,7 +29,7 @@ def stored(store):
 
 def test_loads_equal_recount(spark):
     rng = random.Random(4)
-    store, items = TermCountStore(spark, buckets=4), {}
+    store, items = TermCountStore(spark), {}
     for load in range(4):
         changes = []
         for _ in range(120):
@@ -49,16 +50,23 @@ def test_loads_equal_recount(spark):
             assert deltas.get(t, (0, 0)) == (a[0] - b[0], a[1] - b[1])
 
 
-def test_persistence_and_untouched_buckets(spark):
-    store = TermCountStore(spark, buckets=8)
+def files(store):
+    """Data files of the store and their times."""
+    root = Path(store.path.removeprefix("file:").replace("//", "/"))
+    return {str(p): p.stat().st_mtime_ns for p in root.rglob("*.parquet")}
+
+
+def test_persistence(spark):
+    store = TermCountStore(spark)
     store.apply(spark.createDataFrame([(1, i, f"t{i}") for i in range(40)], TYPES))
-    again = TermCountStore(spark, store.path, buckets=8)
+    again = TermCountStore(spark, store.path)
     assert again.manifest == store.manifest
     again.apply(spark.createDataFrame([(2, 100, "t3")], TYPES))
-    versions = list(again.manifest["counts"].values())
-    assert versions.count(2) == 1 and versions.count(1) == len(versions) - 1
     assert stored(again)["t3"] == (2, 2)
     assert again.apply(spark.createDataFrame([(2, 100, "t3")], TYPES)).count() == 0  # delivered again
+    with pytest.raises(RuntimeError):
+        store.apply(spark.createDataFrame([(3, 200, "t4")], TYPES))  # does not know of the other's loads
+    assert stored(TermCountStore(spark, store.path)) == stored(again)
     again.apply(spark.createDataFrame([(None, i, None) for i in [*range(40), 100]], TYPES))
     assert stored(again) == {}
     with pytest.raises(ValueError):
@@ -67,9 +75,67 @@ def test_persistence_and_untouched_buckets(spark):
         again.apply(spark.range(1))
 
 
+def test_small_load_rewrites_nothing(spark):
+    """A load of one in a hundred adds files and leaves all others; its tasks are not bound to a number of buckets."""
+    store = TermCountStore(spark)
+    store.apply(spark.range(5000).selectExpr("id div 7 AS record", "id AS item", "concat('t', id % 1500) AS term"))
+    before = files(store)
+    store.apply(spark.range(0, 5000, 100).selectExpr("id div 7 AS record", "id AS item", "'changed' AS term"))
+    after = files(store)
+    assert all(after.get(p) == t for p, t in before.items()) and len(after) > len(before)
+    assert stored(store)["changed"] == (50, 50) and len(store.manifest["counts"]) == 2
+
+
+@pytest.mark.parametrize("rows", [4_000_000, 60])
+def test_compaction_and_buckets(spark, monkeypatch, rows):
+    """Merged pieces and ledgers in buckets of records give the same counts as a recount."""
+    monkeypatch.setattr(term_counts, "LEDGER_ROWS", rows)
+    monkeypatch.setattr(term_counts, "COMPACT_PIECES", 2)
+    rng = random.Random(rows)
+    store, items = TermCountStore(spark), {}
+    for load in range(4):
+        changes = {rng.randrange(400): rng.choice(["a", "b", f"t{rng.randrange(50)}", None]) for _ in range(300 if not load else 20)}
+        rows_ = [(None if i % 17 == 0 else i % 30, i, t) for i, t in changes.items()]
+        items.update({i: (r, t) for r, i, t in rows_})
+        store.apply(spark.createDataFrame(rows_, TYPES))
+        assert stored(store) == state(items)
+    assert len(store.manifest["counts"]) <= 2 and (store.manifest["ledger"][0]["buckets"] > 1) == (rows == 60)
+    left = len(files(store))
+    assert store.vacuum() > 0 and len(files(store)) < left and stored(store) == state(items)
+
+
+@pytest.mark.parametrize("step", ["ledger", "counts", "commit"])
+def test_a_lost_load_can_be_made_again(spark, monkeypatch, step):
+    store = TermCountStore(spark)
+    store.apply(spark.createDataFrame([(1, 1, "x"), (1, 2, "y")], TYPES))
+    load = spark.createDataFrame([(1, 1, "z"), (2, 3, "x")], TYPES)
+    write = TermCountStore._write
+
+    def broken_write(self, part, rows):
+        out = write(self, part, rows)
+        if part == step:
+            raise OSError("lost")
+        return out
+
+    def broken_commit(self, manifest):
+        raise OSError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(TermCountStore, "_write", broken_write)
+        if step == "commit":
+            m.setattr(TermCountStore, "_commit", broken_commit)
+        with pytest.raises(OSError):
+            store.apply(load)
+    want = {"x": (1, 1), "y": (1, 1)}
+    assert stored(store) == want == stored(TermCountStore(spark, store.path))
+    store.apply(load)
+    assert stored(store) == {"x": (1, 1), "y": (1, 1), "z": (1, 1)} == stored(TermCountStore(spark, store.path))
+    assert store.vacuum() >= 0
+
+
 def test_item_that_moved_away_is_gone(spark):
     """Its old record must not count it when that record changes later."""
-    store, items = TermCountStore(spark, buckets=2), {}
+    store, items = TermCountStore(spark), {}
     for load in ([(1, 1, "x"), (2, 5, "y")], [(2, 1, "x")], [(1, 2, "x")], [(1, 1, "x")], [(2, 3, "x"), (1, 1, None)], [(1, 2, None)]):
         items.update({i: (r, t) for r, i, t in load})
         store.apply(spark.createDataFrame(load, TYPES))
