@@ -1,34 +1,27 @@
-"""SQL surface: the table function kmers(seq, k) and the scalar functions as SQL expressions."""
+"""SQL surface: the table function kmers(seq, k) and the scalar functions, all as SQL expressions that stay in the JVM."""
 
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
-from pyspark.sql.functions import udtf
 
-from kmerloom.functions.sequence import BASES
+PIECE = 1000  # windows of a piece, so that no substring is sought far into a long sequence
 
 
 def register_sql(spark: SparkSession) -> None:
-    """Register the table function kmers(seq, k) and the SQL functions revcomp, canonical_kmer and stored_kmer."""
+    """Register the table function kmers(seq, k) and the SQL functions revcomp, canonical_kmer and stored_kmer.
 
-    @udtf(returnType="pos int, kmer string")
-    class Kmers:
-        def eval(self, seq: str, k: int):
-            if seq is None or k is None or k < 1:
-                return
-            table = str.maketrans("acgtuU", "ACGTTT")
-            comp = str.maketrans("ACGT", "TGCA")
-            s, run = seq.translate(table), 0
-            for i, c in enumerate(s):
-                run = run + 1 if c in BASES else 0
-                if run >= k:
-                    w = s[i - k + 1 : i + 1]
-                    yield i - k + 1, min(w[::-1], w.translate(comp))
-
-    spark.udtf.register("kmers", Kmers)
+    kmers gives pos (0-based) and the stored key of every window of k bases; a null sequence or k, or a k below 1, gives none.
+    """
     for name, body in (
         ("revcomp", "reverse(translate(w, 'ACGT', 'TGCA'))"),
         ("canonical_kmer", "least(w, reverse(translate(w, 'ACGT', 'TGCA')))"),
         ("stored_kmer", "least(reverse(w), translate(w, 'ACGT', 'TGCA'))"),
     ):
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(w STRING) RETURNS STRING RETURN {body}")
+    spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION kmers(seq STRING, k INT) RETURNS TABLE(pos INT, kmer STRING)
+RETURN SELECT a + i - 2, least(reverse(w), translate(w, 'ACGT', 'TGCA')) FROM (
+  SELECT a, i, substring(t, i, n) AS w, n FROM (
+    SELECT p.a AS a, p.t AS t, p.n AS n, explode(sequence(1, length(p.t) - p.n + 1)) AS i FROM (
+      SELECT explode(filter(transform(sequence(1, greatest(length(seq) - k + 1, 1), {PIECE}),
+        a -> named_struct('a', a, 't', translate(substring(seq, a, {PIECE - 1} + k), 'acgtuU', 'ACGTTT'), 'n', k)), p -> p.n >= 1 AND length(p.t) >= p.n)) AS p)))
+WHERE w RLIKE concat('^[ACGT]{{', n, '}}$')""")

@@ -18,6 +18,7 @@ from kmerloom.functions import sequence as S
 MAX_K = 128
 CHUNK_BASES = 31  # bases in one signed 64-bit column
 CHUNK_BYTES = 2 << 20
+PIECE_WINDOWS = 1000
 
 
 def check_k(k: int) -> None:
@@ -31,13 +32,24 @@ def base_runs(reads: DataFrame, seq: str = "seq", least: int = 1) -> DataFrame:
     return reads.select(*[c for c in reads.columns if c != seq], run).where(F.length("run") >= least)
 
 
-def windows(reads: DataFrame, k: int, seq: str = "seq") -> DataFrame:
-    """reads' other columns and ``window``: every k bases of every run, in either strand as it stands."""
+def run_pieces(reads: DataFrame, k: int, seq: str = "seq") -> DataFrame:
+    """reads' other columns and ``run``: the runs in pieces of ``PIECE_WINDOWS`` windows, which overlap by k-1 bases.
+
+    No window is lost or doubled, and no piece grows with its sequence.
+    """
     check_k(k)
     runs = base_runs(reads, seq, k)
-    starts = F.explode(F.sequence(F.lit(1), F.length("run") - (k - 1))).alias("at")
     rest = [c for c in runs.columns if c != "run"]
-    return runs.select(*rest, "run", starts).select(*rest, F.substring(F.col("run"), F.col("at"), F.lit(k)).alias("window"))
+    starts = F.explode(F.sequence(F.lit(1), F.length("run") - (k - 1), F.lit(PIECE_WINDOWS))).alias("_at")
+    return runs.select(*rest, "run", starts).select(*rest, F.substring(F.col("run"), F.col("_at"), F.lit(PIECE_WINDOWS + k - 1)).alias("run"))
+
+
+def windows(reads: DataFrame, k: int, seq: str = "seq") -> DataFrame:
+    """reads' other columns and ``window``: every k bases of every run, in either strand as it stands."""
+    runs = run_pieces(reads, k, seq)
+    starts = F.explode(F.sequence(F.lit(1), F.length("run") - (k - 1))).alias("_at")
+    rest = [c for c in runs.columns if c != "run"]
+    return runs.select(*rest, "run", starts).select(*rest, F.substring(F.col("run"), F.col("_at"), F.lit(k)).alias("window"))
 
 
 def kmers_of(seq: Column, k: int) -> Column:
@@ -51,9 +63,16 @@ def kmers_of(seq: Column, k: int) -> Column:
 
 
 def key_rows(reads: DataFrame, k: int, seq: str = "seq") -> DataFrame:
-    """reads' other columns and ``kmer``: the stored key of every window."""
-    w = windows(reads, k, seq)
-    return w.select(*[c for c in w.columns if c != "window"], S.stored_key(F.col("window")).alias("kmer"))
+    """reads' other columns and ``kmer``: the stored key of every window.
+
+    A piece is reversed and complemented once; the two forms of a window are parts of these.
+    """
+    runs = run_pieces(reads, k, seq)
+    rest = [c for c in runs.columns if c != "run"]
+    both = runs.select(*rest, F.reverse("run").alias("_back"), S.complement(F.col("run")).alias("_comp"), F.length("run").alias("_n"))
+    each = both.select(*rest, "_back", "_comp", "_n", F.explode(F.sequence(F.lit(1), F.col("_n") - (k - 1))).alias("_at"))
+    back = F.substring(F.col("_back"), F.col("_n") - F.col("_at") - (k - 2), F.lit(k))
+    return each.select(*rest, F.least(back, F.substring(F.col("_comp"), F.col("_at"), F.lit(k))).alias("kmer"))
 
 
 # -- array path ----------------------------------------------------------------------------------------
@@ -116,6 +135,14 @@ def _counts(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
     return [c[at] for c in columns], np.diff(np.append(at, len(new)))
 
 
+def overlapping(texts: list[bytes], k: int) -> list[bytes]:
+    """texts, the long ones in pieces of ``CHUNK_BYTES`` windows that overlap by k-1 bytes: every window is in one piece."""
+    out = []
+    for t in texts:
+        out += [t] if len(t) < CHUNK_BYTES + k else [t[a : a + CHUNK_BYTES + k - 1] for a in range(0, len(t) - k + 1, CHUNK_BYTES)]
+    return out
+
+
 def chunk_counts(reads: DataFrame, k: int, seq: str = "seq") -> DataFrame:
     """c0, c1, ..., n: keys as numbers of 31 bases each, counted within every batch before the shuffle."""
     check_k(k)
@@ -127,7 +154,7 @@ def chunk_counts(reads: DataFrame, k: int, seq: str = "seq") -> DataFrame:
             for b in letters:
                 lut[b] = i
         for batch in batches:
-            texts = [t for t in batch.column(0).cast(pa.binary()).to_pylist() if t is not None and len(t) >= k]
+            texts = overlapping([t for t in batch.column(0).cast(pa.binary()).to_pylist() if t is not None and len(t) >= k], k)
             a = 0
             while a < len(texts):
                 b, size = a, 0

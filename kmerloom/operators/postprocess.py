@@ -48,6 +48,18 @@ def ranked(df: DataFrame, *by: str) -> DataFrame:
     return out.select(*df.columns, (F.col("_shift") + F.col("_at") + 1).alias("rank"))
 
 
+def written_places(df: DataFrame, label: str) -> DataFrame:
+    """df as written to Parquet files, with ``place``: the number of each row through the files in order of their names."""
+    spark = df.sparkSession
+    rows = materialize(df, label).select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    before, shifts = 0, []
+    for name, n in sorted(tuple(r) for r in rows.groupBy("_file").count().collect()):  # a row a file
+        shifts.append((name, before))
+        before += n
+    out = rows.join(F.broadcast(spark.createDataFrame(shifts, "_file string, _before bigint")), "_file")
+    return out.select(*df.columns, (F.col("_before") + F.col("_at") + 1).alias("place"))
+
+
 def ranked_counts(reads: DataFrame, k: int, seq: str = "seq") -> DataFrame:
     """kmer, cnt, rank in key order; keys are sorted as numbers and spelled last."""
     chunks = count_chunks(reads, k, seq)

@@ -35,9 +35,12 @@ def dense(spectrum: DataFrame, min_freq: int = DEFAULT_RANGE[0], max_freq: int =
     return grid.unionByName(kept).groupBy("freq").agg(F.sum("n").alias("n"))
 
 
-def ranged_counts(counts: DataFrame, min_freq: int, max_freq: int) -> DataFrame:
-    """Counts that can reach the range: the skip of build rows below it, before any shuffle."""
-    return counts.where(F.col("cnt").between(min_freq, max_freq))
+def reachable(root: DataFrame, min_freq: int) -> DataFrame:
+    """root without the rows that stay below the range even with a first sighting: skipped before any shuffle.
+
+    Should their keys be in low, they count there as single sightings, which lie below the range as well.
+    """
+    return root.where(F.coalesce("cnt", F.lit(0)) + 1 >= min_freq) if min_freq > 1 else root
 
 
 def spectrum(low: DataFrame, root: DataFrame, min_freq: int = 1, max_freq: int = 10_000, mode: str = "precise") -> DataFrame:
@@ -45,7 +48,7 @@ def spectrum(low: DataFrame, root: DataFrame, min_freq: int = 1, max_freq: int =
     from kmerloom.operators.counting import merge_low_root
 
     if mode == "precise":
-        return dense(precise(merge_low_root(low, root)), min_freq, max_freq)
+        return dense(precise(merge_low_root(low, reachable(root, min_freq))), min_freq, max_freq)
     if mode == "approximate":
         return dense(approximate(root), min_freq, max_freq)
     raise ValueError("mode must be precise or approximate")

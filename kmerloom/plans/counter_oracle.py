@@ -6,7 +6,7 @@ READS = "SELECT read_id, min(seq) AS seq FROM fastq_reads WHERE read_id IS NOT N
 TEXT = "SELECT doc_id, text AS seq FROM documents"
 HEXN = "SELECT translate(md5(CAST(l_partkey AS VARCHAR)), '0123456789abcdef', 'ACGTACGTACGTACGN') AS seq FROM lineitem"
 WIDE = "SELECT {} AS seq FROM orders".format(
-    " || ".join(f"translate(md5(CAST(o_custkey % 400 AS VARCHAR) || '{x}'), '0123456789abcdef', 'ACGTACGTACGTACGT')" for x in "abcde")
+    " || ".join(f"translate(md5(CAST(o_custkey AS VARCHAR) || '{x}'), '0123456789abcdef', 'ACGTACGTACGTACGT')" for x in "abcde")
 )
 RUNS = "unnest(string_split_regex(translate(seq, 'acgtuU', 'ACGTTT'), '[^ACGT]+'))"
 
@@ -32,8 +32,9 @@ root AS (SELECT * FROM (SELECT {CLEAN.format('kmer')} AS kmer, max(cnt) AS cnt F
 merged AS (SELECT coalesce(l.kmer, r.kmer) AS kmer, coalesce(r.cnt, 0) + CASE WHEN l.kmer IS NULL THEN 0 ELSE 1 END AS cnt
   FROM low l FULL OUTER JOIN root r ON l.kmer = r.kmer)"""
 
-WANTED = f"""wanted AS (SELECT DISTINCT kmer FROM (SELECT {CLEAN.format('canonical_kmer')} AS kmer FROM kmer_arrivals WHERE form = 'key')
-  WHERE regexp_full_match(kmer, '[ACGT]{{21}}'))"""
+WANTED = f"""texts AS (SELECT {CLEAN.format('canonical_kmer')} AS w, lower(trim(form)) AS form FROM kmer_arrivals),
+wanted AS (SELECT DISTINCT CASE WHEN form = 'window' THEN least(reverse(w), translate(w, 'ACGT', 'TGCA')) ELSE w END AS kmer FROM texts
+  WHERE regexp_full_match(w, '[ACGT]{{21}}'))"""
 
 ROOTS = f"""roots AS (SELECT CAST(g.root AS INTEGER) AS root, greatest(coalesce(n, 0), 1000) AS n
   FROM (SELECT unnest(range(0, 256)) AS root) g LEFT JOIN (SELECT {ROOT} AS root, sum(cnt) AS n FROM counts GROUP BY 1) p ON g.root = p.root)"""
@@ -48,6 +49,9 @@ def _dense(table: str, lo: int, hi: int) -> str:
 LEFT JOIN (SELECT cnt AS freq, count(*) AS n FROM {table} GROUP BY cnt) s ON g.freq = s.freq"""
 
 
+#: Byte j of a packed key: four bases, the last byte filled up with A.
+_BYTE = "printf('%02x', CAST(" + " + ".join(f"{4 ** (3 - i)} * (strpos('ACGT', rpad(kmer, 24, 'A')[4 * j + {i + 1}]) - 1)" for i in range(4)) + " AS INTEGER))"
+
 _ALL = "SELECT kmer, cnt FROM counts"
 _COUNT_SOURCES = {
     "kmer_counts_reads_k21": (READS, 21), "kmer_counts_reads_k21_sql": (READS, 21), "kmer_counts_reads_k31": (READS, 31),
@@ -58,8 +62,10 @@ _COUNT_SOURCES = {
 
 ORACLE = {
     **{name: _with(counts(*spec), _ALL) for name, spec in _COUNT_SOURCES.items()},
-    "fastq_sequence_lines": "SELECT coalesce(seq, '') AS line, count(*) AS n FROM fastq_reads GROUP BY 1",
     "fastq_source_reads": "SELECT coalesce(seq, '') AS seq, count(*) AS n FROM fastq_reads GROUP BY 1",
+    "fastq_split_reads": """SELECT '@' || coalesce(header, '') AS header, coalesce(seq, '') AS seq, coalesce(qual, '') AS qual, count(*) AS n
+FROM fastq_reads GROUP BY 1, 2, 3""",
+    "fastq_sampling_scan": "SELECT true AS complete, true AS within",
     "base_runs": f"""WITH reads AS ({READS}), runs AS (SELECT read_id, {RUNS} AS run FROM reads)
 SELECT read_id, count(*) AS runs, CAST(sum(length(run)) AS BIGINT) AS bases, CAST(max(length(run)) AS BIGINT) AS longest
 FROM runs WHERE length(run) >= 1 GROUP BY read_id""",
@@ -88,7 +94,7 @@ SELECT DISTINCT read_id, run, reverse(translate(run, 'ACGT', 'TGCA')) AS revcomp
     "low_bin_round_trip": _with(counts(), "SELECT kmer FROM counts"),
     "root_repeats": _with(counts(), f"SELECT CAST({ROOT} AS INTEGER) AS root, kmer, cnt - 1 AS cnt FROM counts WHERE cnt >= 2"),
     "root_bin_round_trip": _with(counts(), f"SELECT CAST({ROOT} AS INTEGER) AS root, kmer, cnt - 1 AS cnt FROM counts WHERE cnt >= 2"),
-    "parquet_round_trip": _with(counts(), "SELECT kmer, cnt - 1 AS cnt FROM counts WHERE cnt >= 2 AND kmer[1] = 'A'"),
+    "parquet_round_trip": _with(counts(), "SELECT kmer, cnt - 1 AS cnt FROM counts WHERE cnt >= 2"),
     "parquet_merge_round_trip": _with(counts(), "SELECT kmer, cnt FROM counts"),
     "low_root_full_outer_merge": _with(PIECES, "SELECT kmer, cnt FROM merged"),
     "low_minus_root": _with(PIECES, "SELECT kmer FROM low WHERE kmer NOT IN (SELECT kmer FROM root)"),
@@ -133,7 +139,30 @@ UNION ALL SELECT 1 FROM low WHERE kmer NOT IN (SELECT kmer FROM root)) GROUP BY
     "packed_shifts": _with(PIECES, "SELECT kmer, substring(kmer, 2) || 'A' AS shorter, 'A' || kmer AS longer FROM low"),
     "observed_totals": _with(counts(), "SELECT CAST(sum(cnt) AS BIGINT) AS total, count(*) AS distinct_keys FROM counts"),
     "sampled_prefix_counts": _with(
-        counts(f"SELECT * FROM ({READS}) WHERE read_id % 3 = 0"), "SELECT left(kmer, 4) AS prefix, CAST(sum(cnt) AS BIGINT) AS n FROM counts GROUP BY 1"
+        counts("SELECT seq FROM fastq_reads"), "SELECT left(kmer, 4) AS prefix, CAST(sum(cnt) AS BIGINT) AS n FROM counts GROUP BY 1"
+    ),
+    "low_packed_read": _with(
+        counts(),
+        f"""SELECT list_aggregate(list_transform([5, 4, 3, 2, 1, 0], lambda j: {_BYTE}), 'string_agg', '') AS record FROM counts""",
+    ),
+    "spectrum_text": _with(PIECES, _dense("merged", 1, 400)),
+    "histogram_text": _with(
+        PIECES,
+        """SELECT freq AS count, count(*) AS num_kmers FROM (SELECT cnt + 1 AS freq FROM root
+UNION ALL SELECT 1 FROM low WHERE kmer NOT IN (SELECT kmer FROM root)) GROUP BY freq""",
     ),
+    "final_low_sorted": _with(PIECES, "SELECT kmer, row_number() OVER (ORDER BY kmer) AS place FROM low WHERE kmer NOT IN (SELECT kmer FROM root)"),
+    "final_root_sorted": _with(PIECES, f"SELECT CAST({ROOT} AS INTEGER) AS root, kmer, cnt, row_number() OVER (ORDER BY kmer) AS place FROM root"),
+    "prefix_owner_lpt": f"""WITH RECURSIVE {counts()},
+{ROOTS},
+turns AS (SELECT root, n, row_number() OVER (ORDER BY n DESC, root) AS turn FROM roots),
+step AS (
+  SELECT CAST(0 AS BIGINT) AS turn, CAST(NULL AS INTEGER) AS root, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS owner,
+         list_transform(range(0, 12), lambda x: CAST(0 AS BIGINT)) AS loads
+  UNION ALL
+  SELECT t.turn, t.root, CAST(t.n AS BIGINT), CAST(list_position(loads, list_min(loads)) - 1 AS BIGINT),
+         list_transform(loads, lambda x, i: CASE WHEN i = list_position(loads, list_min(loads)) THEN CAST(x + t.n AS BIGINT) ELSE x END)
+  FROM step s JOIN turns t ON t.turn = s.turn + 1)
+SELECT root, n, CAST(owner AS INTEGER) AS owner FROM step WHERE turn > 0""",
     "streaming_kmer_counts": _with(counts("SELECT seq FROM fastq_reads", 11), _ALL),
 }

@@ -40,8 +40,8 @@ def hexn_reads(spark: SparkSession, d: str) -> DataFrame:
 
 
 def wide_reads(spark: SparkSession, d: str) -> DataFrame:
-    """Reads of 160 bases without breaks."""
-    group = (F.col("o_custkey") % 400).cast("string")
+    """Reads of 160 bases without breaks; customers with several orders repeat theirs."""
+    group = F.col("o_custkey").cast("string")
     parts = [_hex(F.concat(group, F.lit(x)), "ACGTACGTACGTACGT") for x in "abcde"]
     return table(spark, d, "orders").select(F.concat(*parts).alias("seq"))
 
@@ -59,25 +59,41 @@ def low_root(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def wanted_keys(spark: SparkSession, d: str) -> DataFrame:
-    """kmer: distinct keys of the arrivals that are given as keys."""
-    rows = table(spark, d, "kmer_arrivals").where(F.col("form") == "key").select(S.clean_window(F.col("canonical_kmer")).alias("kmer"))
-    return rows.where(S.is_kmer(F.col("kmer"), K)).distinct()
+    """kmer: distinct stored keys of the arrivals, given as keys or as windows."""
+    text = S.clean_window(F.col("canonical_kmer"))
+    key = F.when(F.lower(F.trim("form")) == "window", S.stored_key(text)).otherwise(text)
+    return table(spark, d, "kmer_arrivals").where(S.is_kmer(text, K)).select(key.alias("kmer")).distinct()
 
 
 # -- scans, projections ---------------------------------------------------------------------------------
-def fastq_sequence_lines(spark: SparkSession, d: str) -> DataFrame:
-    """line: sequence lines of the records as four-line text, with their number of copies."""
-    rows = table(spark, d, "fastq_reads").select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("header", "seq", "qual")])
-    lines = rows.select(F.posexplode(F.array("header", "seq", F.lit("+"), "qual")).alias("line_no", "line"))
-    return lines.where(F.col("line_no") % 4 == 1).groupBy("line").agg(F.count(F.lit(1)).alias("n"))
-
-
-def fastq_source_reads(spark: SparkSession, d: str) -> DataFrame:
-    """seq, n: written as FASTQ and read again through the data source."""
+def _written_reads(spark: SparkSession, d: str) -> str:
     path = new_path(spark, "fastq")
     tables.write_fastq(table(spark, d, "fastq_reads"), path)
     binary.register(spark)
-    return spark.read.format("fastq").load(path).groupBy("seq").agg(F.count(F.lit(1)).alias("n"))
+    return path
+
+
+def fastq_source_reads(spark: SparkSession, d: str) -> DataFrame:
+    """seq, n: written as FASTQ and read again through the data source, which decodes the sequences only."""
+    rows = spark.read.format("fastq").schema("seq string").load(_written_reads(spark, d))
+    return rows.groupBy("seq").agg(F.count(F.lit(1)).alias("n"))
+
+
+def fastq_split_reads(spark: SparkSession, d: str) -> DataFrame:
+    """header, seq, qual, n: read in splits of 64 kB, each of which finds the first of its records."""
+    rows = spark.read.format("fastq").option("splitBytes", 1 << 16).load(_written_reads(spark, d))
+    return rows.groupBy("header", "seq", "qual").agg(F.count(F.lit(1)).alias("n"))
+
+
+def fastq_sampling_scan(spark: SparkSession, d: str) -> DataFrame:
+    """complete, within: the sampling scan at the start, middle and end of each file gives whole records only, and no more than asked for."""
+    path, most = _written_reads(spark, d), 60_000
+    whole = spark.read.format("fastq").load(path)
+    part = spark.read.format("fastq").option("sampleBytes", most).load(path)
+    lost = part.join(whole, ["file", "read_id", "header", "seq", "qual"], "left_anti").count()
+    size = part.groupBy("file").agg(F.sum(F.length("header") + F.length("seq") + F.length("qual") + 5).alias("b"), F.max(F.length("seq")).alias("m"))
+    over = size.where(F.col("b") > most + 3 * (2 * F.col("m") + 200)).count()
+    return spark.createDataFrame([(lost == 0 and part.count() > 0, over == 0)], "complete boolean, within boolean")
 
 
 def base_runs(spark: SparkSession, d: str) -> DataFrame:
@@ -277,9 +293,9 @@ def observed_totals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sampled_prefix_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Prefix counts of a third of the reads, the sampling scan that precedes a run."""
-    part = reads(spark, d).where(F.col("read_id") % 3 == 0)
-    return prefix_stats.prefix_counts(counting.count_kmers(part, K))
+    """prefix, n: the counts that precede a run, over the reads that the sampling scan gives; files within its bound are read whole."""
+    reads = spark.read.format("fastq").schema("seq string").option("sampleBytes", 1 << 40).load(_written_reads(spark, d))
+    return prefix_stats.prefix_counts(counting.count_kmers(reads, K))
 
 
 # -- codecs and streams -----------------------------------------------------------------------------------
@@ -289,17 +305,53 @@ def low_bin_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return binary.read_low(spark, path, K)
 
 
+def low_packed_read(spark: SparkSession, d: str) -> DataFrame:
+    """record: the packed bytes of every first sighting, from one file that several tasks wrote, as hexadecimal text."""
+    path = f"{new_path(spark, 'low-one')}.bin"
+    binary.write_low(counting.first_sightings(counts(spark, d)), path, K, single=True)
+    return binary.read_packed(spark, path, K).select(F.lower(F.hex("packed")).alias("record"))
+
+
 def root_bin_round_trip(spark: SparkSession, d: str) -> DataFrame:
     path = new_path(spark, "root-bin")
     binary.write_root(counting.repeats(counts(spark, d)), path, K)
     return binary.read_root(spark, path, K)
 
 
+def spectrum_text(spark: SparkSession, d: str) -> DataFrame:
+    """freq, n of the dense spectrum from 1 to 400, as written to a text file and read again."""
+    path = new_path(spark, "spectrum")
+    tables.write_spectrum(spectrum.spectrum(*low_root(spark, d), 1, 400), path)
+    return spark.read.csv(path, schema="freq bigint, n bigint", sep="\t")
+
+
+def histogram_text(spark: SparkSession, d: str) -> DataFrame:
+    """count, num_kmers of the sparse histogram, as written to a text file with a header and read again."""
+    path = new_path(spark, "histogram")
+    tables.write_histogram(spectrum.legacy(*low_root(spark, d)), path)
+    return spark.read.csv(path, schema="count bigint, num_kmers bigint", sep="\t", header=True)
+
+
+def _pieces_written(spark: SparkSession, d: str) -> postprocess.PostProcessed:
+    low, root = low_root(spark, d)
+    return postprocess.postprocess(low, root.withColumn("root", S.root_number(F.col("kmer"))))
+
+
+def final_low_sorted(spark: SparkSession, d: str) -> DataFrame:
+    """kmer, place: the keys that never repeat, in the order in which they were written."""
+    return postprocess.written_places(_pieces_written(spark, d).final_low, "final-low")
+
+
+def final_root_sorted(spark: SparkSession, d: str) -> DataFrame:
+    """root, kmer, cnt, place: the repeats in the order in which they were written."""
+    return postprocess.written_places(_pieces_written(spark, d).final_root, "final-root")
+
+
 def parquet_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    """kmer, cnt of the repeats of roots 0 to 63, pruned to their partitions, as its SQL asks; not the whole of what is written."""
+    """kmer, cnt of the repeats of all roots, as written by root and read again."""
     path, c = new_path(spark, "pieces"), materialize(counts(spark, d), "counts")
     tables.write_counts(counting.first_sightings(c), counting.repeats(c), path)
-    return tables.read_counts(spark, path)[1].where(F.col("root").between(0, 63)).select("kmer", "cnt")
+    return tables.read_counts(spark, path)[1].select("kmer", "cnt")
 
 
 def parquet_merge_round_trip(spark: SparkSession, d: str) -> DataFrame:
@@ -324,11 +376,12 @@ def streaming_kmer_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 _PLAIN = (
-    fastq_sequence_lines, fastq_source_reads, base_runs, invalid_base_stats, kmer_windows, reverse_complement, canonical_key, kmers_of_read,
+    fastq_source_reads, fastq_split_reads, fastq_sampling_scan, base_runs, invalid_base_stats, kmer_windows, reverse_complement, canonical_key, kmers_of_read,
     sql_kmers_table_function, packed_key_hex, kmer_counts_min_max, kmer_counts_compat, low_first_sightings, root_repeats, low_root_full_outer_merge,
     low_minus_root, distinct_root_keys, count_lookup, kmer_membership, kmer_totals, top_kmers, sorted_export, postprocess_final_root,
     spectrum_reads_k21, spectrum_precise, spectrum_ranged_dense, spectrum_approximate, spectrum_legacy, root_prefix_counts, prefix_floor_avg,
-    bloom_capacity, prefix_owner_lpt, prefix_owner_totals, prefix_load_order, packed_shifts, observed_totals, sampled_prefix_counts, low_bin_round_trip, root_bin_round_trip, parquet_round_trip,
+    bloom_capacity, prefix_owner_lpt, prefix_owner_totals, prefix_load_order, packed_shifts, observed_totals, sampled_prefix_counts, low_bin_round_trip, low_packed_read,
+    root_bin_round_trip, parquet_round_trip, spectrum_text, histogram_text, final_low_sorted, final_root_sorted,
     parquet_merge_round_trip, streaming_kmer_counts,
 )
 

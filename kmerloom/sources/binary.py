@@ -2,8 +2,8 @@
 
 Read options: path, k, splitRecords. ``kmer_low`` reads a file or a folder of part files; ``kmer_root`` reads
 root_0.bin .. root_255.bin of a folder, missing and empty ones included. A file that is no whole number of
-records is an error. Written ``kmer_low`` output is a folder of part files, or one file with single=true;
-``kmer_root`` needs all rows of a root in one task and writes all 256 files.
+records is an error. ``kmer_low`` writes a folder of part files; the format ``kmer_root`` needs all rows of a root in one task.
+The functions write_low and write_root below write one file, or all 256, from any number of tasks.
 """
 
 from __future__ import annotations
@@ -15,13 +15,15 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from kmerloom.functions.sequence import packed_bytes
+from kmerloom.operators.postprocess import ranked
 from kmerloom.sources import codecs
-from kmerloom.sources.fastq import data_files
+from kmerloom.sources.files import data_files, open_file, size_of
 
 SPLIT_RECORDS = 1 << 20
 BATCH = 1 << 16
@@ -34,7 +36,7 @@ class RecordPart(InputPartition):
 
 
 def record_parts(path: str, size: int, split: int, root: int | None = None) -> list[RecordPart]:
-    total = os.path.getsize(path)
+    total = size_of(path)
     if total % size:
         raise ValueError(f"invalid size of {path}: {total} is not divisible by the record size {size}")
     records = total // size
@@ -42,19 +44,19 @@ def record_parts(path: str, size: int, split: int, root: int | None = None) -> l
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, options: dict, root: bool):
-        self.k, self.root = int(options["k"]), root
+    def __init__(self, options: dict, root: bool, packed: bool = False):
+        self.k, self.root, self.packed = int(options["k"]), root, packed
         self.size = codecs.root_record(self.k).itemsize if root else packed_bytes(self.k)
         self.split = int(options.get("splitRecords", SPLIT_RECORDS))
-        self.path = options["path"].removeprefix("file://")
+        self.path = options["path"]
 
     def partitions(self) -> list[InputPartition]:
         parts: list[InputPartition] = []
         if self.root:
-            for name in sorted(os.listdir(self.path)):
-                at = _ROOT_NAME.match(name)
+            for path in data_files(f"{self.path}/root_*.bin"):
+                at = _ROOT_NAME.search(path)
                 if at and int(at[1]) < 256:
-                    parts += record_parts(os.path.join(self.path, name), self.size, self.split, int(at[1]))
+                    parts += record_parts(path, self.size, self.split, int(at[1]))
         else:
             for path in data_files(self.path):
                 parts += record_parts(path, self.size, self.split)
@@ -63,7 +65,7 @@ class _Reader(DataSourceReader):
     def read(self, part: RecordPart) -> Iterator[pa.RecordBatch]:
         if not part.records:
             return
-        with open(part.path, "rb") as f:
+        with open_file(part.path) as f:
             f.seek(part.start)
             for a in range(0, part.records, BATCH):
                 data = f.read(self.size * min(BATCH, part.records - a))
@@ -71,6 +73,8 @@ class _Reader(DataSourceReader):
                     words, counts = codecs.unpack_root(data, self.k)
                     cols = [pa.array([part.root] * len(counts), pa.int32()), pa.array(codecs.words_to_keys(words, self.k), pa.string()), pa.array(counts)]
                     yield pa.RecordBatch.from_arrays(cols, ["root", "kmer", "cnt"])
+                elif self.packed:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(data, f"V{self.size}").tolist(), pa.binary())], ["packed"])
                 else:
                     yield pa.RecordBatch.from_arrays([pa.array(codecs.words_to_keys(codecs.unpack_low(data, self.k), self.k), pa.string())], ["kmer"])
 
@@ -84,7 +88,6 @@ class _Writer(DataSourceArrowWriter):
     def __init__(self, options: dict, root: bool, overwrite: bool):
         self.k, self.root, self.overwrite = int(options["k"]), root, overwrite
         self.path = options["path"].removeprefix("file://")
-        self.single = options.get("single", "false").lower() == "true"
         self.stage = f"{self.path}.writing-{uuid.uuid4().hex}"
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
@@ -121,20 +124,14 @@ class _Writer(DataSourceArrowWriter):
                 raise FileExistsError(self.path)
             shutil.rmtree(self.path) if os.path.isdir(self.path) else os.remove(self.path)
         os.makedirs(os.path.dirname(os.path.abspath(self.path)), exist_ok=True)
-        if self.single and not self.root:
-            with open(self.path, "wb") as out:
-                for path, _ in sorted(files):
-                    with open(path, "rb") as part:
-                        shutil.copyfileobj(part, out, 8 << 20)
-        else:
-            os.makedirs(self.path)
-            for path, name in files:
-                os.replace(path, os.path.join(self.path, name))
-            if self.root:
-                for r in range(256):
-                    open(os.path.join(self.path, f"root_{r}.bin"), "ab").close()
-            elif not files:
-                open(os.path.join(self.path, "part-empty.bin"), "wb").close()
+        os.makedirs(self.path)
+        for path, name in files:
+            os.replace(path, os.path.join(self.path, name))
+        if self.root:
+            for r in range(256):
+                open(os.path.join(self.path, f"root_{r}.bin"), "ab").close()
+        elif not files:
+            open(os.path.join(self.path, "part-empty.bin"), "wb").close()
         shutil.rmtree(self.stage, ignore_errors=True)
 
     def abort(self, messages) -> None:
@@ -150,7 +147,9 @@ class LowDataSource(DataSource):
         return "kmer string"
 
     def reader(self, schema) -> _Reader:
-        return _Reader(self.options, root=False)
+        if schema.names not in (["kmer"], ["packed"]):
+            raise ValueError("columns of kmer_low are kmer, or packed for the records as they stand")
+        return _Reader(self.options, False, schema.names == ["packed"])
 
     def writer(self, schema, overwrite: bool) -> _Writer:
         return _Writer(self.options, False, overwrite)
@@ -190,22 +189,80 @@ def read_root(spark: SparkSession, path: str, k: int) -> DataFrame:
 
 
 def write_low(low: DataFrame, path: str, k: int, single: bool = False) -> None:
+    """Part files in a folder; with ``single`` one file in key order, which the tasks write side by side."""
+    if single:
+        _write_places(ranked(low.select("kmer"), "kmer"), {None: (path, 0)}, k, packed_bytes(k))
+        return
     register(low.sparkSession)
-    low.select("kmer").write.format("kmer_low").option("k", k).option("single", str(single).lower()).mode("overwrite").save(path)
+    low.select("kmer").write.format("kmer_low").option("k", k).mode("overwrite").save(path)
 
 
 def write_root(root: DataFrame, path: str, k: int) -> None:
-    """All 256 files; a file is written by the one task that holds its root."""
-    register(root.sparkSession)
-    rows = root.select("root", "kmer", "cnt").repartition("root").sortWithinPartitions("root", "kmer")
-    rows.write.format("kmer_root").option("k", k).mode("overwrite").save(path)
+    """All 256 files in key order. A record's place follows from its rank, so a root is written by as many tasks as it fills."""
+    rows = ranked(root.select("root", "kmer", "cnt"), "root", "kmer")
+    counts = {r["root"]: r["count"] for r in rows.groupBy("root").count().collect()}  # 256 rows
+    if any(r is None or not 0 <= r < 256 for r in counts):
+        raise ValueError("root must be 0..255")
+    files, before = {}, 0
+    for r in range(256):
+        files[r] = (f"{path}/root_{r}.bin", before)
+        before += counts.get(r, 0)
+    _write_places(rows, files, k, codecs.root_record(k).itemsize, path)
+
+
+def _write_places(rows: DataFrame, files: dict[int | None, tuple[str, int]], k: int, size: int, folder: str | None = None) -> None:
+    """Write rows (kmer, rank and for repeats root and cnt) at the places of their ranks; files: path and ranks before, by root.
+
+    Files get their full length first, in a folder beside the target, and are moved when all tasks are done: a task that
+    is run again writes the same bytes to the same place. The file system must take writes at any place (a mounted one).
+    """
+    target = (folder or files[None][0]).removeprefix("file://")
+    stage = f"{target}.writing-{uuid.uuid4().hex}"
+    os.makedirs(stage)
+    try:
+        total = rows.groupBy("root").count().collect() if folder else [(None, rows.count())]
+        lengths = {r[0]: r[1] * size for r in total}
+        inner = {r: (os.path.join(stage, os.path.basename(p)), before) for r, (p, before) in files.items()}
+        for r, (p, _) in inner.items():
+            with open(p, "wb") as f:
+                f.truncate(lengths.get(r, 0))
+
+        def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                rank = b.column("rank").to_numpy()
+                words = codecs.keys_to_words(b.column("kmer").to_pylist(), k)
+                roots = b.column("root").to_numpy() if folder else np.zeros(len(rank), np.int64)
+                cut = np.flatnonzero((np.diff(rank) != 1) | (np.diff(roots) != 0)) + 1
+                for a, e in zip([0, *cut.tolist()], [*cut.tolist(), len(rank)], strict=True):
+                    if a == e:
+                        continue
+                    p, before = inner[int(roots[a]) if folder else None]
+                    data = codecs.pack_root(words[a:e], b.column("cnt").to_numpy()[a:e], k) if folder else codecs.pack_low(words[a:e], k)
+                    with open(p, "r+b") as f:
+                        f.seek((int(rank[a]) - 1 - before) * size)
+                        f.write(data)
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64())], ["done"])
+
+        rows.mapInArrow(write, "done bigint").agg({"done": "sum"}).collect()
+        if os.path.exists(target):
+            shutil.rmtree(target) if os.path.isdir(target) else os.remove(target)
+        os.makedirs(os.path.dirname(os.path.abspath(target)), exist_ok=True)
+        os.replace(stage if folder else inner[None][0], target)
+    finally:
+        shutil.rmtree(stage, ignore_errors=True)
+
+
+def read_packed(spark: SparkSession, path: str, k: int) -> DataFrame:
+    """Raw records of a low file or folder as they stand: packed, of packed_bytes(k) bytes each."""
+    register(spark)
+    return spark.read.format("kmer_low").option("k", k).schema("packed binary").load(path)
 
 
 def root_catalog(path: str, k: int) -> dict[int, int]:
     """Records of every root file that is there; sizes are checked."""
     size, out = codecs.root_record(k).itemsize, {}
     for r in range(256):
-        p = os.path.join(path, f"root_{r}.bin")
+        p = os.path.join(path.removeprefix("file://"), f"root_{r}.bin")
         if os.path.exists(p):
             out[r] = sum(x.records for x in record_parts(p, size, SPLIT_RECORDS, r))
     return out

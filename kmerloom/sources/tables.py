@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 
 def write_counts(low: DataFrame, root: DataFrame, path: str) -> None:
-    """low and root as Parquet; root is partitioned by root number, so that readers prune by prefix."""
+    """low and root as Parquet; root is partitioned by root number, so that readers prune by prefix.
+
+    Tasks hold ranges of keys of about one size, whichever root they are in: a root that holds most keys is written by many.
+    """
     low.select("kmer").write.mode("overwrite").parquet(f"{path}/low")
-    root.repartition("root").write.mode("overwrite").partitionBy("root").parquet(f"{path}/root")
+    root.repartitionByRange("root", "kmer").write.mode("overwrite").partitionBy("root").parquet(f"{path}/root")
 
 
 def read_counts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -165,3 +165,28 @@ def test_record_sizes():
         1: 1, 4: 1, 21: 6, 31: 8, 32: 8, 33: 9, 41: 11, 63: 16, 64: 16, 65: 17, 96: 24, 127: 32, 128: 32,
     }
     assert [S.words_for_k(k) for k in (1, 32, 33, 64, 65, 128)] == [1, 1, 2, 2, 4, 4]
+
+
+@pytest.mark.parametrize("k", [3, 31, 64])
+def test_long_texts_are_cut_with_overlap(spark, monkeypatch, k):
+    """A text far longer than a chunk gives the counts of its windows, by arrays and by SQL; nothing is lost or doubled at cuts."""
+
+    rng = random.Random(k)
+    text = bases(rng, 30_000) + "N" + bases(rng, 4099)
+    want = count_reads([text], k)
+    monkeypatch.setattr(kmers, "CHUNK_BYTES", 1000)
+    assert all(len(p) <= 1000 + k - 1 + 1000 for p in kmers.overlapping([text.encode()], k))
+    reads = spark.createDataFrame([(text,)], "seq string")
+    for method in ("arrays", "sql"):
+        assert {r.kmer: r.cnt for r in counting.count_kmers(reads, k, method=method).collect()} == want
+
+
+def test_build_side_skip_changes_no_spectrum(spark):
+
+    low = spark.createDataFrame([(x,) for x in ("A", "B", "C", "D", "D")], "kmer string")
+    root = spark.createDataFrame([("B", 1), ("C", 4), ("E", 2), ("F", 9), ("D", None)], "kmer string, cnt long")
+    for lo, hi in ((1, 12), (2, 6), (3, 5), (4, 12)):
+        got = {r.freq: r.n for r in spectrum.spectrum(low, root, lo, hi).collect()}
+        counts = {"A": 1, "B": 2, "C": 5, "D": 1, "E": 2, "F": 9}
+        assert got == {f: sum(v == f for v in counts.values()) for f in range(lo, hi + 1)}
+    assert spectrum.reachable(root, 4).count() == 2

@@ -76,6 +76,52 @@ def test_fastq_sample(spark, tmp_path):
     assert 60 < len(head) < 110 and [r.seq for r in head] == reads[: len(head)]
 
 
+def test_fastq_columns_and_long_records(spark, tmp_path, monkeypatch):
+    """Only the asked columns are decoded; records longer than a probe and a block are cut and read whole; odd bytes are replaced."""
+    import random
+
+    rng = random.Random(12)
+    reads = [bases(rng, rng.choice([3, 2000, 9000])) for _ in range(120)]
+    path = tmp_path / "long.fastq"
+    path.write_bytes(fastq_text(reads).encode() + b"\n@bad \xff\nAC\xc3\n+\n\n")
+    monkeypatch.setattr(fastq, "PROBE_BYTES", 1 << 10)
+    monkeypatch.setattr(fastq, "BLOCK_BYTES", 1 << 12)
+    assert len(fastq.split_offsets(str(path), 50_000)) > 8
+    reader = fastq.FastqReader({"path": str(path), "splitBytes": "50000"}, ["seq"])
+    got = [b for p in reader.partitions() for b in reader.read(p)]
+    assert got[0].schema.names == ["seq"] and [s for b in got for s in b.column("seq").to_pylist()] == [*reads, "AC\ufffd"]
+    binary.register(spark)
+    assert spark.read.format("fastq").schema("seq string").load(str(path)).columns == ["seq"]
+    last = load(spark, path, splitBytes=50_000).orderBy("read_id").collect()[-1]
+    assert (last.header, last.qual) == ("@bad \ufffd", "") and len({r.file for r in load(spark, path).select("file").collect()}) == 1
+    with pytest.raises(Exception, match="no such column"):
+        spark.read.format("fastq").schema("sequence string").load(str(path)).count()
+
+
+def test_fastq_without_qualities(spark, tmp_path):
+    text = "".join(f"@r{i}\nACGTACGT\n+\n{'IIIIIIII' if i % 3 else ''}\n" for i in range(500))
+    (tmp_path / "q.fastq").write_text(text)
+    assert len(fastq.split_offsets(str(tmp_path / "q.fastq"), 2000)) > 4
+    assert load(spark, tmp_path / "q.fastq", splitBytes=2000).select("header").distinct().count() == 500
+
+
+def test_hot_root_and_single_file(spark, tmp_path):
+    """A root with nearly all records, and one file of first sightings, are written by several tasks side by side."""
+    keys = ["AAAA" + "".join("ACGT"[i >> s & 3] for s in range(0, 14, 2)) for i in range(1 << 14)] + ["TTTTACGTACG", "CGCGACGTACG"]
+    df = spark.createDataFrame([(k, i % 50 + 1) for i, k in enumerate(keys)], "kmer string, cnt long").distinct()
+    rows = df.selectExpr("IF(kmer LIKE 'AAAA%', 0, IF(kmer LIKE 'TTTT%', 255, 102)) AS root", "kmer", "cnt").repartition(5)
+    binary.write_root(rows, f"{tmp_path}/r", 11)
+    assert {tuple(r) for r in binary.read_root(spark, f"{tmp_path}/r", 11).collect()} == {tuple(r) for r in rows.collect()}
+    assert binary.root_catalog(f"{tmp_path}/r", 11)[0] == df.where("kmer LIKE 'AAAA%'").count() and len(os.listdir(tmp_path / "r")) == 256
+    binary.write_low(df, f"{tmp_path}/low.bin", 11, single=True)
+    binary.write_low(df, f"{tmp_path}/low.bin", 11, single=True)  # again, over the old one
+    want = sorted(r.kmer for r in df.collect())
+    assert [r.kmer for r in binary.read_low(spark, f"{tmp_path}/low.bin", 11).collect()] == want
+    packed = binary.read_packed(spark, f"{tmp_path}/low.bin", 11).collect()
+    assert b"".join(bytes(r.packed) for r in packed) == codecs.pack_low(codecs.keys_to_words(want, 11), 11) == (tmp_path / "low.bin").read_bytes()
+    assert not [x for x in os.listdir(tmp_path) if "writing" in x]
+
+
 WORDS33 = [(0x0123456789ABCDEF, 0xC0000000000000FF), (0xFEDCBA9876543210, 0x8000000000001234), (0x1111222233334444, 0x40000000FFFFFFFF)]
 
 
