@@ -74,6 +74,27 @@ def distinct_cube(sightings: DataFrame, m: int = pcsa.ROWS) -> DataFrame:
     return out.withColumns({"low": F.greatest(F.col("estimate") - error, F.lit(0.0)), "high": F.col("estimate") + error})
 
 
+def audited_cube(sightings: DataFrame, m: int = pcsa.ROWS, share: float = 0.998) -> DataFrame:
+    """grouping, groups, sightings, within of every grouping of the cube.
+
+    within: for at least ``share`` of its groups the exact number of distinct keys lies in [low, high], widened by one key for groups
+    of a few. The exact numbers come from all sightings; this is an audit of the sketches and costs what they save.
+    """
+    by = ["grouping", *DIMENSIONS]
+    base = dated_sightings(sightings).withColumn("prefix", S.root_text(S.packed_root(F.col("key"))))
+    fine = base.groupBy(*[F.coalesce(F.col(d).cast("string"), F.lit("?")).alias(d) for d in DIMENSIONS], "key").agg(F.count(F.lit(1)).alias("c"))
+    views = [
+        F.struct(F.lit("+".join(g) or "all").alias("grouping"), *[(F.col(d) if d in g else F.lit("*")).alias(d) for d in DIMENSIONS]) for g in GROUPINGS
+    ]
+    each = fine.select(F.explode(F.array(*views)).alias("g"), "key", "c").groupBy(*[f"g.{c}" for c in by], "key").agg(F.sum("c").alias("c"))
+    exact = each.groupBy(*by).agg(F.count(F.lit(1)).alias("exact"), F.sum("c").cast("bigint").alias("rows"))
+    judged = exact.join(distinct_cube(sightings, m), by, "left")
+    inside = F.coalesce(F.col("exact").between(F.col("low") - 1, F.col("high") + 1) & (F.col("n") == F.col("rows")), F.lit(False))
+    return judged.groupBy("grouping").agg(
+        F.count(F.lit(1)).alias("groups"), F.sum("rows").cast("bigint").alias("sightings"), (F.avg(inside.cast("double")) >= share).alias("within")
+    )
+
+
 def diverse_groups(sightings: DataFrame, least: int = 50, share: float = 0.75, m: int = pcsa.ROWS) -> DataFrame:
     """seen_day, sample_id of the groups of at least ``least`` usable sightings of which ``share`` are distinct keys.
 

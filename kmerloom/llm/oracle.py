@@ -24,6 +24,25 @@ WHERE first_id < arrival_id OR kmer IN (SELECT kmer FROM low WHERE kmer IS NOT N
 _COUNTS = f"""WITH {USABLE},
 counts AS (SELECT kmer, count(*) AS sightings, count(DISTINCT read_id) AS reads FROM usable GROUP BY kmer)"""
 
+_DIMENSIONS = ("seen_day", "sample_id", "lane", "prefix")
+_CUBE_NAME = "coalesce(nullif(concat_ws('+', " + ", ".join(f"CASE WHEN grouping({d}) = 0 THEN '{d}' END" for d in _DIMENSIONS) + "), ''), 'all')"
+
+_SIZES = """WITH sizes AS (
+  SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_ \\t\\r\\n]')) AS size FROM documents WHERE text IS NOT NULL),
+specs AS (SELECT DISTINCT spec_id, capacity FROM pack_specs)"""
+
+_RUNS = """WITH doc_words AS (
+  SELECT doc_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9_]+'), lambda w: lower(w)) AS ws FROM documents),
+doc_runs AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + 14], ' ') AS run
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 13)) AS i FROM doc_words WHERE len(ws) >= 15)),
+item_words AS (
+  SELECT item_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9_]+'), lambda w: lower(w)) AS ws FROM eval_items),
+item_runs AS (
+  SELECT DISTINCT item_id, array_to_string(ws[i:i + 14], ' ') AS run
+  FROM (SELECT item_id, ws, unnest(range(1, len(ws) - 13)) AS i FROM item_words WHERE len(ws) >= 15)),
+leaks AS (SELECT DISTINCT item_id, doc_id FROM item_runs JOIN doc_runs USING (run))"""
+
 ORACLE = {
     "p2_found": _TOP.replace("@COLS", "src, kmer"),
     "p2_topk": _TOP.replace("@COLS", "src, kmer, n, rank"),
@@ -45,18 +64,18 @@ ids AS (SELECT DISTINCT arrival_id, left(kmer, 4) AS prefix FROM keyed),
 news AS (SELECT prefix, count(*) AS arrivals, count(s.arrival_id) AS seen FROM ids LEFT JOIN seen s USING (arrival_id) GROUP BY prefix)
 SELECT prefix, coalesce(old_keys, 0) AS old_keys, coalesce(arrivals, 0) AS arrivals, coalesce(seen, 0) AS seen, true AS within_grant, true AS as_expected
 FROM olds FULL OUTER JOIN news USING (prefix)""",
-    "p6_found": """WITH sizes AS (
-  SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_ \\t\\r\\n]')) AS size FROM documents WHERE text IS NOT NULL)
-SELECT spec_id, doc_id FROM sizes JOIN (SELECT DISTINCT spec_id, capacity FROM pack_specs) ON size > capacity""",
-    "p7_found": """WITH doc_words AS (
-  SELECT doc_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9_]+'), lambda w: lower(w)) AS ws FROM documents),
-doc_runs AS (
-  SELECT DISTINCT doc_id, array_to_string(ws[i:i + 14], ' ') AS run
-  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 13)) AS i FROM doc_words WHERE len(ws) >= 15)),
-item_words AS (
-  SELECT item_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9_]+'), lambda w: lower(w)) AS ws FROM eval_items),
-item_runs AS (
-  SELECT DISTINCT item_id, array_to_string(ws[i:i + 14], ' ') AS run
-  FROM (SELECT item_id, ws, unnest(range(1, len(ws) - 13)) AS i FROM item_words WHERE len(ws) >= 15))
-SELECT DISTINCT item_id, doc_id FROM item_runs JOIN doc_runs USING (run)""",
+    "p3_cube_bounds": f"""WITH {USABLE},
+known AS (SELECT coalesce(CAST(seen_day AS VARCHAR), '?') AS seen_day, coalesce(sample_id, '?') AS sample_id,
+                 coalesce(CAST(lane AS VARCHAR), '?') AS lane, left(kmer, 4) AS prefix FROM usable),
+cube AS (SELECT {_CUBE_NAME} AS "grouping", count(*) AS n FROM known GROUP BY CUBE (seen_day, sample_id, lane, prefix) HAVING count(*) > 0)
+SELECT "grouping", count(*) AS groups, CAST(sum(n) AS BIGINT) AS sightings, true AS within FROM cube GROUP BY 1""",
+    "p6_found": f"{_SIZES} SELECT spec_id, doc_id FROM sizes JOIN specs ON size > capacity",
+    "p6_pack_check": f"""{_SIZES}
+SELECT spec_id, count(*) AS documents, CAST(sum(size) AS BIGINT) AS tokens, count(*) FILTER (size > capacity) AS split,
+       true AS in_capacity, true AS in_order, true AS well_filled FROM sizes, specs GROUP BY spec_id""",
+    "p7_found": f"{_RUNS} SELECT item_id, doc_id FROM leaks",
+    "p7_exact_leaks": f"""{_RUNS},
+items AS (SELECT item_id, min(suite) AS suite FROM eval_items WHERE item_id IS NOT NULL GROUP BY item_id),
+found AS (SELECT item_id, count(*) AS exact_docs FROM leaks GROUP BY item_id)
+SELECT item_id, suite, coalesce(exact_docs, 0) AS exact_docs FROM items LEFT JOIN found USING (item_id)""",
 }

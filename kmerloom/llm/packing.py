@@ -170,6 +170,30 @@ def split_documents(packed: DataFrame) -> DataFrame:
     return packed.where((F.col("pieces") > 1) & (F.col("piece") == 0)).select("spec_id", "doc_id")
 
 
+def checked_packing(packed: DataFrame, specs: DataFrame, least_fill: float = 0.95) -> DataFrame:
+    """spec_id, documents, tokens, split, in_capacity, in_order, well_filled of a packing.
+
+    in_capacity: no container holds more than its capacity. in_order: the pieces of every document follow each other from 0 to
+    its end. well_filled: the containers are used to ``least_fill`` at least, but for one a block.
+    """
+    capacity = specs.where(F.col("spec_id").isNotNull()).groupBy("spec_id").agg(F.max("capacity").alias("capacity"))
+    bins = packed.groupBy("spec_id", "container").agg(F.sum("size").alias("used"))
+    room = bins.groupBy("spec_id").agg(
+        F.max("used").alias("fullest"), F.sum("used").alias("used"), F.count(F.lit(1)).alias("bins"), F.countDistinct(F.shiftright("container", 32)).alias("blocks")
+    )
+    docs = packed.groupBy("spec_id", "doc_id").agg(
+        F.sum("size").cast("bigint").alias("size"), F.count(F.lit(1)).alias("n"), F.max("pieces").alias("pieces"),
+        F.sum("start").alias("starts"), F.countDistinct("piece").alias("distinct"), F.max(F.col("start") + F.col("size")).alias("end"),
+    )
+    whole = (F.col("n") == F.col("pieces")) & (F.col("distinct") == F.col("n")) & (F.col("end") == F.col("size"))
+    totals = docs.groupBy("spec_id").agg(
+        F.count(F.lit(1)).alias("documents"), F.sum("size").cast("bigint").alias("tokens"), F.count(F.when(F.col("pieces") > 1, 1)).alias("split"), F.bool_and(whole).alias("in_order")
+    )
+    out = totals.join(room, "spec_id").join(capacity, "spec_id")  # a row a spec
+    filled = F.col("used") >= least_fill * (F.col("bins") - F.col("blocks")) * F.col("capacity")
+    return out.select("spec_id", "documents", "tokens", "split", (F.col("fullest") <= F.col("capacity")).alias("in_capacity"), "in_order", filled.alias("well_filled"))
+
+
 def fill_report(packed: DataFrame, specs: DataFrame) -> DataFrame:
     """spec_id, containers, items, fill (share of the capacity used) for each spec."""
     bins = packed.groupBy("spec_id", "container").agg(F.count(F.lit(1)).alias("items"), F.sum("size").alias("used"))

@@ -47,6 +47,11 @@ def p3_distinct_cube(spark: SparkSession, d: str) -> DataFrame:
     return distinct.distinct_cube(table(spark, d, "kmer_sightings"))
 
 
+def p3_cube_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """grouping, groups, sightings, within: whether 99.8 % of the cube's groups have their exact number of distinct keys in [low, high]."""
+    return distinct.audited_cube(table(spark, d, "kmer_sightings"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return sighting_counts.marked_kmers(table(spark, d, "kmer_sightings"), table(spark, d, "run_params"))
 
@@ -77,6 +82,11 @@ def p6_pack(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(docs, table(spark, d, "pack_specs"))
 
 
+def p6_pack_check(spark: SparkSession, d: str) -> DataFrame:
+    """What a packing must keep, for each container size, and whether at least 95 % of the containers' room is used."""
+    return packing.checked_packing(p6_pack(spark, d), table(spark, d, "pack_specs"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return packing.split_documents(p6_pack(spark, d))
 
@@ -96,6 +106,11 @@ def p7_leak_report(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leak_report(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p7_exact_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """item_id, suite, exact_docs of the report, which takes more seeds than the found query."""
+    return p7_leak_report(spark, d).select("item_id", "suite", "exact_docs")
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return truncation.truncated_documents(table(spark, d, "documents"))
 
@@ -107,7 +122,7 @@ def p8_truncation_report(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p2_found, p3_found, p4_found, p5_found, p6_found, p7_found, p8_found, p2_topk, p2_iceberg_counts, p3_distinct_cube,
-        p4_kmer_frequencies, p5_filter_report, p5_filter_audit, p6_pack, p6_fill_report, p7_leak_report, p8_truncation_report,
+        p2_found, p3_found, p4_found, p5_found, p6_found, p7_found, p8_found, p2_topk, p2_iceberg_counts, p3_distinct_cube, p3_cube_bounds,
+        p4_kmer_frequencies, p5_filter_report, p5_filter_audit, p6_pack, p6_pack_check, p6_fill_report, p7_leak_report, p7_exact_leaks, p8_truncation_report,
     )
 }
