@@ -155,7 +155,7 @@ UNION ALL SELECT 1 FROM low WHERE kmer NOT IN (SELECT kmer FROM root)) GROUP BY
     "final_root_sorted": _with(PIECES, f"SELECT CAST({ROOT} AS INTEGER) AS root, kmer, cnt, row_number() OVER (ORDER BY kmer) AS place FROM root"),
     "prefix_owner_lpt": f"""WITH RECURSIVE {counts()},
 {ROOTS},
-turns AS (SELECT root, n, row_number() OVER (ORDER BY n DESC, root) AS turn FROM roots),
+turns AS MATERIALIZED (SELECT root, n, row_number() OVER (ORDER BY n DESC, root) AS turn FROM roots),
 step AS (
   SELECT CAST(0 AS BIGINT) AS turn, CAST(NULL AS INTEGER) AS root, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS owner,
          list_transform(range(0, 12), lambda x: CAST(0 AS BIGINT)) AS loads
