@@ -14,6 +14,7 @@ from kmerloom.operators.sightings import usable_sightings
 from kmerloom.session import materialize
 
 SIGMAS = 4.0
+SLACK = 3.0  # keys: in small groups a few keys share places by chance, and their number is far from normal
 DIMENSIONS = ("seen_day", "sample_id", "lane", "prefix")
 
 
@@ -51,7 +52,7 @@ def parent_of(grouping: tuple[str, ...]) -> tuple[str, ...]:
 def distinct_cube(sightings: DataFrame, m: int = pcsa.ROWS) -> DataFrame:
     """grouping, seen_day, sample_id, lane, prefix, n, estimate, std_error, low, high for every grouping.
 
-    Dimensions outside the grouping are ``*``, unknown values ``?``. low and high are 4 standard errors off.
+    Dimensions outside the grouping are ``*``, unknown values ``?``. low and high are 4 standard errors and ``SLACK`` keys off.
     Sketches are rolled up step by step, each grouping from one of one dimension more; sightings are sketched
     once. An empty table gives no rows.
     """
@@ -70,15 +71,14 @@ def distinct_cube(sightings: DataFrame, m: int = pcsa.ROWS) -> DataFrame:
         level = materialize(pcsa.merge(rows, by), "sketches")
         levels.append(level)
     out = pcsa.estimate(reduce(DataFrame.unionByName, levels), by, m)
-    error = F.col("std_error") * SIGMAS
+    error = F.col("std_error") * SIGMAS + SLACK
     return out.withColumns({"low": F.greatest(F.col("estimate") - error, F.lit(0.0)), "high": F.col("estimate") + error})
 
 
 def audited_cube(sightings: DataFrame, m: int = pcsa.ROWS, share: float = 0.998) -> DataFrame:
     """grouping, groups, sightings, within of every grouping of the cube.
 
-    within: for at least ``share`` of its groups the exact number of distinct keys lies in [low, high], widened by one key for groups
-    of a few. The exact numbers come from all sightings; this is an audit of the sketches and costs what they save.
+    within: for at least ``share`` of its groups the exact number of distinct keys lies in [low, high]. The exact numbers come from all sightings; this is an audit of the sketches and costs what they save.
     """
     by = ["grouping", *DIMENSIONS]
     base = dated_sightings(sightings).withColumn("prefix", S.root_text(S.packed_root(F.col("key"))))
@@ -89,7 +89,7 @@ def audited_cube(sightings: DataFrame, m: int = pcsa.ROWS, share: float = 0.998)
     each = fine.select(F.explode(F.array(*views)).alias("g"), "key", "c").groupBy(*[f"g.{c}" for c in by], "key").agg(F.sum("c").alias("c"))
     exact = each.groupBy(*by).agg(F.count(F.lit(1)).alias("exact"), F.sum("c").cast("bigint").alias("rows"))
     judged = exact.join(distinct_cube(sightings, m), by, "left")
-    inside = F.coalesce(F.col("exact").between(F.col("low") - 1, F.col("high") + 1) & (F.col("n") == F.col("rows")), F.lit(False))
+    inside = F.coalesce(F.col("exact").between(F.col("low"), F.col("high")) & (F.col("n") == F.col("rows")), F.lit(False))
     return judged.groupBy("grouping").agg(
         F.count(F.lit(1)).alias("groups"), F.sum("rows").cast("bigint").alias("sightings"), (F.avg(inside.cast("double")) >= share).alias("within")
     )
@@ -99,7 +99,7 @@ def diverse_groups(sightings: DataFrame, least: int = 50, share: float = 0.75, m
     """seen_day, sample_id of the groups of at least ``least`` usable sightings of which ``share`` are distinct keys.
 
     Groups are each day and sample, and each sample over all days (seen_day ``*``). The sketch decides
-    wherever the estimate is 4 standard errors off the bar; only the groups between are counted exactly.
+    wherever the estimate is 4 standard errors and ``SLACK`` keys off the bar; only the groups between are counted exactly.
     Sightings without day or sample belong to no group.
     """
     base = dated_sightings(sightings).where(F.col("seen_day").isNotNull() & F.col("sample_id").isNotNull())
@@ -108,7 +108,7 @@ def diverse_groups(sightings: DataFrame, least: int = 50, share: float = 0.75, m
     total = pcsa.merge(daily, ["sample_id"]).withColumn("seen_day", F.lit("*"))
     by = ["seen_day", "sample_id"]
     judged = pcsa.estimate(daily.unionByName(total), by, m).where(F.col("n") >= least)
-    bar, error = F.col("n") * share, F.col("std_error") * SIGMAS
+    bar, error = F.col("n") * share, F.col("std_error") * SIGMAS + SLACK
     judged = judged.withColumn(
         "verdict", F.when(F.col("estimate") - error >= bar, 1).when(F.col("estimate") + error < bar, 0)
     )
