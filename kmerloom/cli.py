@@ -7,6 +7,7 @@ import argparse
 from pyspark.sql import SparkSession
 
 from kmerloom.operators import counting, postprocess, spectrum
+from kmerloom.session import scratch
 from kmerloom.sources import binary, tables
 
 
@@ -50,8 +51,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         raise SystemExit("max count must be at least min count")
     spark = spark or SparkSession.builder.appName("kmerloom").getOrCreate()
     binary.register(spark)
+    with scratch(spark):
+        _run(spark, a)
+    return 0
+
+
+def _run(spark: SparkSession, a: argparse.Namespace) -> None:
     if a.command == "count":
-        counts = counting.count_kmers(spark.read.format("fastq").load(a.fastq), a.k)
+        counts = counting.count_kmers(spark.read.format("fastq").schema("seq string").load(a.fastq), a.k)
         # both pieces come from one written table: reads are counted once
         counts.write.mode("overwrite").parquet(f"{a.output}/counts")
         counts = spark.read.schema(counts.schema).parquet(f"{a.output}/counts")
@@ -71,7 +78,6 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         done.final_low.write.mode("overwrite").parquet(f"{a.output}/final_low")
         done.final_root.write.mode("overwrite").parquet(f"{a.output}/final_root")
         tables.write_histogram(done.histogram, f"{a.output}/freq_hist")
-    return 0
 
 
 if __name__ == "__main__":

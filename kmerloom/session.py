@@ -6,7 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -72,6 +73,21 @@ def drop_written(spark: SparkSession) -> int:
     return dropped
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written within are deleted at the end, also after an error: results must be saved or collected inside.
+
+    ``with scratch(spark): query(spark, d).write.parquet(out)``
+    """
+    kept = _WRITTEN[:]
+    _WRITTEN.clear()
+    try:
+        yield
+    finally:
+        drop_written(spark)
+        _WRITTEN.extend(kept)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: the plan is cut and survives a lost executor."""
     path = new_path(df.sparkSession, label)

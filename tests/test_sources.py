@@ -193,6 +193,16 @@ def test_empty_binary_output(spark, tmp_path):
     assert binary.read_root(spark, str(tmp_path / "roots"), 21).count() == 0
 
 
+def test_scratch_is_dropped(spark):
+    from kmerloom import session
+
+    with pytest.raises(KeyError), session.scratch(spark):
+        path = session.materialize(spark.range(3), "gone").inputFiles()[0].removeprefix("file://")
+        assert os.path.exists(path)
+        raise KeyError
+    assert not os.path.exists(os.path.dirname(path))
+
+
 def test_drop_written(spark):
     from kmerloom import session
 
