@@ -106,7 +106,12 @@ def code_token_count(text: Column) -> Column:
 
 
 def bpe_token_count(text: Column, vocabulary: str = "byte_bpe_50k.tiktoken", tokenizer_dir: str = TOKENIZER_DIR) -> Column:
-    """Tokens of a public byte-level vocabulary; special tokens in a text are ordinary text; null for a null text."""
+    """Tokens of a public byte-level vocabulary; special tokens in a text are ordinary text; null for a null text.
+
+    The vocabulary file (about a megabyte) is read by the driver and goes along with the function: executors need no such folder.
+    """
+    with open(f"{tokenizer_dir}/{vocabulary}", "rb") as f:
+        lines = f.read()
 
     @F.pandas_udf("bigint")
     def count(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -114,8 +119,7 @@ def bpe_token_count(text: Column, vocabulary: str = "byte_bpe_50k.tiktoken", tok
 
         import tiktoken
 
-        with open(f"{tokenizer_dir}/{vocabulary}", "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines.splitlines())}
         coder = tiktoken.Encoding("public", pat_str=BYTE_BPE_PATTERN, mergeable_ranks=ranks, special_tokens={})
         for texts in parts:
             yield pd.Series([None if t is None else len(coder.encode_ordinary(t)) for t in texts], dtype="Int64")
