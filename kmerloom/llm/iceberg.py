@@ -16,10 +16,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kmerloom.session import materialize, require_columns
+from kmerloom.session import require_columns
 
 HASHES = 3
 SPREAD = 4
@@ -46,17 +49,21 @@ def cell_counts(values: DataFrame, cells: int, hashes: int = HASHES) -> DataFram
     return values.select(F.explode(pairs).alias("c")).groupBy("c.h", "c.cell").agg(F.count(F.lit(1)).alias("n"))
 
 
-def survivors(values: DataFrame, counts: DataFrame, threshold: int, cells: int, hashes: int = HASHES) -> DataFrame:
-    """Rows of values whose cells all reach the threshold: a look-up in a broadcast bitmap for each hash."""
+def passing_words(counts: DataFrame, threshold: int) -> pa.Table:
+    """h, word, bits: the cells that reach the threshold as bits of 64-bit words; hashes x cells / 64 rows at most."""
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("cell").bitwiseAND(63))
     words = counts.where(F.col("n") >= threshold).groupBy("h", F.shiftright("cell", 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
-    table = words.toArrow()  # hashes x cells / 64 rows at most
+    return words.toArrow()
+
+
+def survivors(values: DataFrame, words: pa.Table, cells: int, hashes: int = HASHES) -> DataFrame:
+    """Rows of values whose cells all pass: a look-up in a broadcast bitmap for each hash."""
     spark = values.sparkSession
     for h in range(hashes):
-        mine = [(w, b) for x, w, b in zip(*(table[c].to_pylist() for c in ("h", "word", "bits")), strict=True) if x == h]
-        bitmap = spark.createDataFrame(mine, "_word int, _bits bigint")
+        mine = words.filter(pc.equal(words["h"], h))
+        mine = pa.table({"_word": mine["word"].cast(pa.int32()), "_bits": mine["bits"].cast(pa.int64())})
         cell = _cell(F.col("value"), h, cells)
-        values = values.join(F.broadcast(bitmap), F.shiftright(cell, 6) == F.col("_word"))
+        values = values.join(F.broadcast(spark.createDataFrame(mine)), F.shiftright(cell, 6) == F.col("_word"))
         values = values.where(F.getbit("_bits", cell.bitwiseAND(63)) == 1).select("value")
     return values
 
@@ -86,7 +93,7 @@ def _counts(values: DataFrame, rows: int, threshold: int, most_cells: int) -> Da
     parts = []
     for g in range(groups):
         mine = values if groups == 1 else values.where(_cell(F.col("value"), GROUP_SEED, groups) == g)
-        parts.append(_exact(survivors(mine, cell_counts(mine, cells), threshold, cells), threshold))
+        parts.append(_exact(survivors(mine, passing_words(cell_counts(mine, cells), threshold), cells), threshold))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -101,16 +108,25 @@ def iceberg_topk(df: DataFrame, col: str, k: int, first_cells: int = FIRST_CELLS
     if k < 1:
         raise ValueError("k must be at least 1")
     values = _values(df, col)
-    counts = materialize(cell_counts(values, first_cells), "cells")  # hashes x first_cells rows
-    heavy = [(r["cell"], r["n"]) for r in counts.where("h = 0").orderBy(F.desc("n"), "cell").limit(max(64, 4 * k)).collect()]
-    rows = counts.where("h = 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    chosen = values.sparkSession.createDataFrame([(c,) for c, _ in heavy], "_cell int")
+    counts = cell_counts(values, first_cells).toArrow()  # hashes x first_cells rows: 4 MB
+    h, cell, n = (counts[c].to_numpy() for c in ("h", "cell", "n"))
+    first = h == 0
+    heavy = cell[first][np.lexsort((cell[first], -n[first]))[: max(64, 4 * k)]]
+    chosen = values.sparkSession.createDataFrame(pa.table({"_cell": pa.array(heavy, pa.int32())}))
     near = values.join(F.broadcast(chosen), _cell(F.col("value"), 0, first_cells) == F.col("_cell"))
     sure = [r["n"] for r in _exact(near.select("value"), 1).orderBy(F.desc("n")).limit(k).collect()]
     threshold = sure[k - 1] if len(sure) == k else 1
+    rows = int(n[first].sum())
     cells, groups = plan_cells(rows, threshold, most_cells)
     if groups == 1 and cells <= first_cells:  # the first pass had cells enough
-        found = _exact(survivors(values, counts, threshold, first_cells), threshold)
+        passed = n >= threshold
+        bits = np.left_shift(np.int64(1), (cell[passed] & 63).astype(np.int64))
+        place = (h[passed].astype(np.int64) << 32) | (cell[passed] >> 6)
+        where, at = np.unique(place, return_inverse=True)
+        packed = np.zeros(len(where), np.int64)
+        np.bitwise_or.at(packed, at, bits)
+        words = pa.table({"h": pa.array(where >> 32, pa.int32()), "word": pa.array(where & (2**32 - 1), pa.int32()), "bits": packed})
+        found = _exact(survivors(values, words, first_cells), threshold)
     else:
         found = _counts(values, rows, threshold, most_cells)
     top = found.orderBy(F.desc("n"), F.asc("value")).limit(k)

@@ -61,7 +61,7 @@ def test_survivors_stay_few(spark, most):
     passed = 0
     for g in range(min(groups, 2)):
         mine = values.where(iceberg._cell(F.col("value"), iceberg.GROUP_SEED, groups) == g)
-        passed += iceberg.survivors(mine, iceberg.cell_counts(mine, cells), 50, cells).distinct().count()
+        passed += iceberg.survivors(mine, iceberg.passing_words(iceberg.cell_counts(mine, cells), 50), cells).distinct().count()
     assert passed <= 0.02 * 30_000 * min(groups, 2) / groups + 300
     if groups == 1:
         assert iceberg.iceberg_counts(df, "v", 50, most).count() == 300
@@ -88,5 +88,5 @@ def test_empty_null_long(spark):
 def test_bitmap_holds_the_sign_bit(spark):
     values = spark.range(3000).select(F.col("id").alias("value"))
     counts = spark.createDataFrame([(0, 63, 9), (0, 62, 4)], "h int, cell int, n bigint")
-    kept = iceberg.survivors(values, counts, 5, 128, 1)
+    kept = iceberg.survivors(values, iceberg.passing_words(counts, 5), 128, 1)
     assert kept.where(iceberg._cell(F.col("value"), 0, 128) != 63).count() == 0 and kept.count() > 0
