@@ -30,7 +30,8 @@ SLACK = 20
 RARE_DOCS = 20
 WITHIN = 2.0
 CHUNK_BYTES = 1 << 20
-ITEM_BLOCK_CHARS = 4 << 20
+ITEM_BLOCK_CHARS = 32 << 20
+MOST_SIEVE = 1 << 25
 MATCH, MISMATCH, GAP = 2, -1, -1
 
 _WORD = re.compile(r"[A-Za-z0-9_]+")
@@ -92,11 +93,15 @@ class WordHasher:
 
 @dataclass
 class SeedIndex:
-    """Seeds of a block of items: sorted distinct hashes and, for each, its (item, position) pairs."""
+    """Seeds of a block of items: sorted distinct hashes and, for each, its (item, position) pairs.
+
+    texts are the items' words with blanks between. 8 bytes a seed and 12 a pair: some 3 bytes a character of the items.
+    """
 
     n: int
     ids: list[int]
-    words: list[list[str]]
+    texts: list[str]
+    lengths: np.ndarray
     hashes: np.ndarray
     offsets: np.ndarray
     owner: np.ndarray
@@ -104,34 +109,32 @@ class SeedIndex:
 
     @classmethod
     def build(cls, items: list[tuple[int, str]], n: int) -> SeedIndex:
-        hasher, hashes, owner, position = WordHasher(), [], [], []
-        words = [words_of(t) for _, t in items]
-        for i, w in enumerate(words):
-            buf = np.frombuffer((" ".join(w) + " ").encode(), np.uint8)
-            g = hasher.ngrams(hasher.words(buf)[2], n)
+        hasher, hashes, owner, position, texts, lengths = WordHasher(), [], [], [], [], []
+        for i, (_, text) in enumerate(items):
+            words = words_of(text)
+            texts.append(" ".join(words))
+            lengths.append(len(words))
+            g = hasher.ngrams(hasher.words(np.frombuffer((texts[-1] + " ").encode(), np.uint8))[2], n)
             hashes.append(g)
-            owner.append(np.full(len(g), i))
-            position.append(np.arange(len(g)))
+            owner.append(np.full(len(g), i, np.int32))
+            position.append(np.arange(len(g), dtype=np.int64))
         h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         order = np.argsort(h, kind="stable")
         distinct, at = np.unique(h[order], return_index=True)
-        pick = lambda x: (np.concatenate(x) if x else np.zeros(0, np.int64))[order]
-        return cls(n, [i for i, _ in items], words, distinct, np.append(at, len(h)), pick(owner), pick(position))
+        pick = lambda x, kind: (np.concatenate(x) if x else np.zeros(0, kind))[order]
+        return cls(n, [i for i, _ in items], texts, np.array(lengths, np.int64), distinct, np.append(at, len(h)), pick(owner, np.int32), pick(position, np.int64))
 
-    def rare(self, df: dict[int, int], run: int, within: float = 1.0, few: int = 0) -> SeedIndex:
-        """Index of the (item, position) pairs that are rare in some window of ``run`` words of their item.
+    def rare(self, count: np.ndarray, run: int, within: float = 1.0, few: int = 0) -> SeedIndex:
+        """Index of the (item, position) pairs that are rare in some window of ``run`` words of their item; count: documents of each seed.
 
         Rare is the seed of the window in the fewest documents (the first of several), and any in at most ``few`` documents or, if
         ``within`` is above 1, in at most so many times as many as that one.
         """
-        count = np.array([df.get(int(h), 0) for h in self.hashes.view(np.int64)], np.int64)
         seed = np.repeat(np.arange(len(self.hashes)), np.diff(self.offsets))  # of every pair
         kept = np.zeros(len(seed), bool)
         order = np.lexsort((self.position, self.owner))
-        bounds = np.searchsorted(self.owner[order], np.arange(len(self.words) + 1))
-        for i, w in enumerate(self.words):
-            if len(w) < run:
-                continue
+        bounds = np.searchsorted(self.owner[order], np.arange(len(self.lengths) + 1))
+        for i in np.flatnonzero(self.lengths >= run):
             mine = order[bounds[i] : bounds[i + 1]]
             n = np.lib.stride_tricks.sliding_window_view(count[seed[mine]], run - self.n + 1)
             kept[mine[np.arange(len(n)) + n.argmin(1)]] = True
@@ -139,20 +142,21 @@ class SeedIndex:
                 at = np.flatnonzero(n <= np.maximum(few, within * n.min(1, keepdims=True)))
                 kept[mine[at // n.shape[1] + at % n.shape[1]]] = True
         left, at = np.unique(seed[kept], return_index=True)
-        return SeedIndex(self.n, self.ids, self.words, self.hashes[left], np.append(at, kept.sum()), self.owner[kept], self.position[kept])
+        return SeedIndex(self.n, self.ids, self.texts, self.lengths, self.hashes[left], np.append(at, kept.sum()), self.owner[kept], self.position[kept])
 
 
-def _seed_hits(index: SeedIndex) -> Callable[[list[bytes]], tuple | None]:
+def _seed_hits(hashes: np.ndarray, n: int) -> Callable[[list[bytes]], tuple | None]:
     """Function of a chunk of texts: its bytes, word bounds, first byte of every text, and the word, seed and text of every hit."""
-    hasher, hashes, n = WordHasher(), index.hashes, index.n
-    sieve = np.zeros(1 << 20, bool)
-    sieve[(hashes & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+    hasher = WordHasher()
+    size = min(MOST_SIEVE, 1 << max(16, (16 * len(hashes)).bit_length()))
+    sieve = np.zeros(size, bool)
+    sieve[(hashes & np.uint64(size - 1)).astype(np.int64)] = True
 
     def find(texts: list[bytes]) -> tuple | None:
         buf = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
         start, end, h = hasher.words(buf)
         g = hasher.ngrams(h, n)
-        maybe = np.flatnonzero(sieve[(g & np.uint64((1 << 20) - 1)).astype(np.int64)])
+        maybe = np.flatnonzero(sieve[(g & np.uint64(size - 1)).astype(np.int64)])
         if not len(maybe) or not len(hashes):
             return None
         at = np.minimum(np.searchsorted(hashes, g[maybe]), len(hashes) - 1)
@@ -183,31 +187,29 @@ def _readable(docs: DataFrame) -> DataFrame:
     return docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
 
 
-def seed_documents(docs: DataFrame, index: SeedIndex) -> dict[int, int]:
-    """Number of documents of every seed that occurs: no text leaves the scan, and the driver gets a row a seed at most."""
+def seed_documents(docs: DataFrame, index: SeedIndex) -> np.ndarray:
+    """Number of documents of every seed of the index: no text leaves the scan, and the driver gets 16 bytes a seed at most."""
+    hashes, n = index.hashes, index.n
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = _seed_hits(index)
+        find = _seed_hits(hashes, n)
         for batch in batches:
-            count = np.zeros(len(index.hashes), np.int64)
-            for _, texts in _chunks(batch):
-                if hits := find(texts):
-                    *_, seed, doc = hits
-                    count += np.bincount(np.unique(np.stack([doc, seed]), axis=1)[1], minlength=len(count))
-            found = np.flatnonzero(count)
-            yield pa.RecordBatch.from_arrays([pa.array(index.hashes[found].view(np.int64)), pa.array(count[found])], ["seed", "n"])
+            parts = [np.unique(np.stack(hits[:-3:-1]), axis=1)[1] for _, texts in _chunks(batch) if (hits := find(texts))]
+            seed, count = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.int64),) * 2
+            yield pa.RecordBatch.from_arrays([pa.array(seed.astype(np.int64)), pa.array(count.astype(np.int64))], ["seed", "n"])
 
     rows = _readable(docs).mapInArrow(scan, "seed bigint, n bigint").groupBy("seed").agg(F.sum("n").alias("n")).toArrow()
-    return dict(zip(rows["seed"].to_pylist(), rows["n"].to_pylist(), strict=True))
+    out = np.zeros(len(hashes), np.int64)
+    out[rows["seed"].to_numpy()] = rows["n"].to_numpy()
+    return out
 
 
 def find_passages(docs: DataFrame, index: SeedIndex) -> DataFrame:
     """doc_id, item (number in the index), at (word number), words: the passages of docs (doc_id, text) around seed hits."""
-    longest = np.array([len(w) for w in index.words], np.int64)
-    offsets, owner, position = index.offsets, index.owner, index.position
+    hashes, n, longest, offsets, owner, position = index.hashes, index.n, index.lengths, index.offsets, index.owner, index.position
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = _seed_hits(index)
+        find = _seed_hits(hashes, n)
         for batch in batches:
             out: dict[str, list] = {k: [] for k in ("doc_id", "item", "at", "words")}
             for ids, texts in _chunks(batch):
@@ -266,7 +268,7 @@ def align_passages(passages: DataFrame, index: SeedIndex) -> DataFrame:
 
     run is the longest common run of words, share the score over the score of the whole item.
     """
-    ids, words = index.ids, index.words
+    ids, whole, lengths = index.ids, index.texts, index.lengths
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -277,8 +279,9 @@ def align_passages(passages: DataFrame, index: SeedIndex) -> DataFrame:
                 todo.setdefault(i, {})[t] = -1
             done: dict[tuple[int, str], tuple[int, int]] = {}
             for i, group in todo.items():
-                number = {w: k for k, w in enumerate(dict.fromkeys(words[i]))}
-                item = np.array([number[w] for w in words[i]], np.int32)
+                words = whole[i].split(" ")
+                number = {w: k for k, w in enumerate(dict.fromkeys(words))}
+                item = np.array([number[w] for w in words], np.int32)
                 split = sorted(((t, t.split(" ")) for t in group), key=lambda x: len(x[1]))
                 a = 0
                 while a < len(split):
@@ -297,7 +300,7 @@ def align_passages(passages: DataFrame, index: SeedIndex) -> DataFrame:
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": docs, "item_id": [ids[i] for i in items], "at": at, "run": [r for _, r in result],
-                    "score": [s for s, _ in result], "share": [s / (MATCH * len(words[i])) for i, (s, _) in zip(items, result, strict=True)],
+                    "score": [s for s, _ in result], "share": [s / (MATCH * int(lengths[i])) for i, (s, _) in zip(items, result, strict=True)],
                 },
                 schema=pa.schema({"doc_id": pa.int64(), "item_id": pa.int64(), "at": pa.int64(), "run": pa.int32(), "score": pa.int32(), "share": pa.float64()}),
             )
