@@ -142,55 +142,54 @@ def _chunks(texts: list[str]) -> Iterator[tuple[int, list[bytes]]]:
         yield a, part
 
 
-def vocabulary(docs: DataFrame, column: str = "text") -> DataFrame:
-    """word, n: in about how many texts each word occurs before the final word. Null texts have none."""
+def term_counts(docs: DataFrame, column: str = "text") -> DataFrame:
+    """word, context, n from one scan: in about how many texts each word occurs before the final word (context null), and how
+    often each sequence of ``CONTEXT`` tokens occurs in the texts (word null). Null texts have none.
+
+    Of sequences a task leaves few rows however much it read, as their alphabet is small.
+    """
+    kinds = pa.schema({"word": pa.string(), "context": pa.int64(), "n": pa.int64()})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter[str] = Counter()
+        words: Counter[str] = Counter()
+        contexts: Counter[int] = Counter()
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            texts = batch.column(0).to_pylist()
+            for text in texts:
                 if text:
                     text = strip_ellipsis(text)[0]
-                    total.update(set(_WORD.findall(text[: len(text) - len(final_token(text))])))
-            if len(total) > 200_000:
-                yield spell(total)
-                total = Counter()
-        if total:
-            yield spell(total)
-
-    def spell(total: Counter[str]) -> pa.RecordBatch:
-        words: Counter[str] = Counter()
-        for token, n in total.items():
-            parts = subwords(token)
-            for w in parts:
-                words["." + w if len(w) == 1 and len(parts) > 1 else w] += n
-        return pa.RecordBatch.from_pydict({"word": list(words), "n": list(words.values())}, schema=pa.schema({"word": pa.string(), "n": pa.int64()}))
-
-    counts = docs.select(column).mapInArrow(count, "word string, n bigint")
-    return counts.groupBy("word").agg(F.sum("n").alias("n"))
+                    words.update(set(_WORD.findall(text[: len(text) - len(final_token(text))])))
+            for _, part in _chunks(texts):
+                context, n = np.unique(token_contexts(part)[0], return_counts=True)
+                contexts.update(dict(zip(context.tolist(), n.tolist(), strict=True)))
+            if len(words) + len(contexts) > 200_000:
+                yield rows(words, contexts)
+                words, contexts = Counter(), Counter()
+        yield rows(words, contexts)
 
+    def rows(words: Counter[str], contexts: Counter[int]) -> pa.RecordBatch:
+        parts: Counter[str] = Counter()
+        for token, n in words.items():
+            found = subwords(token)
+            for w in found:
+                parts["." + w if len(w) == 1 and len(found) > 1 else w] += n
+        none = [None] * max(len(parts), len(contexts))
+        return pa.RecordBatch.from_pydict(
+            {"word": [*parts, *none[: len(contexts)]], "context": [*none[: len(parts)], *contexts], "n": [*parts.values(), *contexts.values()]}, schema=kinds
+        )
 
-def sequences(docs: DataFrame, column: str = "text") -> DataFrame:
-    """context, occ: how often each sequence of ``CONTEXT`` tokens occurs in the texts.
+    counts = docs.select(column).mapInArrow(count, "word string, context bigint, n bigint")
+    return counts.groupBy("word", "context").agg(F.sum("n").alias("n"))
 
-    Their alphabet is small, so that a task leaves few rows however much it read.
-    """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter[int] = Counter()
-        for batch in batches:
-            for _, part in _chunks(batch.column(0).to_pylist()):
-                context, n = np.unique(token_contexts(part)[0], return_counts=True)
-                total.update(dict(zip(context.tolist(), n.tolist(), strict=True)))
-            if len(total) > 200_000:
-                yield rows(total)
-                total = Counter()
-        yield rows(total)
+def vocabulary(counts: DataFrame) -> DataFrame:
+    """word, n of term_counts."""
+    return counts.where(F.col("word").isNotNull()).select("word", "n")
 
-    def rows(total: Counter[int]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["context", "occ"])
 
-    return docs.select(column).mapInArrow(count, "context bigint, occ bigint").groupBy("context").agg(F.sum("occ").alias("occ"))
+def sequences(counts: DataFrame) -> DataFrame:
+    """context, occ of term_counts."""
+    return counts.where(F.col("context").isNotNull()).select("context", F.col("n").alias("occ"))
 
 
 def words_below(words: DataFrame, finals: DataFrame) -> DataFrame:
@@ -312,8 +311,9 @@ def judged_texts(docs: DataFrame) -> DataFrame:
     """
     require_columns(docs, ("doc_id", "text", "source"))
     features = materialize(text_features(docs), "features")
-    words = materialize(vocabulary(docs), "vocabulary")
-    lines = materialize(final_sequences(features, materialize(sequences(docs), "sequences")), "lines")
+    terms = materialize(term_counts(docs), "terms")
+    words = vocabulary(terms)
+    lines = materialize(final_sequences(features, sequences(terms)), "lines")
     finals = features.where(F.col("final").isNotNull() & ~F.col("ended")).select("final", F.regexp_replace("final", "^[.]", "").alias("prefix")).distinct()
     partial = (
         words_below(words, finals)
