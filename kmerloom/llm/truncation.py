@@ -41,6 +41,8 @@ CONTEXT = 6
 LEAST_CONTEXT = 200
 SELDOM = 0.5
 CHUNK_BYTES = 1 << 20
+LONG_BYTES = 8 << 20
+LOOK_BYTES = 1 << 16
 
 _WORD = re.compile(r"[^\W\d_]+")
 _CAMEL = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[^\WA-Z\d_]+")
@@ -101,8 +103,8 @@ def _byte_kinds() -> np.ndarray:
 _KINDS = _byte_kinds()
 
 
-def token_contexts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The last ``CONTEXT`` tokens up to each token of the texts as one number, and the text of each.
+def token_contexts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The last ``CONTEXT`` tokens up to each token of the texts as one number, the text of each, and its place there.
 
     A word (letters, digits, _) is a token by its first letter's kind, a number another, every mark its own;
     a new line is one by whether blanks follow; empty lines and what is blank at a text's end are none.
@@ -126,15 +128,38 @@ def token_contexts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     for j in range(CONTEXT):
         before = np.where(place - j >= first, token[np.maximum(place - j, 0)], 0)
         context |= before << (8 * j)
-    return context, doc
+    return context, doc, at - begin[doc] - 1
+
+
+def long_contexts(text: bytes) -> Iterator[np.ndarray]:
+    """token_contexts of one text in parts, so that memory does not grow with it.
+
+    A part ends after a mark and begins ``LOOK_BYTES`` earlier, where the tokens before it are found (should ``CONTEXT`` tokens take more
+    room than that, those furthest back are seen in part).
+    """
+    raw, start = np.frombuffer(text, np.uint8), 0
+    while start < len(text):
+        end = start + LONG_BYTES
+        if end < len(text):
+            kind = _KINDS[raw[max(start, end - LOOK_BYTES) : end]]
+            marks = np.flatnonzero((kind > 0) & (kind != ord("a")) & (kind != ord("9")) & (kind != ord("\n")))
+            end = max(start, end - LOOK_BYTES) + int(marks[-1]) + 1 if len(marks) else end
+        head = max(0, start - LOOK_BYTES)
+        context, _, at = token_contexts([text[head:end]])
+        yield context[at >= (start - head if start else -1)]
+        start = end
 
 
 def _chunks(texts: list[str]) -> Iterator[tuple[int, list[bytes]]]:
-    """First number and bytes of the texts, in chunks of about ``CHUNK_BYTES``; a text is never cut."""
+    """First number and bytes of the texts, in chunks of about ``CHUNK_BYTES``; a longer text is a chunk of its own."""
     part, size, a = [], 0, 0
     for i, t in enumerate(texts):
-        part.append((t or "").encode("utf-8", "surrogatepass"))
-        size += len(part[-1])
+        raw = (t or "").encode("utf-8", "surrogatepass")
+        if part and len(raw) >= CHUNK_BYTES:
+            yield a, part
+            part, size, a = [], 0, i
+        part.append(raw)
+        size += len(raw)
         if size >= CHUNK_BYTES:
             yield a, part
             part, size, a = [], 0, i + 1
@@ -160,8 +185,9 @@ def term_counts(docs: DataFrame, column: str = "text") -> DataFrame:
                     text = strip_ellipsis(text)[0]
                     words.update(set(_WORD.findall(text[: len(text) - len(final_token(text))])))
             for _, part in _chunks(texts):
-                context, n = np.unique(token_contexts(part)[0], return_counts=True)
-                contexts.update(dict(zip(context.tolist(), n.tolist(), strict=True)))
+                for found in long_contexts(part[0]) if len(part) == 1 else [token_contexts(part)[0]]:
+                    context, n = np.unique(found, return_counts=True)
+                    contexts.update(dict(zip(context.tolist(), n.tolist(), strict=True)))
             if len(words) + len(contexts) > 200_000:
                 yield rows(words, contexts)
                 words, contexts = Counter(), Counter()
@@ -227,7 +253,15 @@ def text_features(docs: DataFrame) -> DataFrame:
                 out["final"].append(final_word(body))
             final, own = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
             for a, part in _chunks(texts):
-                context, doc = token_contexts(part)
+                if len(part) == 1:
+                    total: Counter[int] = Counter()
+                    for found in long_contexts(part[0]):
+                        context, n = np.unique(found, return_counts=True)
+                        total.update(dict(zip(context.tolist(), n.tolist(), strict=True)))
+                        final[a] = found[-1] if len(found) else final[a]
+                    own[a] = total[int(final[a])]
+                    continue
+                context, doc, _ = token_contexts(part)
                 end = np.searchsorted(doc, np.arange(len(part)), "right") - 1
                 some = np.flatnonzero(np.isin(np.arange(len(part)), doc))
                 final[a + some] = context[end[some]]

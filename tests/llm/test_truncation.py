@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 
 from kmerloom.llm import truncation as T
 
@@ -69,7 +71,7 @@ def test_token_contexts():
     rng = random.Random(8)
     texts = ["".join(rng.choice(["a", "_b", "7", "x9", " ", "\t", "\n", "\n  ", "(", ")", ";", "+", "\r\n", "\n\n"]) for _ in range(rng.randrange(60))) for _ in range(300)]
     texts = [t if t.strip() else "a" for t in texts] + ["if (a) {\n    return b;\n}\n"]
-    contexts, doc = T.token_contexts([t.encode() for t in texts])
+    contexts, doc, _ = T.token_contexts([t.encode() for t in texts])
     for i, t in enumerate(texts):
         t = "\n" + t.lstrip("\r\n") if not t.lstrip(" \t\r\n").startswith("\n") else t
         got = contexts[doc == i].tolist()
@@ -78,6 +80,17 @@ def test_token_contexts():
     assert not len(T.token_contexts([b"", b" \n\n "])[0])
 
 
+def test_long_text_in_parts(monkeypatch):
+    rng = random.Random(21)
+    text = "".join(rng.choice(["ab", "7", " ", "\n", "\n  ", "(", ")", ";", "+", "é"]) for _ in range(5000)).encode()
+    want = T.token_contexts([text])[0]
+    for size in (100, 777, 10_000_000):
+        monkeypatch.setattr(T, "LONG_BYTES", size)
+        monkeypatch.setattr(T, "LOOK_BYTES", 60)
+        assert np.concatenate(list(T.long_contexts(text))).tolist() == want.tolist()
+    assert not list(T.long_contexts(b"")) and [len(x) for x in T.long_contexts(b" \n\n ")] == [0]
+
+
 def cut_corpus(rng, n=600):
     """Complete files, a part of them cut anywhere; copies of complete and of cut files; complete ones that end oddly."""
     docs, cut = [], set()
