@@ -30,6 +30,7 @@ SLACK = 20
 RARE_DOCS = 20
 WITHIN = 2.0
 CHUNK_BYTES = 1 << 20
+LONG_BYTES = 8 << 20
 ITEM_BLOCK_CHARS = 32 << 20
 MOST_SIEVE = 1 << 25
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -124,6 +125,11 @@ class SeedIndex:
         pick = lambda x, kind: (np.concatenate(x) if x else np.zeros(0, kind))[order]
         return cls(n, [i for i, _ in items], texts, np.array(lengths, np.int64), distinct, np.append(at, len(h)), pick(owner, np.int32), pick(position, np.int64))
 
+    @property
+    def overlap(self) -> int:
+        """Words that two parts of a long text share, so that the longest passage stands in one of them."""
+        return int(self.lengths.max(initial=0)) + 2 * SLACK + self.n
+
     def rare(self, count: np.ndarray, run: int, within: float = 1.0, few: int = 0) -> SeedIndex:
         """Index of the (item, position) pairs that are rare in some window of ``run`` words of their item; count: documents of each seed.
 
@@ -170,17 +176,44 @@ def _seed_hits(hashes: np.ndarray, n: int) -> Callable[[list[bytes]], tuple | No
     return find
 
 
-def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[list, list[bytes]]]:
-    """Ids and texts of a batch in chunks of about ``CHUNK_BYTES``; a text is never cut."""
-    ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()
-    a = 0
-    while a < len(ids):
-        b, size = a, 0
-        while b < len(ids) and (b == a or size + len(texts[b]) <= CHUNK_BYTES):
-            size += len(texts[b])
-            b += 1
-        yield ids[a:b], texts[a:b]
-        a = b
+def _parts(text: bytes, overlap: int) -> Iterator[tuple[bytes, int]]:
+    """Parts of a long text, cut between words, and the number of words before each; ``overlap`` words stand in two parts."""
+    codes, pos, before, size = _codes(), 0, 0, LONG_BYTES
+    raw = np.frombuffer(text, np.uint8)
+    while True:
+        inside = codes[raw[pos : pos + size]] > 0
+        more = pos + size < len(raw)
+        if more:
+            outside = np.flatnonzero(~inside)
+            inside = inside[: outside[-1] + 1] if len(outside) else inside[:0]
+        starts = np.flatnonzero(inside & ~np.append(False, inside[:-1]))
+        if more and len(starts) <= 2 * overlap:  # too few words to go on from: a larger part
+            size *= 2
+            continue
+        yield text[pos : pos + len(inside)], before
+        if not more:
+            return
+        before += len(starts) - overlap
+        pos, size = pos + int(starts[-overlap]), LONG_BYTES
+
+
+def _chunks(batch: pa.RecordBatch, overlap: int) -> Iterator[tuple[list, list[bytes], list[int]]]:
+    """Ids, texts and words before them in chunks of about ``CHUNK_BYTES``.
+
+    A text of more than ``LONG_BYTES`` comes in parts that share ``overlap`` words, enough for any passage: memory does not grow with it.
+    """
+    ids, texts, before, size = [], [], [], 0
+    for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
+        for part, words in _parts(text, overlap) if len(text) > LONG_BYTES else [(text, 0)]:
+            if ids and size + len(part) > CHUNK_BYTES:
+                yield ids, texts, before
+                ids, texts, before, size = [], [], [], 0
+            ids.append(i)
+            texts.append(part)
+            before.append(words)
+            size += len(part)
+    if ids:
+        yield ids, texts, before
 
 
 def _readable(docs: DataFrame) -> DataFrame:
@@ -188,13 +221,13 @@ def _readable(docs: DataFrame) -> DataFrame:
 
 
 def seed_documents(docs: DataFrame, index: SeedIndex) -> np.ndarray:
-    """Number of documents of every seed of the index: no text leaves the scan, and the driver gets 16 bytes a seed at most."""
-    hashes, n = index.hashes, index.n
+    """Number of documents (or parts of long ones) of every seed of the index: no text leaves the scan, and the driver gets 16 bytes a seed at most."""
+    hashes, n, overlap = index.hashes, index.n, index.overlap
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = _seed_hits(hashes, n)
         for batch in batches:
-            parts = [np.unique(np.stack(hits[:-3:-1]), axis=1)[1] for _, texts in _chunks(batch) if (hits := find(texts))]
+            parts = [np.unique(np.stack(hits[:-3:-1]), axis=1)[1] for _, texts, _ in _chunks(batch, overlap) if (hits := find(texts))]
             seed, count = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.int64),) * 2
             yield pa.RecordBatch.from_arrays([pa.array(seed.astype(np.int64)), pa.array(count.astype(np.int64))], ["seed", "n"])
 
@@ -207,18 +240,19 @@ def seed_documents(docs: DataFrame, index: SeedIndex) -> np.ndarray:
 def find_passages(docs: DataFrame, index: SeedIndex) -> DataFrame:
     """doc_id, item (number in the index), at (word number), words: the passages of docs (doc_id, text) around seed hits."""
     hashes, n, longest, offsets, owner, position = index.hashes, index.n, index.lengths, index.offsets, index.owner, index.position
+    overlap = index.overlap
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = _seed_hits(hashes, n)
         for batch in batches:
             out: dict[str, list] = {k: [] for k in ("doc_id", "item", "at", "words")}
-            for ids, texts in _chunks(batch):
+            for ids, texts, before in _chunks(batch, overlap):
                 if hits := find(texts):
-                    cut_passages(ids, *hits, out)
+                    cut_passages(ids, before, *hits, out)
             if out["item"]:
                 yield pa.RecordBatch.from_pydict(out, schema=pa.schema({"doc_id": pa.int64(), "item": pa.int32(), "at": pa.int64(), "words": pa.string()}))
 
-    def cut_passages(ids, buf, start, end, begin, word, seed, doc, out) -> None:
+    def cut_passages(ids, before, buf, start, end, begin, word, seed, doc, out) -> None:
         first = np.searchsorted(start, begin)  # first word of every document
         # a hit counts for every item that the seed is rare in
         times = offsets[seed + 1] - offsets[seed]
@@ -236,7 +270,7 @@ def find_passages(docs: DataFrame, index: SeedIndex) -> DataFrame:
             lo = max(first[d], int((word[a:b] - pos[a:b]).min()) - SLACK)
             hi = min(first[d + 1], int((word[a:b] - pos[a:b]).max()) + longest[i] + SLACK)
             raw = buf[start[lo] : end[hi - 1]].tobytes().decode("utf-8", "replace")
-            for k, v in zip(out, (ids[d], int(i), int(lo - first[d]), " ".join(words_of(raw))), strict=True):
+            for k, v in zip(out, (ids[d], int(i), before[d] + int(lo - first[d]), " ".join(words_of(raw))), strict=True):
                 out[k].append(v)
 
     return _readable(docs).mapInArrow(scan, "doc_id bigint, item int, at bigint, words string")

@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from kmerloom.llm import leakage
 
@@ -58,6 +59,22 @@ def test_small_chunks_and_item_blocks(spark, corpus, monkeypatch):
     assert {(r.item_id, r.doc_id) for r in leakage.leaked_documents(df, it).collect()} == brute(docs, items, 15)
 
 
+def test_long_texts_in_parts(spark, corpus, monkeypatch):
+    """Parts of long texts share enough words: the passages found, and their places, are those of whole texts."""
+    docs, items = corpus
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    it = spark.createDataFrame(items, "item_id int, text string")
+    best = lambda: {(r.item_id, r.doc_id, r.run, r.share) for r in leakage.leaked_passages(df, it).groupBy("item_id", "doc_id").agg(F.max("run").alias("run"), F.max("share").alias("share")).collect()}
+    want = best()
+    monkeypatch.setattr(leakage, "LONG_BYTES", 300)
+    assert best() == want
+    parts = list(leakage._parts(b" ".join(b"w%d" % i for i in range(500)), 12))
+    assert len(parts) > 5
+    for text, before in parts:
+        assert text.split()[0] == b"w%d" % before and text.split() == [b"w%d" % (before + j) for j in range(len(text.split()))]
+    assert parts[-1][1] + len(parts[-1][0].split()) == 500 and list(leakage._parts(b"x" * 1000, 5)) == [(b"x" * 1000, 0)]
+
+
 def test_edited_copy_is_reported(spark):
     rng = random.Random(5)
     words = [f"u{i}" for i in range(80)]
