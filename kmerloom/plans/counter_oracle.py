@@ -165,4 +165,7 @@ step AS (
   FROM step s JOIN turns t ON t.turn = s.turn + 1)
 SELECT root, n, CAST(owner AS INTEGER) AS owner FROM step WHERE turn > 0""",
     "streaming_kmer_counts": _with(counts("SELECT seq FROM fastq_reads", 11), _ALL),
+    "streaming_windowed_counts": _with(
+        windows("SELECT strftime(run_ts, '%Y-%m-%d') AS day, seq FROM fastq_reads WHERE run_ts IS NOT NULL", 5, "day"), "SELECT day, kmer, count(*) AS cnt FROM keys GROUP BY day, kmer"
+    ),
 }

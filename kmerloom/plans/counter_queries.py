@@ -12,7 +12,7 @@ from kmerloom.functions.udtf import register_sql
 from kmerloom.operators import counting, kmers, postprocess, prefix_stats, spectrum
 from kmerloom.session import materialize, new_path, table
 from kmerloom.sources import binary, tables
-from kmerloom.streaming.counts import streaming_counts
+from kmerloom.streaming.counts import streaming_counts, windowed_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 K = 21
@@ -361,18 +361,33 @@ def parquet_merge_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return counting.merge_low_root(*tables.read_counts(spark, path))
 
 
-def streaming_kmer_counts(spark: SparkSession, d: str) -> DataFrame:
-    """kmer, cnt of a stream over all rows of the reads table, in complete mode until its input ends."""
+def _read_stream(spark: SparkSession, d: str) -> DataFrame:
     schema = table(spark, d, "fastq_reads").schema
-    source = spark.readStream.schema(schema).parquet(f"{d}/fastq_reads.parque[t]")
+    return spark.readStream.schema(schema).parquet(f"{d}/fastq_reads.parque[t]")
+
+
+def _drained(stream: DataFrame) -> DataFrame:
+    """The complete result of a stream once its input ends."""
+    spark = stream.sparkSession
     out, log = new_path(spark, "stream"), new_path(spark, "stream-log")
 
     def write(batch: DataFrame, _: int) -> None:
         batch.write.mode("overwrite").parquet(out)
 
-    run = streaming_counts(source.select("seq"), 11).writeStream.outputMode("complete").option("checkpointLocation", log).trigger(availableNow=True).foreachBatch(write).start()
-    run.awaitTermination()
-    return spark.read.schema("kmer string, cnt bigint").parquet(out)
+    stream.writeStream.outputMode("complete").option("checkpointLocation", log).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+def streaming_kmer_counts(spark: SparkSession, d: str) -> DataFrame:
+    """kmer, cnt of a stream over all rows of the reads table, in complete mode until its input ends."""
+    return _drained(streaming_counts(_read_stream(spark, d).select("seq"), 11))
+
+
+def streaming_windowed_counts(spark: SparkSession, d: str) -> DataFrame:
+    """day, kmer, cnt: keys of 5 bases by the day of the run, as an event-time stream."""
+    timed = _read_stream(spark, d).select(F.col("run_ts").cast("timestamp").alias("run_ts"), "seq")
+    counts = windowed_counts(timed, 5, "run_ts", "1 day", "60 days")
+    return _drained(counts.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "kmer", "cnt"))
 
 
 _PLAIN = (
@@ -382,7 +397,7 @@ _PLAIN = (
     spectrum_reads_k21, spectrum_precise, spectrum_ranged_dense, spectrum_approximate, spectrum_legacy, root_prefix_counts, prefix_floor_avg,
     bloom_capacity, prefix_owner_lpt, prefix_owner_totals, prefix_load_order, packed_shifts, observed_totals, sampled_prefix_counts, low_bin_round_trip, low_packed_read,
     root_bin_round_trip, parquet_round_trip, spectrum_text, histogram_text, final_low_sorted, final_root_sorted,
-    parquet_merge_round_trip, streaming_kmer_counts,
+    parquet_merge_round_trip, streaming_kmer_counts, streaming_windowed_counts,
 )
 
 QUERIES: dict[str, Query] = {
