@@ -80,15 +80,15 @@ def audited_cube(sightings: DataFrame, m: int = pcsa.ROWS, share: float = 0.998)
 
     within: for at least ``share`` of its groups the exact number of distinct keys lies in [low, high]. The exact numbers come from all sightings; this is an audit of the sketches and costs what they save.
     """
-    by = ["grouping", *DIMENSIONS]
+    known = [F.coalesce(F.col(d).cast("string"), F.lit("?")).alias(d) for d in DIMENSIONS]
     base = dated_sightings(sightings).withColumn("prefix", S.root_text(S.packed_root(F.col("key"))))
-    fine = base.groupBy(*[F.coalesce(F.col(d).cast("string"), F.lit("?")).alias(d) for d in DIMENSIONS], "key").agg(F.count(F.lit(1)).alias("c"))
-    views = [
-        F.struct(F.lit("+".join(g) or "all").alias("grouping"), *[(F.col(d) if d in g else F.lit("*")).alias(d) for d in DIMENSIONS]) for g in GROUPINGS
-    ]
-    each = fine.select(F.explode(F.array(*views)).alias("g"), "key", "c").groupBy(*[f"g.{c}" for c in by], "key").agg(F.sum("c").alias("c"))
-    exact = each.groupBy(*by).agg(F.count(F.lit(1)).alias("exact"), F.sum("c").cast("bigint").alias("rows"))
-    judged = exact.join(distinct_cube(sightings, m), by, "left")
+    fine = base.groupBy(*known, "key").agg(F.count(F.lit(1)).alias("c"))
+    # a group is told by a 64-bit hash of its grouping and values: 16 rows a finest key are shuffled, of two numbers each
+    groups = [F.xxhash64(F.lit("+".join(g) or "all"), *[F.col(d) if d in g else F.lit("*") for d in DIMENSIONS]) for g in GROUPINGS]
+    each = fine.select(F.explode(F.array(*groups)).alias("g"), "key", "c").groupBy("g", "key").agg(F.sum("c").alias("c"))
+    exact = each.groupBy("g").agg(F.count(F.lit(1)).alias("exact"), F.sum("c").alias("rows"))
+    cube = distinct_cube(sightings, m).withColumn("g", F.xxhash64("grouping", *DIMENSIONS))
+    judged = cube.join(exact, "g", "full_outer")
     inside = F.coalesce(F.col("exact").between(F.col("low"), F.col("high")) & (F.col("n") == F.col("rows")), F.lit(False))
     return judged.groupBy("grouping").agg(
         F.count(F.lit(1)).alias("groups"), F.sum("rows").cast("bigint").alias("sightings"), (F.avg(inside.cast("double")) >= share).alias("within")
