@@ -83,12 +83,19 @@ def audited_cube(sightings: DataFrame, m: int = pcsa.ROWS, share: float = 0.998)
     known = [F.coalesce(F.col(d).cast("string"), F.lit("?")).alias(d) for d in DIMENSIONS]
     base = dated_sightings(sightings).withColumn("prefix", S.root_text(S.packed_root(F.col("key"))))
     fine = base.groupBy(*known, "key").agg(F.count(F.lit(1)).alias("c"))
-    # a group is told by a 64-bit hash of its grouping and values: 16 rows a finest key are shuffled, of two numbers each
-    groups = [F.xxhash64(F.lit("+".join(g) or "all"), *[F.col(d) if d in g else F.lit("*") for d in DIMENSIONS]) for g in GROUPINGS]
+    # A key has one prefix: the groups without a prefix are sums of those with one, and 8 rows a finest key are shuffled.
+    # What is left of a group is told by a 64-bit hash of its grouping and values.
+    others = [d for d in DIMENSIONS if d != "prefix"]
+    subsets = [g for g in GROUPINGS if "prefix" not in g]
+    groups = [F.xxhash64(F.lit("+".join(g)), *[F.col(d) if d in g else F.lit("*") for d in others]) for g in subsets]
     each = fine.select(F.explode(F.array(*groups)).alias("g"), "key", "c").groupBy("g", "key").agg(F.sum("c").alias("c"))
-    exact = each.groupBy("g").agg(F.count(F.lit(1)).alias("exact"), F.sum("c").alias("rows"))
-    cube = distinct_cube(sightings, m).withColumn("g", F.xxhash64("grouping", *DIMENSIONS))
-    judged = cube.join(exact, "g", "full_outer")
+    parts = each.groupBy("g", S.packed_root(F.col("key")).alias("root")).agg(F.count(F.lit(1)).alias("exact"), F.sum("c").alias("rows"))
+    parts = materialize(parts.select("g", S.root_text(F.col("root")).alias("prefix"), "exact", "rows"), "exact")
+    sums = parts.groupBy("g").agg(F.sum("exact").alias("exact"), F.sum("rows").alias("rows"))
+    exact = parts.unionByName(sums.withColumn("prefix", F.lit("*")))
+    name = F.regexp_replace(F.when(F.col("grouping") == "all", "").otherwise(F.col("grouping")), r"[+]?prefix$", "")
+    cube = distinct_cube(sightings, m).withColumn("g", F.xxhash64(name, *others))
+    judged = cube.join(exact, ["g", "prefix"], "full_outer")
     inside = F.coalesce(F.col("exact").between(F.col("low"), F.col("high")) & (F.col("n") == F.col("rows")), F.lit(False))
     return judged.groupBy("grouping").agg(
         F.count(F.lit(1)).alias("groups"), F.sum("rows").cast("bigint").alias("sightings"), (F.avg(inside.cast("double")) >= share).alias("within")
