@@ -109,6 +109,9 @@ def _best_rice(density: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return best, cost[np.arange(len(best)), best]
 
 
+_RANGES = np.unique([c << j for j in range(56) for c in range(1 if j == 0 else 32, 64)])
+
+
 def target_range(keys: int, bits: float, most_bits: int) -> int:
     """Largest range, at most keys << most_bits, whose Golomb-coded set of that many hashes fits the bits; 0 if none does.
 
@@ -116,14 +119,14 @@ def target_range(keys: int, bits: float, most_bits: int) -> int:
     """
     if keys < 1 or bits < INDEX_BITS + 8:
         return 0
-    ranges = np.unique([c << j for j in range(56) for c in range(1 if j == 0 else 32, 64)])
-    ranges = ranges[ranges <= keys << most_bits]
-    if not len(ranges):
-        return 0
-    held = np.maximum(1, ranges * -np.expm1(-keys / ranges))
-    need = held * _best_rice(held / ranges)[1] + np.ceil(held / BLOCK) * (INDEX_BITS + 8)
-    fits = np.flatnonzero(1.02 * need + 3 * np.sqrt(need) <= bits)
-    return int(ranges[fits[-1]]) if len(fits) else 0
+    ranges = _RANGES[_RANGES <= keys << most_bits]
+    for some in (ranges[-1:], ranges):  # mostly the largest fits
+        held = np.maximum(1, some * -np.expm1(-keys / some))
+        need = held * _best_rice(held / some)[1] + np.ceil(held / BLOCK) * (INDEX_BITS + 8)
+        fits = np.flatnonzero(1.02 * need + 3 * np.sqrt(need) <= bits)
+        if len(fits):
+            return int(some[fits[-1]])
+    return 0
 
 
 def bounded_set(hashes: np.ndarray, bits: float, most_bits: int) -> tuple[GolombSet | None, int]:
