@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kmerloom.functions import sequence as S
-from kmerloom.operators import kmers
+from kmerloom.operators import kmers, segments
 
 MAX_COUNT = 2**32 - 1
 
@@ -20,7 +20,12 @@ def in_count_range(df: DataFrame, col: str, min_count: int = 1, max_count: int |
 
 
 def count_chunks(reads: DataFrame, k: int, seq: str = "seq") -> DataFrame:
-    """c0, c1, ..., cnt: counts of keys as numbers of 31 bases each, which sort like their texts."""
+    """c0, c1, ..., cnt: counts of keys as numbers of 31 bases each, which sort like their texts.
+
+    Keys of several columns are counted without a shuffle of keys, except over a stream.
+    """
+    if len(kmers.chunk_widths(k)) > 1 and not reads.isStreaming:
+        return segments.segment_counts(reads, k, seq)
     chunks = kmers.chunk_counts(reads, k, seq)
     names = [c for c in chunks.columns if c != "n"]
     return chunks.groupBy(*names).agg(F.sum("n").alias("cnt"))

@@ -98,39 +98,66 @@ def _span_codes(codes: np.ndarray, width: int, backward: bool) -> np.ndarray:
         size *= 2
 
 
-def canonical_chunks(codes: np.ndarray, k: int) -> list[np.ndarray]:
-    """Stored keys of all windows of codes, as base-4 numbers of 31 bases each; codes must be 0..3."""
+def canonical_chunks(codes: np.ndarray, k: int, starts: np.ndarray | None = None) -> list[np.ndarray]:
+    """Stored keys of all windows of codes, or of those at starts, as base-4 numbers of 31 bases each; codes must be 0..3."""
     n = len(codes) - k + 1
+    spans = {w: (_span_codes(3 - codes, w, False), _span_codes(codes, w, True)) for w in set(chunk_widths(k))}
     forward, backward, at = [], [], 0
     for width in chunk_widths(k):
-        forward.append(_span_codes(3 - codes, width, False)[at : at + n])
         end = k - at - width
-        backward.append(_span_codes(codes, width, True)[end : end + n])
+        f, b = spans[width][0][at : at + n], spans[width][1][end : end + n]
+        forward.append(f if starts is None else f[starts])
+        backward.append(b if starts is None else b[starts])
         at += width
-    less = np.zeros(n, bool)
-    equal = np.ones(n, bool)
+    less = np.zeros(len(forward[0]), bool)
+    equal = np.ones(len(forward[0]), bool)
     for f, b in zip(forward, backward, strict=True):
         less |= equal & (f < b)
         equal &= f == b
     return [np.where(less, f, b) for f, b in zip(forward, backward, strict=True)]
 
 
+def mixed(columns: list[np.ndarray]) -> np.ndarray:
+    """A hash of keys of several columns."""
+    out = np.zeros(len(columns[0]), np.uint64)
+    for c in columns:
+        out = (out ^ c.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(32)
+    return out
+
+
+def counted(columns: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Different keys and the sums of their n. Keys are brought together by their hash; where different ones share it, by all columns."""
+    hashes = mixed(columns)
+    order = np.argsort(hashes)
+    hashes, sorted_columns = hashes[order], [c[order] for c in columns]
+    new = _changes(sorted_columns)
+    if (new[1:] & (hashes[1:] == hashes[:-1])).any():
+        order = np.lexsort(columns[::-1])
+        sorted_columns = [c[order] for c in columns]
+        new = _changes(sorted_columns)
+    at = np.flatnonzero(new)
+    return [c[at] for c in sorted_columns], np.add.reduceat(n[order], at) if len(at) else n[:0]
+
+
+def _changes(columns: list[np.ndarray]) -> np.ndarray:
+    """Where a row differs from the one before; the first does."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return new
+
+
 def _counts(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
     """Keys and their numbers. Keys of several columns are brought together by a hash of them: should two keys
     share it, a key may come out in several rows, which are summed later."""
     if len(columns) == 1:
         columns = [np.sort(columns[0])]
     else:
-        mixed = np.zeros(len(columns[0]), np.uint64)
-        for c in columns:
-            mixed = (mixed ^ c.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-            mixed ^= mixed >> np.uint64(32)
-        order = np.argsort(mixed)
+        order = np.argsort(mixed(columns))
         columns = [c[order] for c in columns]
-    new = np.zeros(len(columns[0]), bool)
-    new[:1] = True
-    for c in columns:
-        new[1:] |= c[1:] != c[:-1]
+    new = _changes(columns)
     at = np.flatnonzero(new)
     return [c[at] for c in columns], np.diff(np.append(at, len(new)))
 
@@ -143,16 +170,21 @@ def overlapping(texts: list[bytes], k: int) -> list[bytes]:
     return out
 
 
+def base_codes(text: bytes) -> np.ndarray:
+    """0 to 3 for a base, 4 for any other byte."""
+    lut = np.full(256, 4, np.uint8)
+    for i, letters in enumerate((b"Aa", b"Cc", b"Gg", b"TtUu")):
+        for b in letters:
+            lut[b] = i
+    return lut[np.frombuffer(text, np.uint8)]
+
+
 def chunk_counts(reads: DataFrame, k: int, seq: str = "seq") -> DataFrame:
     """c0, c1, ..., n: keys as numbers of 31 bases each, counted within every batch before the shuffle."""
     check_k(k)
     names = [f"c{i}" for i in range(len(chunk_widths(k)))]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lut = np.full(256, 4, np.uint8)
-        for i, letters in enumerate((b"Aa", b"Cc", b"Gg", b"TtUu")):
-            for b in letters:
-                lut[b] = i
         for batch in batches:
             texts = overlapping([t for t in batch.column(0).cast(pa.binary()).to_pylist() if t is not None and len(t) >= k], k)
             a = 0
@@ -161,7 +193,7 @@ def chunk_counts(reads: DataFrame, k: int, seq: str = "seq") -> DataFrame:
                 while b < len(texts) and (b == a or size + len(texts[b]) <= CHUNK_BYTES):
                     size += len(texts[b]) + 1
                     b += 1
-                codes = lut[np.frombuffer(b"\n".join(texts[a:b]), np.uint8)]
+                codes = base_codes(b"\n".join(texts[a:b]))
                 a = b
                 bad = np.concatenate([[0], np.cumsum(codes > 3)])
                 good = bad[k:] == bad[:-k]
