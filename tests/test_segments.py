@@ -27,7 +27,7 @@ def shuffled_bytes(df) -> int:
     return walk(df._jdf.queryExecution().executedPlan())
 
 
-@pytest.mark.parametrize("k", [65])
+@pytest.mark.parametrize("k", [64, 65])
 def test_shuffle_of_wide_keys_is_small(spark, k):
     """Reads of 160 bases, ten times each: the shuffle is a few times the reads at 2 bits a base, not the keys (8 to 24 bytes a window)."""
     rng = random.Random(k)
