@@ -2,7 +2,7 @@
 
 A window belongs to the bucket of the least 16 bases in it, under a hash and in either strand, so that all windows of one key
 are in one bucket. Neighbours mostly share it: a segment is a run of windows of one bucket. Each bucket is counted by itself,
-so no key is shuffled.
+so no key is shuffled. Reads come first to the buckets of a hash of them, so that equal ones are cut once.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ SPAN = 256  # windows of a segment at most
 HELD_BYTES = 32 << 20  # text whose reads and segments are brought together before the shuffle
 HELD_KEYS = 1 << 21  # keys counted at a time
 SCHEMA = pa.schema([("bucket", pa.int32()), ("spans", pa.large_binary()), ("weights", pa.large_binary()), ("bases", pa.large_binary())])
+_FACTORS = np.random.default_rng(0).integers(0, 1 << 63, (SPAN + kmers.MAX_K) // 4 + 1, np.uint64)
 _FOUR = ((np.arange(256)[:, None] >> np.array([6, 4, 2, 0])) & 3).astype(np.int64)
 
 
@@ -49,14 +50,13 @@ def _buckets(codes: np.ndarray, k: int) -> np.ndarray:
     return (least * np.uint32(0xC2B2AE35)) >> np.uint32(32 - BUCKET_BITS)
 
 
-def _segments(texts: list[bytes], n: np.ndarray, k: int) -> pa.Table:
-    """bucket, span, bases, n: the segments of texts that occur n times each, four bases a byte, zeros after the last."""
-    codes = kmers.base_codes(b"\n".join(texts))
-    bad = np.concatenate([[0], np.cumsum(codes > 3)])
-    good = bad[k:] == bad[:-k]
-    bucket = _buckets((codes & 3).astype(np.int64), k)
+def _runs(codes: np.ndarray, good: np.ndarray, bucket: np.ndarray | None, starts: np.ndarray, n: np.ndarray, k: int) -> pa.Table:
+    """bucket, span, bases, n: runs of good windows of one bucket, four bases a byte, zeros after the last; those from starts on
+    occur n times. Without buckets the runs are as long as may be, and their bucket is a hash of their bases."""
     new = np.ones(len(good), bool)
-    new[1:] = (good[1:] != good[:-1]) | (bucket[1:] != bucket[:-1])
+    new[1:] = good[1:] != good[:-1]
+    if bucket is not None:
+        new[1:] |= bucket[1:] != bucket[:-1]
     at = np.flatnonzero(new)
     size = np.diff(np.append(at, len(good)))[good[at]]
     at = at[good[at]]
@@ -68,20 +68,51 @@ def _segments(texts: list[bytes], n: np.ndarray, k: int) -> pa.Table:
     there = within < np.repeat(span + k - 1, 4 * packed)
     four = np.where(there, codes[np.where(there, np.repeat(start, 4 * packed) + within, 0)], 0).astype(np.uint8).reshape(-1, 4)
     data = (four[:, 0] << 6) | (four[:, 1] << 4) | (four[:, 2] << 2) | four[:, 3]
-    ends = np.cumsum([len(t) + 1 for t in texts])
+    if bucket is not None:
+        own = bucket[start]
+    elif len(start):
+        place = np.arange(len(data)) - np.repeat(_before(packed), packed)
+        own = np.add.reduceat((data + np.uint64(1)) * _FACTORS[place], _before(packed)) * np.uint64(0x9E3779B97F4A7C15)
+        own = (own ^ (own >> np.uint64(32))) % np.uint64(1 << BUCKET_BITS)
+    else:
+        own = start
     return pa.table({
-        "bucket": bucket[start].astype(np.int32),
+        "bucket": own.astype(np.int32),
         "span": (span - 1).astype(np.uint8),
         "bases": _slices(np.append(0, np.cumsum(packed)), data),
-        "n": n[np.searchsorted(ends, start, "right")],
+        "n": n[np.searchsorted(starts, start, "right") - 1],
     })
 
 
+def _pieces(texts: list[bytes], n: np.ndarray, k: int) -> pa.Table:
+    """Runs of the bases of texts that occur n times each."""
+    codes = kmers.base_codes(b"\n".join(texts))
+    bad = np.concatenate([[0], np.cumsum(codes > 3)])
+    return _runs(codes, bad[k:] == bad[:-k], None, _before(np.array([len(t) + 1 for t in texts])), n, k)
+
+
+def _segments(spans: np.ndarray, weights: np.ndarray, bases: np.ndarray, k: int) -> pa.Table:
+    """Segments of such runs."""
+    codes = _FOUR[bases].reshape(-1)
+    starts = 4 * _before((spans + k + 2) // 4)
+    edges = np.zeros(len(codes) - k + 2, np.int8)
+    edges[starts] = 1
+    edges[starts + spans] = -1  # the k-1 bases after a run's last window are its own, so that the next begins later
+    return _runs(codes, np.cumsum(edges[:-1]) > 0, _buckets(codes, k), starts, weights, k)
+
+
 def _slices(offsets: np.ndarray, data: np.ndarray) -> pa.Array:
     """Binary values that lie one after the other in data."""
     return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
 
 
+def _data(values: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and data of binary values."""
+    one = pa.concat_arrays(values.chunks)  # from offset 0 if of several chunks
+    offsets = np.frombuffer(one.buffers()[1], np.int64)[one.offset : one.offset + len(one) + 1]
+    return offsets - offsets[0], np.frombuffer(one.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+
+
 def _together(parts: list[pa.Table]) -> pa.Table:
     """Equal rows are one, with the sum of n."""
     table = pa.concat_tables(parts)
@@ -108,34 +139,50 @@ def _rows(segments: list[pa.Table]) -> pa.RecordBatch:
     """A row a bucket: windows of its segments less 1 (a byte each), how often they occur, and their bases."""
     table = _together(segments).sort_by("bucket").combine_chunks()
     bucket, n = table["bucket"].to_numpy(), table["n"].to_numpy()
-    bases = table["bases"].combine_chunks()
-    bases = bases.chunk(0) if isinstance(bases, pa.ChunkedArray) else bases
-    offsets = np.frombuffer(bases.buffers()[1], np.int64)[bases.offset : bases.offset + len(bases) + 1]
+    offsets, data = _data(table["bases"])
     edges = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
     weights = n.astype(np.min_scalar_type(int(n.max())))
     columns = [
         pa.array(bucket[edges[:-1]]),
         _slices(edges, table["span"].to_numpy()),
         _slices(edges * weights.itemsize, weights.view(np.uint8)),
-        _slices(offsets[edges], np.frombuffer(bases.buffers()[2], np.uint8)),
+        _slices(offsets[edges], data),
     ]
     return pa.RecordBatch.from_arrays(columns, schema=SCHEMA)
 
 
-def _cut(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """Rows of the segments of the texts."""
-    for table in _distinct_texts(batches, k):
-        held: list[pa.Table] = []
-        size = 0
-        for texts, n in _chunks(table, k):
-            held.append(_segments(texts, n, k))
-            size += sum(map(len, texts))
-            if size > HELD_BYTES:
-                if sum(map(len, held)):
-                    yield _rows(held)
-                held, size = [], 0
-        if sum(map(len, held)):
+def _in_rows(tables: Iterator[pa.Table]) -> Iterator[pa.RecordBatch]:
+    """Rows of the tables, each from about ``HELD_BYTES`` of bases."""
+    held: list[pa.Table] = []
+    size = 0
+    for table in tables:
+        if len(table):
+            held.append(table)
+            size += 4 * table["bases"].nbytes
+        if size > HELD_BYTES:
             yield _rows(held)
+            held, size = [], 0
+    if held:
+        yield _rows(held)
+
+
+def _piece_rows(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Rows of the runs of the texts."""
+    for table in _distinct_texts(batches, k):
+        yield from _in_rows(_pieces(texts, n, k) for texts, n in _chunks(table, k))
+
+
+def _segment_rows(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Rows of the segments of runs; equal runs are in one bucket and are cut once."""
+
+    def tables() -> Iterator[pa.Table]:
+        for spans, weights, bases in _bucketed(batches):
+            ends = np.append(0, np.cumsum((spans + k + 2) // 4))
+            runs = _together([pa.table({"span": spans, "bases": _slices(ends, bases), "n": weights})]).combine_chunks()
+            for part in _parts(runs["span"].to_numpy(), runs["n"].to_numpy(), _data(runs["bases"])[1], k):
+                yield _segments(*part, k)
+
+    yield from _in_rows(tables())
 
 
 def _chunks(table: pa.Table, k: int) -> Iterator[tuple[list[bytes], np.ndarray]]:
@@ -156,24 +203,31 @@ def _chunks(table: pa.Table, k: int) -> Iterator[tuple[list[bytes], np.ndarray]]
         yield texts, np.array(weights)
 
 
-def _tallied(spans: np.ndarray, weights: np.ndarray, bases: np.ndarray, k: int, digits: int = 0, part: int = 0) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
-    """Keys of the segments and their counts; beyond ``HELD_KEYS`` in eight parts by a hash of the key, one after the other."""
+def _parts(spans: np.ndarray, weights: np.ndarray, bases: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The runs, about ``kmers.CHUNK_BYTES`` bases at a time."""
     packed = (spans + k + 2) // 4
-    ends, groups = np.cumsum(packed), (np.cumsum(packed) - 1) // (kmers.CHUNK_BYTES // 4)
+    ends = np.cumsum(packed)
+    groups = (ends - 1) // (kmers.CHUNK_BYTES // 4)
     edges = np.append(np.flatnonzero(np.append(True, groups[1:] != groups[:-1])), len(spans))
-    columns, n = None, None
     for a, b in zip(edges[:-1], edges[1:], strict=True):
-        codes = _FOUR[bases[ends[a] - packed[a] : ends[b - 1]]].reshape(-1)
-        span = spans[a:b]
-        starts = np.repeat(4 * _before(packed[a:b]) - _before(span), span) + np.arange(span.sum())
-        more, more_n = kmers.canonical_chunks(codes, k, starts), np.repeat(weights[a:b], span)
+        yield spans[a:b], weights[a:b], bases[ends[a] - packed[a] : ends[b - 1]]
+
+
+def _tallied(spans: np.ndarray, weights: np.ndarray, bases: np.ndarray, k: int, digits: int = 0, part: int = 0) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """Keys of the segments and their counts; beyond ``HELD_KEYS`` in eight parts by a hash of the key, one after the other."""
+    columns, n = None, None
+    left = len(spans)
+    for span, weight, data in _parts(spans, weights, bases, k):
+        left -= len(span)
+        starts = np.repeat(4 * _before((span + k + 2) // 4) - _before(span), span) + np.arange(span.sum())
+        more, more_n = kmers.canonical_chunks(_FOUR[data].reshape(-1), k, starts), np.repeat(weight, span)
         if digits:
             mine = (kmers.mixed(more) & np.uint64(8**digits - 1)) == np.uint64(part)
             more, more_n = [c[mine] for c in more], more_n[mine]
         if columns is not None:
             more, more_n = [np.concatenate(x) for x in zip(columns, more, strict=True)], np.concatenate([n, more_n])
         columns, n = kmers.counted(more, more_n)
-        if len(n) > HELD_KEYS and b < len(spans):
+        if len(n) > HELD_KEYS and left:
             for digit in range(8):
                 yield from _tallied(spans, weights, bases, k, digits + 1, part + digit * 8**digits)
             return
@@ -185,18 +239,23 @@ def segment_counts(reads: DataFrame, k: int, seq: str = "seq") -> DataFrame:
     """c0, c1, ..., cnt: every key once, with its count."""
     kmers.check_k(k)
     names = [*(f"c{i}" for i in range(len(kmers.chunk_widths(k)))), "cnt"]
+    plain = pa.schema([(f.name, pa.binary() if i else f.type) for i, f in enumerate(SCHEMA)])
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return (rows.cast(plain) for rows in _piece_rows(batches, k))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _cut(batches, k):
-            yield rows.cast(pa.schema([(f.name, pa.binary() if i else f.type) for i, f in enumerate(SCHEMA)]))
+        return (rows.cast(plain) for rows in _segment_rows(batches, k))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for spans, weights, bases in _bucketed(batches):
             for columns, n in _tallied(spans, weights, bases, k):
                 yield from _in_batches(pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(n)], names))
 
-    rows = reads.select(seq).mapInArrow(cut, "bucket int, spans binary, weights binary, bases binary")
-    rows = rows.repartition(shuffle_width(reads.sparkSession), "bucket").sortWithinPartitions("bucket")
+    rows = reads.select(seq)
+    for step in (pieces, cut):
+        rows = rows.mapInArrow(step, "bucket int, spans binary, weights binary, bases binary")
+        rows = rows.repartition(shuffle_width(reads.sparkSession), "bucket").sortWithinPartitions("bucket")
     return rows.mapInArrow(count, ", ".join(f"{c} bigint" for c in names))
 
 

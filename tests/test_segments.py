@@ -38,10 +38,16 @@ def test_shuffle_of_wide_keys_is_small(spark, k):
     assert 0 < shuffled_bytes(df) < 8 * 40 * len(reads)
 
 
+def _by_bucket(batches) -> list[pa.RecordBatch]:
+    """The rows as a shuffle brings them."""
+    rows = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: r["bucket"])
+    return [pa.RecordBatch.from_pylist(rows[a : a + 9], schema=segments.SCHEMA) for a in range(0, len(rows), 9)]
+
+
 def _tally(reads, k) -> Counter:
     batches = [pa.RecordBatch.from_pydict({"seq": pa.array(reads[a : a + 7], pa.string())}) for a in range(0, len(reads), 7)]
-    rows = sorted((r for b in segments._cut(iter(batches), k) for r in b.to_pylist()), key=lambda r: r["bucket"])
-    parts = [pa.RecordBatch.from_pylist(rows[a : a + 9], schema=segments.SCHEMA) for a in range(0, len(rows), 9)]
+    pieces = _by_bucket(segments._piece_rows(iter(batches), k))
+    parts = _by_bucket(segments._segment_rows(iter(pieces), k))
     got: Counter = Counter()
     for bucket in segments._bucketed(iter(parts)):
         for columns, n in segments._tallied(*bucket, k):
